@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .language import op5_language_id
 from .packing import op2_best_fit_packing
+from .token_counts import op9_token_counts
 from .token_output import op4_token_output
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_token_output": op4_token_output,
+    "op5_language_id": op5_language_id,
+    "op9_token_counts": op9_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
