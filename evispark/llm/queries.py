@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .language import op5_language_id
 from .packing import op2_best_fit_packing
+from .pii import op8_pii
 from .token_counts import op9_token_counts
 from .token_output import op4_token_output
 from .toxicity import op1_toxicity
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_token_output": op4_token_output,
     "op5_language_id": op5_language_id,
+    "op8_pii": op8_pii,
     "op9_token_counts": op9_token_counts,
 }
 
