@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .language import op5_language_id
+from .neighbours import op3_adaptive_scan
 from .packing import op2_best_fit_packing
 from .pii import op8_pii
 from .token_counts import op9_token_counts
@@ -12,6 +13,7 @@ from .toxicity import op1_toxicity
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_adaptive_scan": op3_adaptive_scan,
     "op4_token_output": op4_token_output,
     "op5_language_id": op5_language_id,
     "op8_pii": op8_pii,
