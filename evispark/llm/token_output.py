@@ -4,7 +4,8 @@ A file is a Parquet shard of one row for each document, in ascending doc_id orde
 number. A row's `words` are little-endian 64-bit words: blocks of at most BLOCK ids, each starting at a word that
 `block_words` names, followed by the block's literals. The top four bits of a word are its selector; the other sixty
 hold as many ids as the selector says, first id in the lowest bits. Ids of over sixty bits are escapes: selector 0 with
-payload 1, and the id itself, raw, among the literals. All of a document's blocks are coded and decoded at once.
+payload 1, and the id itself, raw, among the literals. Groups of GROUP ids share a selector, which costs little room
+and lets all groups be coded at once; a block's words are decoded at once.
 
 Null text is the empty text, which has the end id alone. A null doc_id comes before all others. Rows that repeat a
 doc_id are documents of their own, in the order of their texts. An empty table gives no rows.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import documents, fresh_path, partitions
 from .tokens import default_path, encoder
 
-BLOCK = 4096
+BLOCK = 4092
 #: Fixed values of the format: how many ids a word of each selector holds, and in how many bits each.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -31,73 +32,49 @@ ESCAPE = np.uint64(1)
 DATA_BITS = np.uint64(60)
 
 
-#: For each number of bits, the rank of the narrowest slot that holds it; past sixty bits, of none.
-_RANKS = np.searchsorted(np.unique(BITS), BITS)
-_RANK_OF_BITS = np.append(np.searchsorted(np.unique(BITS), np.arange(61)), [len(_RANKS)] * 4).astype(np.uint8)
-
-
-def _needs(ids: np.ndarray) -> np.ndarray:
-    """The rank, among the distinct slot widths, that each id needs."""
-    bits = np.frexp(ids.astype(np.float64))[1]
-    if bits.max() > 53:  # rounded up to a power of two, perhaps
-        bits -= (bits > 53) & (ids >> np.maximum(bits - 1, 0).astype(np.uint64) == 0)
-    return _RANK_OF_BITS[bits]
-
-
-def _running_max(x: np.ndarray, n: int, known: dict[int, np.ndarray]) -> np.ndarray:
-    """Over n columns from each one on; columns beyond the last count as 0."""
-    if n not in known:
-        half = n - n // 2
-        left = _running_max(x, half, known)
-        right = np.zeros_like(left)
-        right[:, : left.shape[1] - (n - half)] = left[:, n - half :]
-        known[n] = np.maximum(left, right)
-    return known[n]
+#: Ids that share a selector: every count up to 12 that the coder uses divides it, so words never straddle groups.
+GROUP = 12
+#: By the bits that a group's widest id needs, the selector of the fullest words; past sixty bits, one id in a word.
+_FIT = [max((s for s in range(len(COUNTS)) if BITS[s] and GROUP % COUNTS[s] == 0 and BITS[s] >= b), key=lambda s: COUNTS[s], default=15) for b in range(66)]
+_SELECTOR = np.array(_FIT, np.uint8)
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, list[int]]:
-    """The words of one document and the word at which each of its blocks starts."""
+    """The words of one document and the word at which each of its blocks starts. block: a multiple of GROUP."""
     ids = np.asarray(ids, np.uint64)
     if not ids.size:
         return b"", []
-    rows = -(-ids.size // block)
-    width = min(block, ids.size)
-    grid = np.zeros((rows, width), np.uint64)
+    groups = -(-ids.size // GROUP)
+    grid = np.zeros((groups, GROUP), np.uint64)
     grid.reshape(-1)[: ids.size] = ids
-    size = np.full(rows, width)
-    size[-1] = ids.size - (rows - 1) * width
-    literal = grid >> DATA_BITS > 0
-    need = _needs(grid)
-    known = {1: need}
-    least = need[:1, : ids.size].min() if rows == 1 else need.min()
-    pick = np.full(grid.shape, len(COUNTS) - 1, np.uint8)
-    for s in range(len(COUNTS) - 2, -1, -1):
-        if _RANKS[s] < least:
-            break  # of no use, and neither are narrower ones
-        np.copyto(pick, np.uint8(s), where=_running_max(need, min(int(COUNTS[s]), width), known) <= _RANKS[s])
-    # follow the words: each starts where the last one's ids end, and none goes beyond its block
-    flat = np.arange(grid.size)
-    ends = np.minimum(flat + COUNTS[pick].ravel(), (flat // width + 1) * width)
-    after, starts, i = ends.tolist(), [], 0
-    while i < ids.size:
-        starts.append(i)
-        i = after[i]
-    starts = np.array(starts)
-    row, column, chosen = starts // width, starts % width, pick.ravel()[starts]
-    words = chosen.astype(np.uint64) << DATA_BITS
-    for s in np.unique(chosen):
-        if BITS[s]:
-            sel = np.flatnonzero(chosen == s)
-            columns = column[sel][:, None] + np.arange(COUNTS[s])
-            values = np.where(columns < width, grid[row[sel][:, None], np.minimum(columns, width - 1)], np.uint64(0))
-            shifts = (np.arange(COUNTS[s]) * BITS[s]).astype(np.uint64)
-            words[sel] |= np.bitwise_or.reduce(values << shifts, axis=1) & np.uint64((1 << 60) - 1)
-    words[literal.ravel()[starts]] = ESCAPE
-    per_block = np.bincount(row, minlength=rows)
-    if literal.any():
-        pieces = [x for r, w in enumerate(np.split(words, np.cumsum(per_block)[:-1])) for x in (w, grid[r][literal[r]])]
-        words, per_block = np.concatenate(pieces), per_block + literal.sum(axis=1)
-    return words.astype("<u8").tobytes(), (np.cumsum(per_block) - per_block).tolist()
+    widest = grid.max(axis=1)
+    bits = np.frexp(widest.astype(np.float64))[1]  # rounding up, for ids of over 53 bits, only costs room
+    selector = _SELECTOR[bits]
+    size = GROUP // COUNTS[selector]
+    ends = np.cumsum(size)
+    # zeros that fill up the last group take no words
+    spare = (groups * GROUP - ids.size) // int(COUNTS[selector[-1]])
+    words = np.zeros(int(ends[-1]), np.uint64)
+    for s in np.unique(selector):
+        at = np.flatnonzero(selector == s)
+        shifts = (np.arange(COUNTS[s]) * BITS[s]).astype(np.uint64)
+        packed = np.bitwise_or.reduce(grid[at].reshape(len(at), -1, int(COUNTS[s])) << shifts, axis=2)
+        where = (ends[at] - size[at])[:, None] + np.arange(GROUP // COUNTS[s])
+        words[where] = packed | np.uint64(int(s) << 60)
+    ends[-1] -= spare
+    starts = np.concatenate([[0], ends[block // GROUP - 1 :: block // GROUP]])[: -(-ids.size // block)]
+    literal = ids >> DATA_BITS > 0
+    if literal.any():  # each lies alone in its word: that becomes an escape, and the id follows its block's words
+        words = words[: ends[-1]]
+        pieces, lengths = [], []
+        at = np.flatnonzero(literal)
+        words[(np.cumsum(size) - size)[at // GROUP] + at % GROUP] = ESCAPE
+        for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(words)])):
+            part = ids[k * block : (k + 1) * block]
+            pieces += [words[a:b], part[part >> DATA_BITS > 0]]
+            lengths.append(b - a + len(pieces[-1]))
+        return np.concatenate(pieces).astype("<u8").tobytes(), (np.cumsum(lengths) - lengths).tolist()
+    return words[: ends[-1]].astype("<u8").tobytes(), starts.tolist()
 
 
 def _decode_block(words: np.ndarray, n: int) -> np.ndarray:

@@ -78,7 +78,7 @@ class ChunkEncoder:
         if any(a in text for a in self.whole):
             return self._ids(text)
         chunks, get = self.chunks(text), self.young.get
-        parts = [get(c) for c in chunks]
+        parts = list(map(get, chunks))
         if None in parts:
             found, missing = {}, []
             for c in {c for c, p in zip(chunks, parts) if p is None}:
