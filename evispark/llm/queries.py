@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op10_decontamination
 from .language import op5_language_id
 from .neighbours import op3_adaptive_scan
 from .packing import op2_best_fit_packing
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op8_pii": op8_pii,
     "op9_token_counts": op9_token_counts,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
