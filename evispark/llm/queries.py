@@ -7,6 +7,7 @@ from .language import op5_language_id
 from .neighbours import op3_adaptive_scan
 from .packing import op2_best_fit_packing
 from .pii import op8_pii
+from .suffix_dedup import op6_suffix_dedup
 from .token_counts import op9_token_counts
 from .token_output import op4_token_output
 from .toxicity import op1_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_adaptive_scan": op3_adaptive_scan,
     "op4_token_output": op4_token_output,
     "op5_language_id": op5_language_id,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op8_pii": op8_pii,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
