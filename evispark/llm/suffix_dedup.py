@@ -10,8 +10,12 @@ positions that the text itself selects and no repeated string can avoid:
   equals) is its anchor. Equal strings have equal anchors at equal places. The strings with one anchor form a segment;
   the sorted pairs are (rank of the anchor, name of its segment). An anchor that is unique ends here with all strings of
   its segment. A segment that occurs before goes whole. What is left is the first of each of several segments with the
-  same anchor: these alone can still share strings, and are ranked by each position.
+  same anchor. A string that two of them share reaches REACH bytes or more beyond the anchor to one side at least, so
+  only segments that also have a neighbour of that many bytes in common are ranked further, by each position.
 * Rounds of 2 * FIRST and LENGTH bytes, over every position of those segments: pairs are sorted, unique ones drop out.
+  Equal strings have equal anchors, so these rounds run within the partition that the anchor's rank deals the segments
+  to, on their bytes; positions of anchors of over CROWD segments are sorted by Spark, one row each, as no task should
+  hold them.
 
 Names are 64-bit fingerprints of bytes, so two different strings are taken for equal with a chance of about 2 ** -64 a
 pair. Equal segments within a task are cut down to the first before anything is shuffled, so a passage that a third of
@@ -36,8 +40,11 @@ from .common import documents, partitions, staged
 
 LENGTH = 100
 FIRST = 32
+REACH = (LENGTH - FIRST) // 2
 #: Rows of anchors that a task holds before it cuts down equal ones and sends the rest.
 HELD = 1_000_000
+#: Differing segments of one anchor that a task ranks by itself.
+CROWD = 20_000
 _NONE = -(1 << 63)  # stands for a null doc_id
 
 _rng = np.random.default_rng(20)
@@ -93,10 +100,10 @@ def _smallest(x: np.ndarray, width: int) -> np.ndarray:
     return have if size == width else np.minimum(have[: len(x) - width + 1], have[width - size :])
 
 
-def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor names, segment names, first string and number of strings of each segment."""
+def segments(data: bytes) -> tuple[np.ndarray, ...]:
+    """Anchor names, segment names, first string and number of strings of each segment, short names of its neighbours."""
     if len(data) < LENGTH:
-        return (np.empty(0, np.int64),) * 4
+        return (np.empty(0, np.int64),) * 5
     names = Names(data)
     first = names.all(FIRST)
     width = LENGTH - FIRST + 1
@@ -109,7 +116,15 @@ def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     anchors = least[starts]
     segment = names.at(starts, LENGTH) * np.uint64(3) ^ names.at(starts + counts - 1, LENGTH)
     segment = Names._mix(segment + counts.astype(np.uint64))
-    return anchors.view(np.int64), segment.view(np.int64), starts, counts
+    at = np.zeros(len(starts), np.int64)  # of the anchor
+    for step in range(width - 1, -1, -1):
+        np.copyto(at, step, where=first[starts + step] == anchors)
+    at += starts
+    left = np.where(at >= REACH, names.at(np.maximum(at - REACH, 0), REACH) >> np.uint64(49) | np.uint64(1 << 15), np.uint64(0))
+    fits = at + FIRST + REACH <= len(data)
+    right = np.where(fits, names.at(np.where(fits, at + FIRST, 0), REACH) >> np.uint64(49) | np.uint64(1 << 15), np.uint64(0))
+    near = (left.astype(np.int64) << 16 | right.astype(np.int64)).astype(np.uint32).view(np.int32)
+    return anchors.view(np.int64), segment.view(np.int64), starts, counts, near
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -118,7 +133,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 #: at: the first string; n: how many follow each other; gone: known to occur before.
-ANCHORS = "f bigint, s bigint, k bigint, t int, at int, n int, gone boolean"
+ANCHORS = "f bigint, s bigint, k bigint, t int, at int, n int, near int, gone boolean"
 
 
 def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,7 +142,7 @@ def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def flush() -> pd.DataFrame:
         """Of equal segments the first stays; the strings of the others, put together where they join, are gone."""
-        out = pd.DataFrame({c: np.concatenate([h[c] for h in held]) for c in ("f", "s", "k", "t", "at", "n")})
+        out = pd.DataFrame({c: np.concatenate([h[c] for h in held]) for c in ("f", "s", "k", "t", "at", "n", "near")})
         order = np.lexsort((out["at"], out.t, out.k, out.s, out.f))
         f, s = out.f.to_numpy()[order], out.s.to_numpy()[order]
         again = np.zeros(len(out), bool)
@@ -144,9 +159,9 @@ def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         for k, t, text in zip(batch.k, batch.t, batch.text):
-            f, s, at, n = segments(text.encode("utf-8", "surrogatepass"))
+            f, s, at, n, near = segments(text.encode("utf-8", "surrogatepass"))
             if len(f):
-                held.append({"f": f, "s": s, "k": np.full(len(f), k, np.int64), "t": np.full(len(f), t, np.int32), "at": at.astype(np.int32), "n": n.astype(np.int32)})
+                held.append({"f": f, "s": s, "k": np.full(len(f), k, np.int64), "t": np.full(len(f), t, np.int32), "at": at.astype(np.int32), "n": n.astype(np.int32), "near": near})
                 rows += len(f)
         if rows > HELD:
             yield flush()
@@ -163,17 +178,13 @@ def _positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for k, t, text, spans in zip(batch.k, batch.t, batch.text, batch.spans):
             names = Names(text.encode("utf-8", "surrogatepass"))
             at = np.unique(np.concatenate([np.arange(s["at"], s["at"] + s["n"]) for s in spans]))
-            parts = [names.at(at + a, b - a).view(np.int64) for a, b in ((0, FIRST), (FIRST, 2 * FIRST), (2 * FIRST, LENGTH))]
-            held.append(pd.DataFrame({"k": np.full(len(at), k, np.int64), "t": np.full(len(at), t, np.int32), "at": at.astype(np.int32), "rank": parts[0], "next_1": parts[1], "next_2": parts[2]}))
+            rank, whole = names.at(at, FIRST).view(np.int64), names.at(at, LENGTH).view(np.int64)
+            after = (names.at(at + FIRST, FIRST) >> np.uint64(32)).astype(np.uint32).view(np.int32)  # only sets unique ones apart
+            held.append(pd.DataFrame({"k": np.full(len(at), k, np.int64), "t": np.full(len(at), t, np.int32), "at": at.astype(np.int32), "rank": rank, "after": after, "whole": whole}))
         if held:
             yield pd.concat(held, ignore_index=True)
 
 
-def _spans(text: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    by_document = spans.groupBy("k", "t").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-    return text.join(by_document, ["k", "t"], how)
-
-
 def repeated(docs: DataFrame) -> DataFrame:
     """(k, t, at, n): strings at, at + 1, ... n of them, that also start earlier."""
     anchors = _keyed(docs).where(F.octet_length("text") >= LENGTH).mapInPandas(_anchors, ANCHORS)
@@ -183,19 +194,94 @@ def repeated(docs: DataFrame) -> DataFrame:
     ranked = dealt.withColumn("first", first).withColumn("low", F.min("s").over(by_anchor)).withColumn("high", F.max("s").over(by_anchor))
     here = F.struct("k", "t", "at")
     gone = F.col("gone") | (F.col("first") != here)
-    kept = ranked.select("k", "t", "at", "n", gone.alias("gone"), (~gone & (F.col("low") != F.col("high"))).alias("open"))
+    kept = ranked.select("f", "k", "t", "at", "n", "near", gone.alias("gone"), (~gone & (F.col("low") != F.col("high"))).alias("open"))
     return staged(kept.where("gone OR open"), "segments")
 
 
+def _sharing(found: DataFrame) -> DataFrame:
+    """The open segments that have the bytes on one side of the anchor in common with another."""
+    left, right = F.shiftrightunsigned("near", 16), F.col("near").bitwiseAND(0xFFFF)
+    rows = found.where("open").select("f", "k", "t", "at", "n", left.alias("left"), right.alias("right"))
+    sides = [(F.count("*").over(Window.partitionBy("f", side)) > 1) & (F.col(side) != 0) for side in ("left", "right")]
+    return rows.repartition(partitions(found.sparkSession), "f").withColumn("by_left", sides[0]).withColumn("by_right", sides[1]).where("by_left OR by_right").withColumn("crowd", F.count("*").over(Window.partitionBy("f"))).select("f", "k", "t", "at", "n", "crowd")
+
+
 def _open_strings(text: DataFrame, segments_left: DataFrame) -> DataFrame:
     """The doubling rounds over the positions of segments that share an anchor and differ."""
-    ranks = _spans(text, segments_left, "inner").select("k", "t", "text", "spans").mapInPandas(_positions, "k bigint, t int, at int, rank bigint, next_1 bigint, next_2 bigint")
-    pair = Window.partitionBy("rank", "next_1")
-    twice = ranks.withColumn("same", F.count("*").over(pair)).where(F.col("same") > 1).select("k", "t", "at", F.xxhash64("rank", "next_1").alias("rank"), "next_2")
-    first = F.min(F.struct("k", "t", "at")).over(Window.partitionBy("rank", "next_2"))
+    ranks = _spans(text, segments_left, "inner").select("k", "t", "text", "spans").mapInPandas(_positions, "k bigint, t int, at int, rank bigint, after int, whole bigint")
+    pair = Window.partitionBy("rank", "after")
+    twice = ranks.withColumn("same", F.count("*").over(pair)).where(F.col("same") > 1).select("k", "t", "at", F.xxhash64("rank", "after").alias("rank"), "whole")
+    first = F.min(F.struct("k", "t", "at")).over(Window.partitionBy("rank", "whole"))
     return twice.withColumn("first", first).where(F.col("first") != F.struct("k", "t", "at")).select("k", "t", "at", F.lit(1).alias("n"))
 
 
+def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for k, t, text, spans in zip(batch.k, batch.t, batch.text, batch.spans):
+            data = text.encode("utf-8", "surrogatepass")
+            rows += [(x["f"], k, t, x["at"], x["n"], data[x["at"] : x["at"] + x["n"] + LENGTH - 1]) for x in spans]
+        yield pd.DataFrame(rows, columns=["f", "k", "t", "at", "n", "bytes"])
+
+
+def _rank_within(rows: pd.DataFrame) -> pd.DataFrame:
+    """The doubling rounds over whole anchors' segments: what strings start earlier too, put together where they join."""
+    names = Names(b"".join(rows.bytes))
+    n = rows.n.to_numpy().astype(np.int64)
+    sizes = n + LENGTH - 1
+    owner = np.repeat(np.arange(len(rows)), n)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    place = (np.cumsum(sizes) - sizes)[owner] + nth
+    for length in (2 * FIRST, LENGTH):
+        rank = names.at(place, length)
+        order = np.argsort(rank, kind="stable")
+        same = rank[order][1:] == rank[order][:-1]
+        left = np.sort(order[np.concatenate([[False], same]) | np.concatenate([same, [False]])])
+        owner, nth, place = owner[left], nth[left], place[left]
+    rank = names.at(place, LENGTH)
+    k, t, at = rows.k.to_numpy()[owner], rows.t.to_numpy()[owner], rows["at"].to_numpy()[owner] + nth
+    order = np.lexsort((at, t, k, rank))
+    again = order[1:][rank[order][1:] == rank[order][:-1]]
+    again = again[np.lexsort((at[again], t[again], k[again]))]
+    k, t, at = k[again], t[again], at[again]
+    if not len(at):
+        return pd.DataFrame({"k": k, "t": t, "at": at, "n": at})
+    new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (t[1:] != t[:-1]) | (at[1:] != at[:-1] + 1)]))
+    return pd.DataFrame({"k": k[new], "t": t[new], "at": at[new], "n": np.diff(np.append(new, len(at)))})
+
+
+def _rank_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches are sorted by anchor; the last anchor of what is held may go on in the next batch."""
+    held = None
+    for batch in batches:
+        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        whole = held.f.to_numpy() != held.f.iloc[-1]
+        if len(held) > CROWD and whole.any():
+            yield _rank_within(held[whole])
+            held = held[~whole]
+    if held is not None and len(held):
+        yield _rank_within(held)
+
+
+SPANS = "k bigint, t int, at int, n int"
+
+
+def _shared_strings(text: DataFrame, sharing: DataFrame) -> DataFrame:
+    few = sharing.where(F.col("crowd") <= CROWD)
+    by_document = few.groupBy("k", "t").agg(F.collect_list(F.struct("f", "at", "n")).alias("spans"))
+    contents = text.join(by_document, ["k", "t"]).select("k", "t", "text", "spans").mapInPandas(_contents, "f bigint, k bigint, t int, at int, n int, bytes binary")
+    dealt = contents.repartition(partitions(text.sparkSession), "f").sortWithinPartitions("f")
+    found = dealt.mapInPandas(_rank_all, SPANS)
+    if sharing.where(F.col("crowd") > CROWD).limit(1).count():
+        found = found.unionByName(_open_strings(text, sharing.where(F.col("crowd") > CROWD).select("k", "t", "at", "n")))
+    return found
+
+
+def _spans(text: DataFrame, spans: DataFrame, how: str) -> DataFrame:
+    by_document = spans.groupBy("k", "t").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    return text.join(by_document, ["k", "t"], how)
+
+
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
@@ -222,7 +308,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     found = repeated(docs)
     text = _keyed(docs).repartition(partitions(docs.sparkSession), "k", "t")
-    open_strings = _open_strings(text, found.where("open").select("k", "t", "at", "n"))
+    open_strings = _shared_strings(text, staged(_sharing(found), "sharing"))
     spans = found.where("gone").select("k", "t", "at", "n").unionByName(open_strings)
     same = F.row_number().over(Window.partitionBy("k", "t", "text").orderBy("k"))
     whole = _spans(text, spans, "left").withColumn("nth", same)
