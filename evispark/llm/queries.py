@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op10_decontamination
+from .jaccard_join import op7_jaccard_join
 from .language import op5_language_id
 from .neighbours import op3_adaptive_scan
 from .packing import op2_best_fit_packing
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_token_output": op4_token_output,
     "op5_language_id": op5_language_id,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_pii": op8_pii,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,

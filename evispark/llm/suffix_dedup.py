@@ -67,7 +67,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Names:
     """Names of any substring of one text."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes | np.ndarray):
         values = _BYTE[np.frombuffer(data, np.uint8)]
         up, self.down = _powers(len(data) + 1)
         values *= up[: len(values)]

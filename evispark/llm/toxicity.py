@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,6 +166,18 @@ def score_documents(docs: DataFrame, machine: Machine, *keep: str) -> DataFrame:
     return read.mapInPandas(score, f"{schema}, toxic_score double, toxic_predicted int")
 
 
+def drop_toxic(docs: DataFrame, machine: Machine) -> DataFrame:
+    """docs, all columns, without the rows that the machine calls toxic."""
+    model = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = model.value.score([terms(t) for t in batch.column("text").to_pylist()])
+            yield batch.filter(pa.array(scores < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     scored = score_documents(docs, learn(docs, labels))
