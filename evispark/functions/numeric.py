@@ -9,6 +9,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 
 def rescale(value: Column, low: float, high: float, to_low: float, to_high: float) -> Column:
@@ -69,7 +70,7 @@ def k3_divergence(new: Column, reference: Column) -> Column:
     return F.zip_with(new, reference, lambda n, r: F.exp(r - n) - (r - n) - 1)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_digest(packages: pd.Series) -> pd.Series:
     """SHA-256 of a package's JSON with sorted keys, nulls kept and package_hash left out; null for no JSON object."""
     def digest(text: str | None) -> str | None:
@@ -100,7 +101,7 @@ def _close(text: str) -> str:
     return text + '"' * quoted + "".join(reversed(stack))
 
 
-@F.pandas_udf("struct<json:string,repaired:boolean>")
+@F.pandas_udf(StructType([StructField("json", StringType()), StructField("repaired", BooleanType())]))
 def tolerant_json(texts: pd.Series) -> pd.DataFrame:
     """JSON out of a model's reply: fences cut off, trailing commas dropped, a cut-off end closed. Null where it fails."""
     import re

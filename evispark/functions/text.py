@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that carry no evidence, in comparisons of quotes and items.
 STOP_WORDS = (
@@ -41,7 +42,7 @@ def squash(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(_text(c), r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Compatibility composition; no built-in function does it."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

@@ -11,13 +11,11 @@ from evispark.operators import windows as w
 from evispark.plans.registry import query
 from evispark.sources.readers import table
 
-REWARD = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     decision = F.when(F.col("l_returnflag") == "R", "closed").when(F.col("l_returnflag") == "A", "not_closed")
     label = F.when(F.col("l_linestatus") == "O", "closed").otherwise("not_closed")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax", "l_discount", REWARD.alias("reward"), decision.alias("decision"), label.alias("label"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax", "l_discount", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("reward"), decision.alias("decision"), label.alias("label"))
 
 
 SAMPLES = """
