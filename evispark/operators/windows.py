@@ -83,10 +83,15 @@ def global_rank(rows: DataFrame, order: list[str], name: str, ranges: int = 64)
     range's base. Bounds are quantiles of that key."""
     key = order[0]
     bounds = sorted({b for b in rows.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)])).first()[0] or []})
-    dealt = F.lit(0)
-    for b in bounds:
-        dealt = dealt + (F.col(key) > F.lit(b)).cast("int")
-    ranged = rows.withColumn("_range", dealt)
+
+    def dealt(low: int, high: int) -> Column:
+        """How many bounds lie below the key, by halves."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(key) > F.lit(bounds[middle]), dealt(middle + 1, high)).otherwise(dealt(low, middle))
+
+    ranged = rows.withColumn("_range", dealt(0, len(bounds)))
     within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     base = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
