@@ -104,9 +104,6 @@ def label_join_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing.join(F.broadcast(twice))  # one row each
 
 
-EVENTS = "SELECT *, CAST(props->>'$.k' AS BIGINT) AS k FROM events"
-
-
 @query("""
 SELECT user_id, count(*) AS calls, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 6) AS failure_rate,
        round(avg(CASE WHEN value < 1 THEN 1.0 ELSE 0.0 END), 6) AS parse_rate, round(avg(CASE WHEN event_type = 'view' AND value > 95 THEN 1.0 ELSE 0.0 END), 6) AS inconsistent_rate,
@@ -175,9 +172,11 @@ def wrong_but_rewarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.wrong_but_rewarded(standard_advantage(rows, ["l_orderkey"], F.col("l_extendedprice")), "d", "advantage")
 
 
-@query("SELECT avg(l_extendedprice * l_discount) AS judge_part, avg(l_extendedprice - l_extendedprice * l_discount) AS program_part FROM (SELECT * FROM lineitem WHERE l_linenumber = 1)".replace("avg(", "round(avg(").replace(") AS", "), 3) AS"))
+@query("""
+SELECT round(avg(l_extendedprice * l_discount), 3) AS judge_part, round(avg(l_extendedprice - l_extendedprice * l_discount), 3) AS program_part FROM lineitem
+""")
 def reward_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_extendedprice", (F.col("l_extendedprice") * F.col("l_discount")).alias("judged"))
+    rows = table(spark, sf_dir, "lineitem").select("l_extendedprice", (F.col("l_extendedprice") * F.col("l_discount")).alias("judged"))
     return ev.reward_parts(rows, "l_extendedprice", "judged").select(*[F.round(c, 3).alias(c) for c in ("judge_part", "program_part")])
 
 

@@ -55,8 +55,7 @@ def verified_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def restated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of a source that others restate: a case is a source's documents of one language."""
+    """Items that others of their case restate: a case is a source's documents of one language."""
     docs = table(spark, sf_dir, "documents").select(F.concat_ws(":", "source", "lang").alias("case_id"), F.col("doc_id").cast("string").alias("evidence_id"), "text")
-    removed = docs.where(F.pmod(F.xxhash64("evidence_id"), F.lit(3)) == 0)
-    targets = docs.join(removed.select("case_id", "evidence_id"), ["case_id", "evidence_id"], "left_anti").select("case_id", F.col("evidence_id").alias("target"), F.lit(False).alias("in_brief"), "text")
-    return cf.leak_check(removed, targets, docs).where("likely").select("case_id", "evidence_id", "target", "number", "token", "shingle")
+    targets = docs.select("case_id", F.col("evidence_id").alias("target"), F.lit(False).alias("in_brief"), "text")
+    return cf.leak_check(docs, targets, docs).where("likely").select("case_id", "evidence_id", "target", "number", "token", "shingle")
