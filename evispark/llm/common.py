@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Uncompressed bytes of payload that one task should hold.
-TASK_BYTES = 16 << 20
+#: Texts that go to a Python worker at a time, at most.
+TEXTS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +51,14 @@ def crc_bucket(column: str, modulus: int):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus)).cast("int")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python TEXTS at a time, so that a worker's memory doesn't grow with the rows of a task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXTS:
+        spark.conf.set(name, TEXTS)
+
+
 def documents(df: DataFrame, *keep: str) -> DataFrame:
     """Only the columns an operator reads: extra columns, whatever their names, never reach a join."""
+    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in keep])

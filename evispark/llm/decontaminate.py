@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, staged
+from .common import documents, small_batches, staged
 
 SEED = 3
 RARE_SHARE = 0.001
@@ -199,6 +199,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs, all columns, without the contaminated rows. Texts stay where they are: no join, no shuffle."""
+    small_batches(docs.sparkSession)
     for items in blocks(benchmark):
         rare = _rare(staged(_passages(docs, items).select("doc_id", "seeds"), "seeds"), items, docs.count())
 

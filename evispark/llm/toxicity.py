@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, documents
+from .common import crc_bucket, documents, small_batches
 
 BUCKETS = 1 << 18
 FACTORS = 8
@@ -45,7 +45,7 @@ def terms(text: str | None) -> np.ndarray:
     """The distinct hashed terms of one whole text."""
     if not text:
         return np.empty(0, np.int32)
-    if len(_TERMS) > 500_000:
+    if len(_TERMS) > 100_000:
         _TERMS.clear()
     out, get = [], _TERMS.get
     for word in set(_WORD(text.lower())):
@@ -168,6 +168,7 @@ def score_documents(docs: DataFrame, machine: Machine, *keep: str) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, machine: Machine) -> DataFrame:
     """docs, all columns, without the rows that the machine calls toxic."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(machine)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
