@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts that go to a Python worker at a time, at most.
-TEXTS = 512
+TEXTS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -39,7 +39,7 @@ SAMPLE_COUNT = 3
 #: Frequent shingles that are told to all tasks, at most.
 FREQUENT = 200_000
 LONG_LIST = 64
-BLOCK = 1024
+BLOCK = 512
 #: Light sets have at most so many shingles, whatever the costs.
 MOST_LIGHT = 12
 #: What a list entry costs, in subsets.

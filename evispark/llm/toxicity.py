@@ -45,7 +45,7 @@ def terms(text: str | None) -> np.ndarray:
     """The distinct hashed terms of one whole text."""
     if not text:
         return np.empty(0, np.int32)
-    if len(_TERMS) > 100_000:
+    if len(_TERMS) > 50_000:
         _TERMS.clear()
     out, get = [], _TERMS.get
     for word in set(_WORD(text.lower())):
