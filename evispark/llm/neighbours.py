@@ -8,7 +8,7 @@ What survives is ranked by the exact double-precision distance of the original v
 
 Equal vectors are one class: only its k + 1 smallest ids can be among anyone's k nearest, so the class keeps these and
 nothing is lost. Lists are split into chunks of CHUNK vectors, so a hot list is many tasks of bounded size; queries meet
-the chunks of their PROBES nearest lists.
+the chunks of their nearest lists, as many as a sample's own neighbours ask for.
 
 Null vectors, zero vectors, those of another length than most, and those with null or non-finite components take no
 part, neither do rows without id. Ids that repeat are rows of their own; a query never returns its own id. With fewer
@@ -30,10 +30,13 @@ from .common import staged
 #: Vectors that the centres are fitted on, at most.
 SAMPLE = 20_000
 #: Vectors in a list, about.
-LIST = 400
+LIST = 1000
 #: Lists at most; their centres are the only thing that is sent to all executors.
 LISTS = 4096
-PROBES = 24
+#: Share of true neighbours that the probed lists should hold, as a sample's own neighbours tell.
+HELD = 0.97
+#: Queries of the sample by which the number of probed lists is chosen.
+TRIALS = 200
 BLOCK = 16
 EPSILON = 2.1
 #: Vectors in a chunk of a list, about.
@@ -63,6 +66,20 @@ def fit_centres(x: np.ndarray, lists: int, rounds: int = 12, seed: int = SEED) -
     return centres
 
 
+def choose_probes(x: np.ndarray, centres: np.ndarray, k: int, held: float = HELD) -> int:
+    """As many lists, nearest first, as hold that share of the k nearest of TRIALS sampled vectors within the sample.
+    Neighbours in a sample are further off than in the whole table, so the number is rather too large than too small."""
+    if not len(x):
+        return 1
+    asked = x[np.random.default_rng(SEED).permutation(len(x))[:TRIALS]]
+    norms, own = (centres**2).sum(axis=1), (x**2).sum(axis=1)
+    lists = (x @ centres.T * -2 + norms).argmin(axis=1)
+    near = np.argsort(asked @ x.T * -2 + own, axis=1, kind="stable")[:, : k + 1]
+    place = np.argsort(np.argsort(asked @ centres.T * -2 + norms, axis=1, kind="stable"), axis=1)
+    ranks = np.sort(np.take_along_axis(place, lists[near], axis=1).ravel())
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(held * len(ranks))))]) + 1
+
+
 def rotation(dimensions: int, seed: int = SEED) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dimensions, dimensions)))
     return q * np.sign(np.diag(r))
@@ -86,8 +103,9 @@ def scan(query: np.ndarray, blocks: list[np.ndarray], k: int, bound: float) -> t
     return alive, read
 
 
-def build(vectors: DataFrame, k: int = 10, id_column: str = "vec_id", column: str = "embedding") -> tuple[DataFrame, np.ndarray, int]:
-    """The staged index (id, v, list, chunk) of every usable vector's class, the centres, and the dimension."""
+def build(vectors: DataFrame, k: int = 10, id_column: str = "vec_id", column: str = "embedding") -> tuple[DataFrame, np.ndarray, int, int]:
+    """The staged index (id, v, list, chunk) of every usable vector's class, the centres, the dimension, and how many
+    lists to probe."""
     v = F.col(f"`{column}`").cast("array<double>")
     rows = vectors.select(F.col(f"`{id_column}`").cast("bigint").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
@@ -111,10 +129,10 @@ def build(vectors: DataFrame, k: int = 10, id_column: str = "vec_id", column: st
     dealt = staged(dealt, "vectors")
     counts = dealt.groupBy("list").agg(F.count("*").alias("n"))  # a row for each list
     chunk = F.pmod(F.xxhash64("id", F.lit("chunk")), F.ceil(F.col("n") / CHUNK)).cast("int")
-    return dealt.join(F.broadcast(counts), "list").select("id", "v", "list", chunk.alias("chunk"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), centres, dimensions
+    return dealt.join(F.broadcast(counts), "list").select("id", "v", "list", chunk.alias("chunk"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), centres, dimensions, choose_probes(x, centres, k)
 
 
-def search(index: DataFrame, centres: np.ndarray, dimensions: int, queries: DataFrame, k: int = 10, probes: int = PROBES) -> DataFrame:
+def search(index: DataFrame, centres: np.ndarray, dimensions: int, queries: DataFrame, probes: int, k: int = 10) -> DataFrame:
     """queries: id, v. The k nearest of each one, as query_id, rank, vec_id, score."""
     spark = index.sparkSession
     turn = rotation(dimensions)
@@ -166,7 +184,7 @@ def search(index: DataFrame, centres: np.ndarray, dimensions: int, queries: Data
 
 def op3_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    index, centres, dimensions = build(vectors)
+    index, centres, dimensions, probes = build(vectors)
     v = F.col("embedding").cast("array<double>")
     queries = vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").cast("bigint").alias("id"), v.alias("v")).where(usable(F.col("v")) & (F.size("v") == dimensions))
-    return search(index, centres, dimensions, queries)
+    return search(index, centres, dimensions, queries, probes)

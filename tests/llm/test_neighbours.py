@@ -10,10 +10,10 @@ def _table(spark, m, ids=None):
 
 
 def _search(table, k=10, **more):
-    index, centres, d = neighbours.build(table, k)
+    index, centres, d, probes = neighbours.build(table, k)
     v = F.col("embedding").cast("array<double>")
     asked = table.where("vec_id % 100 = 0").select(F.col("vec_id").alias("id"), v.alias("v")).where(neighbours.usable(F.col("v")) & (F.size("v") == d))
-    return neighbours.search(index, centres, d, asked, k, **more)
+    return neighbours.search(index, centres, d, asked, more.get("probes", probes), k)
 
 
 def _exact(table, k):
@@ -33,7 +33,7 @@ def test_recall_against_brute_force(spark, monkeypatch):
     centres = rng.normal(size=(30, 32))
     table = _table(spark, np.concatenate([centres[rng.integers(0, 30, 3000)] + 0.5 * rng.normal(size=(3000, 32)), np.tile(centres[:1], (200, 1))]))
     want, got = _exact(table, 10), {}
-    for r in _search(table, probes=12).orderBy("query_id", "rank").collect():
+    for r in _search(table).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     hits = sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want)
     assert hits / sum(map(len, want.values())) >= 0.95
