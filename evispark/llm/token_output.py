@@ -39,42 +39,67 @@ _FIT = [max((s for s in range(len(COUNTS)) if BITS[s] and GROUP % COUNTS[s] == 0
 _SELECTOR = np.array(_FIT, np.uint8)
 
 
-def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, list[int]]:
-    """The words of one document and the word at which each of its blocks starts. block: a multiple of GROUP."""
-    ids = np.asarray(ids, np.uint64)
-    if not ids.size:
-        return b"", []
-    groups = -(-ids.size // GROUP)
-    grid = np.zeros((groups, GROUP), np.uint64)
-    grid.reshape(-1)[: ids.size] = ids
-    widest = grid.max(axis=1)
-    bits = np.frexp(widest.astype(np.float64))[1]  # rounding up, for ids of over 53 bits, only costs room
+def encode_many(documents_ids: list[np.ndarray], block: int = BLOCK) -> list[tuple[bytes, list[int]]]:
+    """For each document its words and the word at which each of its blocks starts. block: a multiple of GROUP."""
+    sizes = np.array([len(x) for x in documents_ids], np.int64)
+    if not sizes.sum():
+        return [(b"", [])] * len(sizes)
+    ids = np.concatenate(documents_ids).astype(np.uint64)
+    groups = -(-sizes // GROUP)
+    last = np.cumsum(groups)
+    first = last - groups
+    grid = np.zeros((int(last[-1]), GROUP), np.uint64)
+    shift = np.repeat(first * GROUP - (np.cumsum(sizes) - sizes), sizes)
+    grid.reshape(-1)[np.arange(len(ids)) + shift] = ids
+    bits = np.frexp(grid.max(axis=1).astype(np.float64))[1]  # rounding up, for ids of over 53 bits, only costs room
     selector = _SELECTOR[bits]
     size = GROUP // COUNTS[selector]
-    ends = np.cumsum(size)
-    # zeros that fill up the last group take no words
-    spare = (groups * GROUP - ids.size) // int(COUNTS[selector[-1]])
-    words = np.zeros(int(ends[-1]), np.uint64)
+    begin = np.cumsum(size) - size
+    words = np.zeros(int(size.sum()), np.uint64)
     for s in np.unique(selector):
         at = np.flatnonzero(selector == s)
         shifts = (np.arange(COUNTS[s]) * BITS[s]).astype(np.uint64)
         packed = np.bitwise_or.reduce(grid[at].reshape(len(at), -1, int(COUNTS[s])) << shifts, axis=2)
-        where = (ends[at] - size[at])[:, None] + np.arange(GROUP // COUNTS[s])
-        words[where] = packed | np.uint64(int(s) << 60)
-    ends[-1] -= spare
-    starts = np.concatenate([[0], ends[block // GROUP - 1 :: block // GROUP]])[: -(-ids.size // block)]
-    literal = ids >> DATA_BITS > 0
-    if literal.any():  # each lies alone in its word: that becomes an escape, and the id follows its block's words
-        words = words[: ends[-1]]
-        pieces, lengths = [], []
-        at = np.flatnonzero(literal)
-        words[(np.cumsum(size) - size)[at // GROUP] + at % GROUP] = ESCAPE
-        for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(words)])):
-            part = ids[k * block : (k + 1) * block]
-            pieces += [words[a:b], part[part >> DATA_BITS > 0]]
-            lengths.append(b - a + len(pieces[-1]))
-        return np.concatenate(pieces).astype("<u8").tobytes(), (np.cumsum(lengths) - lengths).tolist()
-    return words[: ends[-1]].astype("<u8").tobytes(), starts.tolist()
+        words[begin[at][:, None] + np.arange(GROUP // COUNTS[s])] = packed | np.uint64(int(s) << 60)
+    escapes = ids.max() >> DATA_BITS > 0
+    if escapes:  # each such id lies alone in its word
+        big = np.flatnonzero(grid.reshape(-1) >> DATA_BITS > 0)
+        words[begin[big // GROUP] + big % GROUP] = ESCAPE
+    out, begin_list = [], np.append(begin, len(words)).tolist()
+    spare = np.zeros(len(sizes), np.int64)  # zeros that fill up a last group take no words
+    full = groups > 0
+    spare[full] = (groups * GROUP - sizes)[full] // COUNTS[selector[last[full] - 1]]
+    step, raw = block // GROUP, words.astype("<u8").tobytes()
+    for k, (a, b, less) in enumerate(zip(first.tolist(), last.tolist(), spare.tolist())):
+        base, end = begin_list[a], begin_list[b] - less
+        starts = [begin_list[g] - base for g in range(a, b, step)]
+        if not escapes:
+            out.append((raw[8 * base : 8 * end], starts))
+            continue
+        pieces, lengths = [], []  # the literals of a block follow its words
+        for n, (x, y) in enumerate(zip(starts, [*starts[1:], end - base])):
+            part = np.asarray(documents_ids[k][n * block : (n + 1) * block], np.uint64)
+            pieces += [words[base + x : base + y], part[part >> DATA_BITS > 0]]
+            lengths.append(y - x + len(pieces[-1]))
+        out.append((np.concatenate([np.empty(0, np.uint64), *pieces]).astype("<u8").tobytes(), (np.cumsum(lengths) - lengths).tolist()))
+    return out
+
+
+def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, list[int]]:
+    """The words of one document and the word at which each of its blocks starts."""
+    return encode_many([np.asarray(ids, np.uint64)], block)[0]
+
+
+def _unpack(words: np.ndarray, selector: np.ndarray, skip: np.ndarray, place: np.ndarray, limit: np.ndarray, out: np.ndarray) -> None:
+    """Ids of words to out, from place on and below limit, word by word; words to skip stay out."""
+    for s in np.unique(selector):
+        at = np.flatnonzero((selector == s) & ~skip)
+        if BITS[s] and len(at):
+            shifts = (np.arange(COUNTS[s]) * BITS[s]).astype(np.uint64)
+            values = (words[at][:, None] >> shifts) & np.uint64((1 << int(BITS[s])) - 1)
+            where = place[at][:, None] + np.arange(COUNTS[s])
+            ok = where < limit[at][:, None]
+            out[where[ok]] = values[ok]
 
 
 def _decode_block(words: np.ndarray, n: int) -> np.ndarray:
@@ -83,15 +108,10 @@ def _decode_block(words: np.ndarray, n: int) -> np.ndarray:
     ends = np.cumsum(np.where(escape, 1, COUNTS[selector]))
     used = int(np.searchsorted(ends, n)) + 1  # what follows are literals
     words, literals, selector, escape, ends = words[:used], words[used:], selector[:used], escape[:used], ends[:used]
-    out = np.zeros(int(ends[-1]), np.uint64)
-    for s in np.unique(selector):
-        sel = (selector == s) & ~escape
-        if BITS[s] and sel.any():
-            shifts = (np.arange(COUNTS[s]) * BITS[s]).astype(np.uint64)
-            values = (words[sel][:, None] >> shifts) & np.uint64((1 << int(BITS[s])) - 1)
-            out[((ends[sel] - COUNTS[s])[:, None] + np.arange(COUNTS[s])).ravel()] = values.ravel()
+    out = np.zeros(n, np.uint64)
+    _unpack(words, selector, escape, ends - np.where(escape, 1, COUNTS[selector]), np.full(used, n), out)
     out[ends[escape] - 1] = literals[: int(escape.sum())]
-    return out[:n]
+    return out
 
 
 def decode(words: bytes, block_words: list[int], n_ids: int, block: int = BLOCK) -> np.ndarray:
@@ -102,6 +122,24 @@ def decode(words: bytes, block_words: list[int], n_ids: int, block: int = BLOCK)
     return np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
 
+def decode_many(coded: list[bytes], block_words: list, n_ids: np.ndarray, block: int = BLOCK) -> list[np.ndarray]:
+    """The ids of each document; documents without escapes are decoded together."""
+    sizes = np.array([len(w) // 8 for w in coded], np.int64)
+    words = np.frombuffer(b"".join(coded), "<u8").astype(np.uint64)
+    if (words == ESCAPE).any():
+        return [decode(w, list(b), int(n), block) for w, b, n in zip(coded, block_words, n_ids)]
+    n_ids = np.asarray(n_ids, np.int64)
+    base = np.cumsum(n_ids) - n_ids
+    selector = (words >> DATA_BITS).astype(np.int64)
+    counts = COUNTS[selector]
+    before = np.cumsum(counts) - counts
+    first = np.minimum(np.cumsum(sizes) - sizes, max(len(words) - 1, 0))
+    place = before - np.repeat(before[first] if len(words) else first, sizes) + np.repeat(base, sizes)
+    out = np.zeros(int(n_ids.sum()), np.uint64)
+    _unpack(words, selector, np.zeros(len(words), bool), place, np.repeat(base + n_ids, sizes), out)
+    return np.split(out, base[1:])
+
+
 FILE_SCHEMA = "shard int, doc_id bigint, shard_start bigint, n_ids bigint, block_words array<int>, words binary"
 
 
@@ -114,12 +152,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard
 
         shard, start, coder = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         for batch in batches:
+            ids = [np.append(coder.encode(t), np.uint32(end_id)) for t in batch.text]
             rows = []
-            for doc_id, text in zip(batch.doc_id, batch.text):
-                ids = np.append(coder.encode(text), np.uint32(end_id))
-                words, block_words = encode(ids)
-                rows.append((shard, doc_id, start, len(ids), block_words, words))
-                start += len(ids)
+            for doc_id, x, (words, block_words) in zip(batch.doc_id, ids, encode_many(ids)):
+                rows.append((shard, doc_id, start, len(x), block_words, words))
+                start += len(x)
             yield pd.DataFrame(rows, columns=["shard", "doc_id", "shard_start", "n_ids", "block_words", "words"]).astype({"doc_id": "Int64"})
 
     dealt = documents(docs, "doc_id", "text").repartitionByRange(shards or partitions(spark), "doc_id")
@@ -139,7 +176,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids = (decode(w, list(b), n) for w, b, n in zip(batch.words, batch.block_words, batch.n_ids))
+            ids = decode_many(list(batch.words), list(batch.block_words), batch.n_ids.to_numpy())
             crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
             yield batch[["shard", "doc_id", "shard_start"]].assign(n_tokens=batch.n_ids, ids_crc32=crc).astype({"doc_id": "Int64"})
 

@@ -20,6 +20,16 @@ def test_round_trip(ids, groups):
     assert token_output.decode(words, starts, len(ids), block).tolist() == ids
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.integers(0, 70000), st.integers(2**59, 2**64 - 1)), max_size=60), max_size=6), st.booleans())
+def test_many_documents_at_once(docs, small):
+    docs = [np.array([x % 70000 if small else x for x in d], np.uint64) for d in docs]
+    coded = token_output.encode_many(docs, 24)
+    assert coded == [token_output.encode(d, 24) for d in docs]
+    got = token_output.decode_many([w for w, _ in coded], [b for _, b in coded], np.array([len(d) for d in docs]), 24)
+    assert [x.tolist() for x in got][: len(docs)] == [d.tolist() for d in docs]
+
+
 def test_small_ids_share_words_and_other_selectors_are_read():
     words, _ = token_output.encode(np.full(24, 31, np.uint64))
     assert len(words) == 16
