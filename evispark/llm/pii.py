@@ -29,7 +29,8 @@ PATTERNS = {
 }
 #: What a text must hold for its pattern to be worth a search.
 GUARDS = {"email": "@", "phone": "+"}
-BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+#: Leading zeros count for nothing; a part of zeros alone is 0.
+BYTE = r"(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)|0++)"
 CANDIDATE = r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])(?=[0-9_]*+[A-Za-z])[A-Za-z0-9_]{12,}+"
 #: Code points before a candidate that labelers see.
 CONTEXT = 24

@@ -75,3 +75,15 @@ def test_query_columns_and_redaction(spark, edge_docs, no_docs, tmp_path):
     row = next(r for r in rows if r.doc_id == 9)
     assert (row.n_email, row.n_phone, row.spans) == (1, 1, "email:3:9,phone:14:31")
     assert row.base_sha256 == hashlib.sha256(row.spans.encode()).hexdigest()
+
+
+def test_zero_parts_of_addresses(spark):
+    parts = ["0", "00", "000", "1", "01", "010", "9", "10", "99", "100", "199", "200", "249", "250", "255", "0255", "256", "260", "300", "999", "1000", "0" * 40, "0" * 40 + "7"]
+    texts = ["10.0.0.1 127.0.0.1 0.0.0.0 10.20.30.0 00.0.00.1 0.0.0 1.0.0.256", "0." * 9000, "0" * 20000 + ".0.0.x", ".".join(["0" * 1000] * 4)]
+    texts += [f"{a}.{b}.{b}.{a} {b}.0.{a}.00" for a in parts for b in parts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r for r in pii.find(docs).collect()}
+    for k, text in enumerate(texts):
+        assert [(kind, s.start, s.end) for kind in pii.KINDS for s in found[k][f"_pii_{kind}"]] == _base(text), text[:80]
+    redacted = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert redacted[0] == "<ip> <ip> <ip> <ip> <ip> 0.0.0 1.0.0.256"
