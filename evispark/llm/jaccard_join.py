@@ -111,14 +111,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """(k, t, v, n) of every row: v names the set, n is its size. Staged."""
+    """(k, t, v, n, held) of every row: v names the set, n is its size; held has the shingles of a set that may be light.
+    Staged."""
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingles(t) for t in batch.text]
-            yield pd.DataFrame({"k": batch.k, "t": batch.t, "v": [set_name(s) for s in sets], "n": [len(s) for s in sets]})
+            held = [s.view(np.int64) if 0 < len(s) <= MOST_LIGHT else None for s in sets]
+            yield pd.DataFrame({"k": batch.k, "t": batch.t, "v": [set_name(s) for s in sets], "n": [len(s) for s in sets], "held": pd.Series(held, index=batch.index, dtype=object)})
 
-    return staged(_keyed(docs).mapInPandas(name, "k bigint, t int, v bigint, n int"), "sets")
+    return staged(_keyed(docs).mapInPandas(name, "k bigint, t int, v bigint, n int, held array<bigint>"), "sets")
 
 
 def frequent_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,21 +139,19 @@ def frequent_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarr
     return names[order], rows.c.to_numpy(np.int64)[order]
 
 
-def _light_links(docs: DataFrame, light: int) -> DataFrame:
+def _light_links(sets: DataFrame, light: int) -> DataFrame:
     """Links between light sets. Of the sets with one subset, all that can be linked are linked to the smallest."""
 
     def enumerate_subsets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for text in batch.text:
-                s = shingles(text)
-                if 0 < len(s) <= light:
-                    v = set_name(s)
-                    for c in subset_sizes(len(s), light):
-                        rows += [(c, set_name(np.array(x, np.uint64)), v, len(s)) for x in combinations(s, c)]
+            for v, n, held in zip(batch.v, batch.n, batch.held):
+                s = np.asarray(held, np.int64).view(np.uint64)
+                for c in subset_sizes(n, light):
+                    rows += [(c, set_name(np.array(x, np.uint64)), v, n) for x in combinations(s, c)]
             yield pd.DataFrame(rows, columns=["c", "subset", "v", "n"]).drop_duplicates()
 
-    short = _keyed(docs).where((F.length("text") > 0) & (F.size(F.split(F.substring("text", 1, 1 << 30), r"[ \t\n\x0B\f\r]+")) < light + WORDS + 2))
+    short = sets.where(F.col("n").between(1, light)).select("v", "n", "held")
     rows = short.mapInPandas(enumerate_subsets, "c int, subset bigint, v bigint, n int").distinct()
     least = rows.groupBy("c", "subset").agg(F.min(F.struct("n", "v")).alias("least"))
     need = F.ceil((F.col("n") + F.col("least.n")) * SHARE / (100 + SHARE))
@@ -313,7 +313,7 @@ def join_components(docs: DataFrame) -> DataFrame:
     longer = sets.where(F.col("n") > MOST_LIGHT * 2).agg(F.coalesce(F.sum(F.floor(F.col("n") / 5) + 1), F.lit(0)).alias("c")).first()
     light = choose_light({r.n: r.c for r in small}, longer.c)
     frequent = frequent_shingles(docs, sets.count())
-    links = _light_links(docs, light).unionByName(_heavy_links(docs, sets, frequent, light))
+    links = _light_links(sets, light).unionByName(_heavy_links(docs, sets, frequent, light))
     roots = components(links)
     distinct = sets.groupBy("v").agg(F.min("k").alias("low"))
     by_root = distinct.join(roots.withColumnRenamed("u", "v"), "v", "left").select("v", "low", F.coalesce("root", "v").alias("root"))

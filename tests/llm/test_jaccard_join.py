@@ -81,3 +81,15 @@ def test_edges(spark, edge_docs, no_docs):
     same_id = spark.createDataFrame([(7, "one text here"), (7, "another text there"), (7, "one text here"), (8, "one text here")], "doc_id bigint, text string")
     assert sorted(r.text for r in j.keep_one_each(same_id).collect()) == ["another text there", "one text here"]
     assert j.join_components(no_docs).count() == 0 and j.keep_one_each(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("light", [0, 3, 4, 5, 8, 12])
+def test_long_texts_of_few_shingles_are_light(spark, light, monkeypatch):
+    monkeypatch.setattr(j, "choose_light", lambda *a: light)
+    texts = []
+    for words in (4, 8, 10, 12, 13):
+        phrase = " ".join(f"w{words}x{i}" for i in range(words)) + " "
+        texts += [phrase * 100, phrase * 70 + "q", phrase * 60 + "q r"]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted(map(tuple, j.join_components(docs).select("doc_id", "n_shingles", "component_id").collect())) == _slow(rows)
