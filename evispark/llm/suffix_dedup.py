@@ -143,6 +143,7 @@ def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def flush() -> pd.DataFrame:
         """Of equal segments the first stays; the strings of the others, put together where they join, are gone."""
         out = pd.DataFrame({c: np.concatenate([h[c] for h in held]) for c in ("f", "s", "k", "t", "at", "n", "near")})
+        out = out.drop_duplicates(["k", "t", "at"], ignore_index=True)  # a row that is there twice doesn't precede itself
         order = np.lexsort((out["at"], out.t, out.k, out.s, out.f))
         f, s = out.f.to_numpy()[order], out.s.to_numpy()[order]
         again = np.zeros(len(out), bool)
@@ -226,6 +227,7 @@ def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _rank_within(rows: pd.DataFrame) -> pd.DataFrame:
     """The doubling rounds over whole anchors' segments: what strings start earlier too, put together where they join."""
+    rows = rows.drop_duplicates(["k", "t", "at"], ignore_index=True)  # of rows that are there twice
     names = Names(b"".join(rows.bytes))
     n = rows.n.to_numpy().astype(np.int64)
     sizes = n + LENGTH - 1

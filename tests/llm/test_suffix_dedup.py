@@ -79,3 +79,18 @@ def test_edges(spark, edge_docs, no_docs):
     assert sorted((r.n_bytes, r.n_removed) for r in got if r.doc_id == 7) == [(106, 106), (106, 106), (107, 106)]
     assert [r.n_removed for r in got if r.doc_id is None] == [0, 0]
     assert suffix_dedup.remove_repeats(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("crowd", [20_000, 1])
+def test_a_repeated_row_keeps_its_first_copy(spark, crowd, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    rng = random.Random(5)
+    base = " ".join("".join(rng.choice("abcde") for _ in range(5)) for _ in range(80))
+    rows = [(7, base), (7, base), (8, base[:300] + "x" + base[300:]), (9, "y" + base[100:350])]
+    expected = sorted(_slow(rows))
+    assert [r[2] for r in expected if r[0] == 7] == [0, len(base)]
+    one = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(one).collect())) == expected
+    parts = [spark.createDataFrame([r], "doc_id bigint, text string").coalesce(1) for r in rows]
+    apart = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(apart).collect())) == expected
