@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.functions.text import contains_quote, coverage, norm, overlap, words
+from evispark.llm.common import small_batches, staged
 
 MOST_ALIKE = 0.88
+#: Rows of keys that may be broadcast.
+BROADCAST_ROWS = 300_000
 
 
 def label_blocks(blocks: DataFrame, labels: DataFrame) -> DataFrame:
@@ -46,34 +51,90 @@ def block_coverage(items: DataFrame, sources: DataFrame, key: list[str]) -> Data
 
 
 def near_duplicates(items: DataFrame, case: str, order: str, text: str, threshold: float = MOST_ALIKE, normed: bool = True) -> DataFrame:
-    """(case, order, dropped): in order, an item whose word set is that alike to a kept one goes; sets under three words
-    always stay. Only kept items drop others, so a case is one ordered fold; a case is what a report holds."""
+    """(case, order, dropped): in order, nulls last, an item whose word set is that alike to a kept one goes; sets under
+    three words always stay. Only kept items drop others. Of equal sets in a case the first decides for all, so alike
+    pairs are looked for among distinct sets, and only those that have one are resolved."""
     w = words(norm(text) if normed else F.lower(text))
-    bags = items.select(case, order, F.array_distinct(w).alias("bag"))
-    types = dict(bags.dtypes)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        kept: list[set] = []
-        by_word: dict[str, list[int]] = {}
-        dropped = []
-        for bag in pdf.bag:
-            bag = set(bag)
-            hit = False
-            if len(bag) >= 3:
-                shared: dict[int, int] = {}
-                for word in bag:
-                    for k in by_word.get(word, ()):
-                        shared[k] = shared.get(k, 0) + 1
-                hit = any(n >= threshold * (len(bag) + len(kept[k]) - n) for k, n in shared.items())
-            dropped.append(hit)
-            if not hit:
-                for word in bag:
-                    by_word.setdefault(word, []).append(len(kept))
-                kept.append(bag)
-        return pdf[[case, order]].assign(dropped=np.array(dropped, bool))
-
-    return bags.groupBy(case).applyInPandas(fold, f"`{case}` {types[case]}, `{order}` {types[order]}, dropped boolean")
+    bag = F.coalesce(F.array_sort(F.array_distinct(w)), F.array().cast("array<string>"))
+    named = items.select(case, order, bag.alias("_bag")).withColumn("_n", F.size("_bag")).withColumn("_set", F.xxhash64(F.col(case).isNull(), case, "_n", "_bag"))
+    place = F.struct(F.col(order).isNull().alias("last"), F.col(order).alias("at"))
+    bags = staged(named.withColumn("_place", place), "bags")
+    firsts = staged(bags.groupBy("_set").agg(F.min("_place").alias("_first")), "firsts")
+    sets = bags.join(firsts, "_set").where(F.col("_place") == F.col("_first")).select("_set", F.col(case).alias("_case"), "_first", "_n", "_bag")
+    gone = _followers(_alike_sets(staged(sets, "sets"), threshold))
+    decided = firsts.join(gone.select(F.col("v").alias("_set"), F.lit(True).alias("_gone")), "_set", "left")
+    again = F.row_number().over(Window.partitionBy("_set", "_place").orderBy("_n")) > 1  # items that repeat set and order
+    out = bags.select(case, order, "_n", "_set", "_place").withColumn("_again", again).join(decided, "_set")
+    dropped = (F.col("_n") >= 3) & (F.col("_gone").isNotNull() | F.col("_again") | (F.col("_place") != F.col("_first")))
+    return out.select(case, order, dropped.alias("dropped"))
+
+
+def _levels(threshold: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least size of each level, and its parts: sets whose smaller one is of the level differ in fewer words than these."""
+    least, parts = [1], []
+    while least[-1] <= most:
+        top = math.floor(least[-1] / threshold + 1e-9)
+        parts.append(math.floor((1 - threshold) / threshold * top + 1e-9) + 1)
+        least.append(top + 1)
+    return np.array(least[: len(parts)], np.int64), np.array(parts, np.int64)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(29)
+
+
+def _alike_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): alike sets of a case, u before v. Alike sets differ in few words, so if all words are dealt by their hash to
+    more parts than these, one part of both is equal, and they meet on it. Parts are as many as the smaller set's level
+    asks for; the larger one is of that level or the next, so each set is dealt for its own level and the one below."""
+
+    @F.pandas_udf("array<bigint>")
+    def dealt(batch: pd.Series) -> pd.Series:
+        least, parts = _levels(threshold, max(map(len, batch), default=0))
+        held = []
+        for hashes in batch:
+            w = _mix(np.asarray(hashes, np.int64).view(np.uint64))
+            own = int(np.searchsorted(least, len(w), "right")) - 1
+            found = []
+            for level in range(max(0, own - 1), own + 1):
+                n = parts[level]
+                sums = np.zeros(n, np.uint64)
+                np.add.at(sums, (w >> np.uint64(20)) % np.uint64(n), w)
+                found.append(_mix(sums + _mix(np.arange(n, dtype=np.uint64) + np.uint64((level + 1) << 32))))
+            held.append(np.concatenate(found).view(np.int64))
+        return pd.Series(held, index=batch.index, dtype=object)
+
+    small_batches(sets.sparkSession)
+    word = F.transform("_bag", lambda x: F.xxhash64(x))
+    each = sets.where("_n > 0").select(F.xxhash64("_case").alias("_in"), "_set", "_n", F.explode(dealt(word)).alias("p"))
+    met = each.select(F.xxhash64("_in", "p").alias("p"), "_set", "_n")
+    a, b = (met.select("p", *[F.col(c).alias(f"{c}_{s}") for c in ("_set", "_n")]) for s in "ab")
+    near = (F.col("_set_a") < F.col("_set_b")) & (F.least("_n_a", "_n_b") >= threshold * F.greatest("_n_a", "_n_b"))
+    pairs = staged(a.join(b, "p").where(near).select(F.col("_set_a").alias("u"), F.col("_set_b").alias("v")).distinct(), "pairs")
+    linked = pairs.select(F.col("u").alias("_set")).unionByName(pairs.select(F.col("v").alias("_set"))).distinct()
+    if pairs.count() <= BROADCAST_ROWS:
+        linked = F.broadcast(linked)
+    few = staged(sets.join(linked, "_set", "left_semi").dropDuplicates(["_set"]).select("_set", F.struct("_first", "_set").alias("at"), "_case", "_n", "_bag"), "linked")
+    left, right = (few.select(F.col("_set").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("at", "_case", "_n", "_bag")]) for k in "uv")
+    both = pairs.join(left, "u").join(right, "v").where(F.col("_case_u").eqNullSafe(F.col("_case_v")))
+    jaccard = F.size(F.array_intersect("_bag_u", "_bag_v")) / F.size(F.array_union("_bag_u", "_bag_v"))
+    ahead = F.col("at_u") < F.col("at_v")
+    ordered = [F.when(ahead, a).otherwise(b).alias(name) for name, a, b in (("u", F.col("u"), F.col("v")), ("v", F.col("v"), F.col("u")))]
+    return both.where((jaccard >= threshold) & (F.when(ahead, F.col("_n_v")).otherwise(F.col("_n_u")) >= 3)).select(*ordered)
+
+
+def _followers(pairs: DataFrame) -> DataFrame:
+    """(v): what greedy selection in order drops, of pairs (u, v) with u before v. In each round, whatever nothing left
+    precedes is kept and drops what it is paired with; a round decides the first of every component at least."""
+    left = staged(pairs, "pairs")
+    gone = left.select("v").limit(0)
+    while not left.isEmpty():
+        leaders = left.select("u").distinct().join(left.select(F.col("v").alias("u")).distinct(), "u", "left_anti")
+        out = staged(left.join(leaders, "u").select("v").distinct(), "followers")
+        gone = gone.unionByName(out)
+        left = staged(left.join(out, "v", "left_anti").join(out.withColumnRenamed("v", "u"), "u", "left_anti"), "pairs")
+    return gone
 
 
 def alike_pairs(items: DataFrame, case: str, key: str, bag: Column, threshold: float = MOST_ALIKE) -> DataFrame:

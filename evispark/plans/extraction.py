@@ -38,8 +38,8 @@ def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def near_duplicate_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A case is a source of one language: what a fold over one report would hold."""
-    docs = table(spark, sf_dir, "documents").withColumn("case", F.concat_ws(":", "source", "lang", F.floor(F.col("doc_id") / 50_000)))
+    """A case is a source of one language, whatever its ids."""
+    docs = table(spark, sf_dir, "documents").withColumn("case", F.concat_ws(":", "source", "lang"))
     return ex.near_duplicates(docs, "case", "doc_id", "text")
 
 

@@ -164,3 +164,32 @@ def test_live_disclosure_is_the_batch_fold(spark, tmp_path):
     query.awaitTermination()
     got = {(r.case_id, r.turn): len(r.fresh) for r in spark.table("live").collect()}
     assert sum(got.values()) == 4 and got[("b", 1)] == 1 and got[("a", 3)] == 0
+
+
+def test_greedy_near_duplicates_over_the_whole_case(spark, tmp_path):
+    import random
+
+    from evispark.plans import extraction as plans
+
+    rng = random.Random(3)
+    bases = [[f"w{b}x{i}" for i in range(rng.choice([2, 9, 17, 30, 60]))] for b in range(8)]
+    rows = []
+    for k in range(240):
+        w = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 0, 1, 2, 3])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(4)}"
+        rows.append((rng.randrange(10) * 50_000 + k, " ".join(rng.sample(w, len(w))), rng.choice(["en", "de"]), "src0"))
+    rows += [(7, "", "en", "src0"), (49_999, "one two three four", "en", "src1"), (50_000, "four three two one", "en", "src1"), (50_001, "four three two one", "en", "src2")]
+    rows += [(None, "one two three four", "en", "src1"), (9, None, "en", "src1"), (50_000, "four three two one", "en", "src1")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    kept, expected = [], []
+    for k, text, lang, source in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        bag = {w for w in (text or "").split()}
+        hit = len(bag) >= 3 and any(c == (source, lang) and len(bag & b) >= 0.88 * len(bag | b) for c, b in kept)
+        expected.append((f"{source}:{lang}", k, hit))
+        if not hit:
+            kept.append(((source, lang), bag))
+    got = [tuple(r) for r in plans.near_duplicate_greedy(spark, str(tmp_path)).select("case", "doc_id", "dropped").collect()]
+    by = lambda r: (r[0], r[1] is None, r[1] or 0, r[2])
+    assert sorted(got, key=by) == sorted(expected, key=by)
+    assert ("src1:en", 50_000, True) in got and ("src2:en", 50_001, False) in got
