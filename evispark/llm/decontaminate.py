@@ -3,8 +3,8 @@
 Seeds are the SEED-word sequences of the test items. One pass over the corpus finds every place where one occurs and
 stages, for each document and item, the passage around its hits, with the seeds that it holds. Their document
 frequencies over the whole corpus say which are rare: in RARE_SHARE of all documents at most, or in RARE_DOCUMENTS. A
-passage that holds one rare seed, or several of any kind, so that an item that leaked into a third of all documents is
-still found, is aligned to its item, word by word; a document is contaminated by an item if the best alignment matches
+passage that holds one rare seed, or several of any kind, or one common seed and as many of the item's words as a match
+needs, so that an item that leaked into a third of all documents is still found, is aligned to its item, word by word; a document is contaminated by an item if the best alignment matches
 LEAST_WORDS words, or the share LEAST_SHARE of a shorter item, at an identity of LEAST_IDENTITY or more.
 
 Test items come to the executors in blocks of BLOCK_WORDS words at most, whatever their number; each block is a pass.
@@ -114,8 +114,15 @@ class Items:
         return np.array([frequency.get(k, 0) <= limit for k in range(len(self.seeds))], bool)
 
 
-def worth_aligning(seeds: list[int] | np.ndarray, rare: np.ndarray) -> bool:
-    return len(seeds) > 1 or bool(rare[seeds[0]])
+def least_words(size: int) -> int:
+    return min(LEAST_WORDS, max(SEED, int(np.ceil(LEAST_SHARE * size))))
+
+
+def worth_aligning(seeds: list[int] | np.ndarray, rare: np.ndarray, item: np.ndarray, passage: np.ndarray) -> bool:
+    """False only where too few words are in both for any alignment to contaminate."""
+    if len(seeds) > 1 or rare[seeds[0]]:
+        return True
+    return min(np.isin(item, passage).sum(), np.isin(passage, item).sum()) >= least_words(len(item))
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -145,7 +152,7 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 
 
 def contaminates(size: int, matched: int, columns: int) -> bool:
-    return matched >= min(LEAST_WORDS, max(SEED, int(np.ceil(LEAST_SHARE * size)))) and matched >= LEAST_IDENTITY * columns
+    return matched >= least_words(size) and matched >= LEAST_IDENTITY * columns
 
 
 def blocks(items: DataFrame, id_column: str = "item_id") -> Iterator[Items]:
@@ -184,9 +191,9 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 rows = []
                 for d, item, seeds, passage in zip(batch.doc_id, batch["item"], batch.seeds, batch.passage):
-                    if worth_aligning(seeds, rare):
-                        own = items.coded[item]
-                        top, matched, columns = align(own, np.frombuffer(passage, "<i4"))
+                    own, passage = items.coded[item], np.frombuffer(passage, "<i4")
+                    if worth_aligning(seeds, rare, own, passage):
+                        top, matched, columns = align(own, passage)
                         if contaminates(len(own), matched, columns):
                             rows.append((d, items.ids[item], top / (MATCH * len(own)), matched, columns))
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "matched", "columns"]).astype({"doc_id": "Int64", "item_id": "Int64"})
@@ -209,8 +216,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for text in batch.column("text").to_pylist():
                     bad = False
                     for item, seeds, passage in items.passages(text):
-                        if worth_aligning(seeds, rare):
-                            own = items.coded[item]
+                        own = items.coded[item]
+                        if worth_aligning(seeds, rare, own, passage):
                             bad = contaminates(len(own), *align(own, passage)[1:])
                             if bad:
                                 break

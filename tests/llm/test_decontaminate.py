@@ -66,3 +66,13 @@ def test_edges(spark, edge_docs, no_docs):
     kept = d.drop_contaminated(edge_docs, bench)
     assert kept.columns == edge_docs.columns and {r.doc_id for r in kept.collect()} == {2, 3, None, 5}
     assert d.find_contaminated(no_docs, bench).count() == 0 and d.find_contaminated(edge_docs, bench.where("false")).count() == 0
+
+
+def test_one_common_seed_is_enough(spark):
+    edited = "aa bb cc d1 e1 ff gg x2 hh ii y3 jj kk".replace("x2", "x9").replace("y3", "y9")
+    rows = [(k, "filler words before red green blue and after") for k in range(60)] + [(100 + k, f"n{k} aa bb cc n{k}") for k in range(60)] + [(500, edited)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, "red green blue"), (2, "aa bb cc d1 x2 ff gg y3 hh ii z4 jj kk")], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in d.find_contaminated(docs, bench).collect()}
+    assert got == {(k, 1) for k in range(60)} | {(500, 2)}
+    assert {r.doc_id for r in d.drop_contaminated(docs, bench).collect()} == {100 + k for k in range(60)}
