@@ -4,8 +4,8 @@ A file is a Parquet shard of one row for each document, in ascending doc_id orde
 number. A row's `words` are little-endian 64-bit words: blocks of at most BLOCK ids, each starting at a word that
 `block_words` names, followed by the block's literals. The top four bits of a word are its selector; the other sixty
 hold as many ids as the selector says, first id in the lowest bits. Ids of over sixty bits are escapes: selector 0 with
-payload 1, and the id itself, raw, among the literals. Groups of GROUP ids share a selector, which costs little room
-and lets all groups be coded at once; a block's words are decoded at once.
+payload 1, and the id itself, raw, among the literals. Each word has the selector that holds the most of the ids that
+come next; the last word of a block may be filled up with zeros. All words of a batch are decoded at once.
 
 Null text is the empty text, which has the end id alone. A null doc_id comes before all others. Rows that repeat a
 doc_id are documents of their own, in the order of their texts. An empty table gives no rows.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import documents, fresh_path, partitions
 from .tokens import default_path, encoder
 
-BLOCK = 4092
+BLOCK = 4096
 #: Fixed values of the format: how many ids a word of each selector holds, and in how many bits each.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -32,56 +32,84 @@ ESCAPE = np.uint64(1)
 DATA_BITS = np.uint64(60)
 
 
-#: Ids that share a selector: every count up to 12 that the coder uses divides it, so words never straddle groups.
-GROUP = 12
-#: By the bits that a group's widest id needs, the selector of the fullest words; past sixty bits, one id in a word.
-_FIT = [max((s for s in range(len(COUNTS)) if BITS[s] and GROUP % COUNTS[s] == 0 and BITS[s] >= b), key=lambda s: COUNTS[s], default=15) for b in range(66)]
-_SELECTOR = np.array(_FIT, np.uint8)
+#: Selectors from the fewest ids in a word to the most, with the bits of each id.
+_BY_COUNT = [(s, int(COUNTS[s]), int(BITS[s])) for s in range(len(COUNTS) - 1, -1, -1)]
+#: Zeros after each block, so that the ids of a word never run into the next block.
+SPARE = int(COUNTS.max())
+
+
+def _widths(ids: np.ndarray) -> np.ndarray:
+    """The bits that each id needs."""
+    if not len(ids) or ids.max() >> np.uint64(53) == 0:
+        return np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
+    high = ids >> np.uint64(32)
+    return np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]).astype(np.uint8)
+
+
+def _fullest(widths: np.ndarray) -> np.ndarray:
+    """For every place the selector of the word that holds the most ids from there on. Widest ids of growing runs come
+    from those of shorter ones, so all places are looked at together for each selector."""
+    out = np.full(len(widths), len(COUNTS) - 1, np.uint8)
+    widest, size = widths, 1
+    for s, count, bits in _BY_COUNT:
+        while size < count:
+            step = min(size, count - size)
+            widest, size = np.maximum(widest[:-step], widest[step:]), size + step
+        fits = widest <= bits
+        if not fits.any():
+            if bits >= widths.max(initial=0):
+                break
+            continue
+        np.copyto(out[: len(fits)], np.uint8(s), where=fits)
+    return out
 
 
 def encode_many(documents_ids: list[np.ndarray], block: int = BLOCK) -> list[tuple[bytes, list[int]]]:
-    """For each document its words and the word at which each of its blocks starts. block: a multiple of GROUP."""
-    sizes = np.array([len(x) for x in documents_ids], np.int64)
-    if not sizes.sum():
+    """For each document its words and the word at which each of its blocks starts."""
+    sizes = [len(x) for x in documents_ids]
+    lengths = np.array([min(block, n - a) for n in sizes for a in range(0, n, block)], np.int64)  # of blocks
+    if not len(lengths):
         return [(b"", [])] * len(sizes)
-    ids = np.concatenate(documents_ids).astype(np.uint64)
-    groups = -(-sizes // GROUP)
-    last = np.cumsum(groups)
-    first = last - groups
-    grid = np.zeros((int(last[-1]), GROUP), np.uint64)
-    shift = np.repeat(first * GROUP - (np.cumsum(sizes) - sizes), sizes)
-    grid.reshape(-1)[np.arange(len(ids)) + shift] = ids
-    bits = np.frexp(grid.max(axis=1).astype(np.float64))[1]  # rounding up, for ids of over 53 bits, only costs room
-    selector = _SELECTOR[bits]
-    size = GROUP // COUNTS[selector]
-    begin = np.cumsum(size) - size
-    words = np.zeros(int(size.sum()), np.uint64)
-    for s in np.unique(selector):
-        at = np.flatnonzero(selector == s)
-        shifts = (np.arange(COUNTS[s]) * BITS[s]).astype(np.uint64)
-        packed = np.bitwise_or.reduce(grid[at].reshape(len(at), -1, int(COUNTS[s])) << shifts, axis=2)
-        words[begin[at][:, None] + np.arange(GROUP // COUNTS[s])] = packed | np.uint64(int(s) << 60)
-    escapes = ids.max() >> DATA_BITS > 0
-    if escapes:  # each such id lies alone in its word
-        big = np.flatnonzero(grid.reshape(-1) >> DATA_BITS > 0)
-        words[begin[big // GROUP] + big % GROUP] = ESCAPE
-    out, begin_list = [], np.append(begin, len(words)).tolist()
-    spare = np.zeros(len(sizes), np.int64)  # zeros that fill up a last group take no words
-    full = groups > 0
-    spare[full] = (groups * GROUP - sizes)[full] // COUNTS[selector[last[full] - 1]]
-    step, raw = block // GROUP, words.astype("<u8").tobytes()
-    for k, (a, b, less) in enumerate(zip(first.tolist(), last.tolist(), spare.tolist())):
-        base, end = begin_list[a], begin_list[b] - less
-        starts = [begin_list[g] - base for g in range(a, b, step)]
-        if not escapes:
-            out.append((raw[8 * base : 8 * end], starts))
-            continue
-        pieces, lengths = [], []  # the literals of a block follow its words
-        for n, (x, y) in enumerate(zip(starts, [*starts[1:], end - base])):
-            part = np.asarray(documents_ids[k][n * block : (n + 1) * block], np.uint64)
-            pieces += [words[base + x : base + y], part[part >> DATA_BITS > 0]]
-            lengths.append(y - x + len(pieces[-1]))
-        out.append((np.concatenate([np.empty(0, np.uint64), *pieces]).astype("<u8").tobytes(), (np.cumsum(lengths) - lengths).tolist()))
+    ids = np.zeros(int(lengths.sum()) + SPARE * len(lengths), np.uint64)
+    first = np.cumsum(lengths + SPARE) - lengths - SPARE
+    place = np.arange(int(lengths.sum())) + np.repeat(SPARE * np.arange(len(lengths)), lengths)
+    ids[place] = np.concatenate(documents_ids)
+    widths = _widths(ids)
+    escapes = widths > BITS.max()
+    selector = _fullest(widths)
+    step = COUNTS[selector]
+    step[escapes] = 1  # such an id lies alone in its word
+    steps, at, counts = step.tolist(), [], []
+    for a, n in zip(first.tolist(), lengths.tolist()):
+        before, end = len(at), a + n
+        while a < end:
+            at.append(a)
+            a += steps[a]
+        counts.append(len(at) - before)
+    begin = np.array(at, np.int64)
+    chosen = selector[begin]
+    words = np.zeros(len(begin), np.uint64)
+    for s in np.unique(chosen):
+        which = np.flatnonzero(chosen == s)
+        total = np.full(len(which), int(s) << 60, np.uint64)
+        for k in range(int(COUNTS[s]) if BITS[s] else 0):
+            total |= ids[begin[which] + k] << np.uint64(k * int(BITS[s]))
+        words[which] = total
+    escaped = escapes[begin]
+    words[escaped] = ESCAPE
+    literals = ids[begin[escaped]]
+    ends = np.cumsum(counts)
+    spent = np.concatenate([[0], np.cumsum(escaped)])[np.append(0, ends)]  # literals up to each block's end
+    out, b = [], 0
+    for n in sizes:
+        pieces, starts, have = [], [], 0
+        for k in range(b, b - (-n // block)):
+            own = words[ends[k] - counts[k] : ends[k]]
+            starts.append(have)
+            pieces += [own, literals[spent[k] : spent[k + 1]]]
+            have += len(own) + len(pieces[-1])
+        b -= -n // block
+        out.append((np.concatenate([np.empty(0, np.uint64), *pieces]).astype("<u8").tobytes(), starts))
     return out
 
 
@@ -129,15 +157,19 @@ def decode_many(coded: list[bytes], block_words: list, n_ids: np.ndarray, block:
     if (words == ESCAPE).any():
         return [decode(w, list(b), int(n), block) for w, b, n in zip(coded, block_words, n_ids)]
     n_ids = np.asarray(n_ids, np.int64)
-    base = np.cumsum(n_ids) - n_ids
+    begins = np.concatenate([np.asarray(x, np.int64) + a for x, a in zip(block_words, np.cumsum(sizes) - sizes)]) if len(sizes) else np.empty(0, np.int64)
+    n_blocks = -(-n_ids // block)
+    nth = np.arange(n_blocks.sum()) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
+    lengths = np.minimum(block, np.repeat(n_ids, n_blocks) - nth * block)
+    ends = np.cumsum(lengths)
+    size = np.diff(np.append(begins, len(words)))  # of blocks, in words
     selector = (words >> DATA_BITS).astype(np.int64)
     counts = COUNTS[selector]
     before = np.cumsum(counts) - counts
-    first = np.minimum(np.cumsum(sizes) - sizes, max(len(words) - 1, 0))
-    place = before - np.repeat(before[first] if len(words) else first, sizes) + np.repeat(base, sizes)
+    place = before - np.repeat(before[begins] - (ends - lengths), size) if len(words) else before
     out = np.zeros(int(n_ids.sum()), np.uint64)
-    _unpack(words, selector, np.zeros(len(words), bool), place, np.repeat(base + n_ids, sizes), out)
-    return np.split(out, base[1:])
+    _unpack(words, selector, np.zeros(len(words), bool), place, np.repeat(ends, size), out)
+    return np.split(out, np.cumsum(n_ids)[:-1])
 
 
 FILE_SCHEMA = "shard int, doc_id bigint, shard_start bigint, n_ids bigint, block_words array<int>, words binary"
