@@ -1,9 +1,10 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text is the set of its lower-cased words and of the first letters of the longer ones, each hashed to one of BUCKETS
-terms; those that go with neither class in the sample, by a chi-squared test, take no part. The score is the logistic function of
-a bias, a weight for each term and the inner products of the term vectors of all pairs, so that a pair of terms can
-mean more than both alone. The model is fitted with numpy on the driver, on the hashed terms of SAMPLE labelled rows at
+terms. A term takes part if it goes with a class in the sample, by a chi-squared test, or if it is one of a pair that is
+toxic together far more often than either term is: an insult and the mention of a group may be harmless one by one. The
+score is the logistic function of a bias, a weight for each term and the inner products of the term vectors of all
+pairs, so that a pair of terms can mean more than both alone. The model is fitted with numpy on the driver, on the hashed terms of SAMPLE labelled rows at
 most, chosen by a hash of doc_id; every document is scored, over its whole text, from the model alone.
 
 Null and empty texts, and texts without a word, have no terms and get the score of the bias. Rows without doc_id count
@@ -31,9 +32,15 @@ FACTORS = 8
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 16_000
 EPOCHS = 12
-#: Terms in fewer sampled texts, or with a smaller chi-squared statistic, have no weight.
+#: Terms in fewer sampled texts, or with smaller chi-squared statistics of their own and of all their pairs, have no weight.
 LEAST_TEXTS = 3
 LEAST_CHI2 = 20.0
+LEAST_PAIR_CHI2 = 60.0
+#: Toxic texts that hold both terms of such a pair, at least.
+LEAST_PAIR_TEXTS = 8
+#: Pairs are counted in so many texts of each class and among so many terms, those in most toxic texts, at most.
+PAIR_TEXTS = 2048
+PAIR_TERMS = 8192
 #: Letters of a longer word that are a term too.
 STEM = 5
 
@@ -79,6 +86,40 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _incidence(rows: list[np.ndarray], known: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(rows), len(known)), np.float32)
+    for k, row in enumerate(rows):
+        at = np.minimum(np.searchsorted(known, row), len(known) - 1)
+        out[k, at[known[at] == row]] = 1
+    return out
+
+
+def paired_terms(rows: list[np.ndarray], labels: np.ndarray, with_1: np.ndarray, texts: np.ndarray, seed: int = 7) -> np.ndarray:
+    """Terms of pairs that are toxic together far more often than the more toxic of the two is. Where no text but toxic
+    ones holds a pair, one more is taken to."""
+    rng = np.random.default_rng(seed)
+    frequent = np.flatnonzero(with_1 >= LEAST_PAIR_TEXTS)
+    known = np.sort(frequent[np.argsort(-with_1[frequent], kind="stable")[:PAIR_TERMS]])
+    if not len(known):
+        return known
+    held, scale = [], []
+    for label in (0, 1):
+        of_class = np.flatnonzero(labels == label)
+        chosen = rng.permutation(of_class)[:PAIR_TEXTS]
+        held.append(_incidence([rows[k] for k in chosen], known))
+        scale.append(len(of_class) / max(1, len(chosen)))
+    rate, found = (with_1 / np.maximum(texts, 1))[known], np.zeros(len(known), bool)
+    for a in range(0, len(known), 512):
+        clean, toxic = (x[:, a : a + 512].T @ x for x in held)
+        n = scale[0] * (clean + 1) + scale[1] * toxic
+        own = np.clip(np.maximum(rate[a : a + 512, None], rate), 1e-6, 1 - 1e-6)
+        excess = scale[1] * toxic - n * own
+        pair = (toxic >= LEAST_PAIR_TEXTS) & (excess > 0) & (excess**2 >= LEAST_PAIR_CHI2 * n * own * (1 - own))
+        found[a : a + 512] |= pair.any(axis=1)
+        found |= pair.any(axis=0)
+    return known[found]
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.2, decay: float = 1e-4, seed: int = 7) -> Machine:
     """AdaGrad on the logistic loss; classes weigh alike at most four to one."""
     rng = np.random.default_rng(seed)
@@ -93,7 +134,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate:
     texts = with_1 + with_0
     by_chance = texts * positive / n
     chi2 = (with_1 - by_chance) ** 2 * n / np.maximum(texts * positive / n * (n - positive) * (1 - texts / (n + 1)), 1e-9)
-    machine.used = seen = (texts >= LEAST_TEXTS) & (chi2 >= LEAST_CHI2)
+    seen = (texts >= LEAST_TEXTS) & (chi2 >= LEAST_CHI2)
+    seen[paired_terms(rows, labels, with_1, texts)] = True
+    machine.used = seen
     known = np.flatnonzero(seen)
     place = np.full(BUCKETS, -1, np.int32)
     place[known] = np.arange(len(known))

@@ -16,6 +16,34 @@ def test_a_pair_of_terms_can_mean_more_than_both():
     assert both > 0.5 > max(one, other)
 
 
+def test_rare_terms_that_are_harmless_alone_are_learned_as_a_pair():
+    rng = np.random.default_rng(3)
+    a, b, rows, labels = 5, 9, [], []
+    for _ in range(16_000):
+        row = set((rng.zipf(1.3, 40) % 3000 + 100).tolist())
+        row |= {t for t in (a, b) if rng.random() < 0.05}
+        toxic = {a, b} <= row
+        if rng.random() < 0.072:  # other toxic texts
+            toxic = True
+            row.add(50 + int(rng.integers(0, 8)))
+        rows.append(np.array(sorted(row), np.int32))
+        labels.append(int(toxic))
+    machine = toxicity.fit(rows, np.array(labels))
+    both, one, other, plain, plainly = machine.score([np.array(x, np.int32) for x in ([a, b], [a], [b], [], [52])])
+    assert both > 0.9 and plainly > 0.8 and max(one, other, plain) < 0.1
+
+
+def test_scores_are_those_of_a_loop_over_pairs():
+    rng = np.random.default_rng(8)
+    machine = toxicity.Machine(-0.4, rng.normal(size=40).astype(np.float32), rng.normal(size=(40, toxicity.FACTORS)).astype(np.float32), rng.random(40) < 0.7)
+    rows = [np.sort(rng.choice(40, n, replace=False)).astype(np.int32) for n in (0, 1, 2, 5, 17, 40)]
+    for row, got in zip(rows, machine.score(rows)):
+        used = [t for t in row if machine.used[t]]
+        z = machine.bias + sum(float(machine.weight[t]) for t in used)
+        z += sum(float(machine.vector[s].astype(float) @ machine.vector[t]) for k, s in enumerate(used) for t in used[k + 1 :])
+        assert abs(got - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-5
+
+
 def test_every_document_is_scored_and_held_out_rows_are_predicted(spark):
     rows = [(k, f"plain words {'stupid' if k % 3 == 0 else 'kind'} here {k}", int(k % 3 == 0)) for k in range(300)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
