@@ -55,8 +55,9 @@ def _texts(seed):
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_the_result_is_that_of_a_set_of_all_strings(spark, seed, monkeypatch):
-    if seed == 3:
-        monkeypatch.setattr(suffix_dedup, "CROWD", 1)  # Spark sorts the positions
+    if seed == 3:  # every anchor of several segments is hot
+        monkeypatch.setattr(suffix_dedup, "SAMPLED", 1)
+        monkeypatch.setattr(suffix_dedup, "HOT", 2)
     rows = _texts(seed)
     docs = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "doc_id bigint, text string").repartition(5)
     got = sorted(map(tuple, suffix_dedup.remove_repeats(docs).collect()))
@@ -81,9 +82,10 @@ def test_edges(spark, edge_docs, no_docs):
     assert suffix_dedup.remove_repeats(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("crowd", [20_000, 1])
-def test_a_repeated_row_keeps_its_first_copy(spark, crowd, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+@pytest.mark.parametrize("hot", [64, 2])
+def test_a_repeated_row_keeps_its_first_copy(spark, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", 1)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rng = random.Random(5)
     base = " ".join("".join(rng.choice("abcde") for _ in range(5)) for _ in range(80))
     rows = [(7, base), (7, base), (8, base[:300] + "x" + base[300:]), (9, "y" + base[100:350])]
