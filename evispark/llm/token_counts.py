@@ -26,19 +26,10 @@ KEYS = ["source", "lang", "tokenizer_version"]
 DELTA = "source string, lang string, tokenizer_version string, n_docs bigint, n_tokens bigint, folded array<string>"
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, end_ids: int = 0) -> DataFrame:
-    """doc_id, source, lang and the tokens of every whole text, with `end_ids` more for each document."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = encoder(tokenizer)
-        for batch in batches:
-            yield batch[["doc_id", "source", "lang"]].assign(n_tokens=[len(coder.encode(t)) + end_ids for t in batch.text]).astype({"doc_id": "Int64"})
-
-    return documents(docs, "doc_id", "source", "lang", "text").mapInPandas(count, "doc_id bigint, source string, lang string, n_tokens bigint")
-
-
-def changes(rows: DataFrame, kind: str, version: str, n_tokens: str = "n_tokens", old: str | None = None) -> DataFrame:
-    return rows.select(F.lit(kind).alias("kind"), "source", "lang", F.lit(version).alias("version"), F.col(n_tokens).cast("bigint").alias("n_tokens"), (F.col(old) if old else F.lit(None)).cast("bigint").alias("old_n_tokens"))
+def changes(rows: DataFrame, kind: str, version: str | None = None, n_tokens: str = "n_tokens", old: str | None = None) -> DataFrame:
+    """rows as changes of one kind; their tokenizer version is that given, or their own."""
+    named = F.col("version") if version is None else F.lit(version)
+    return rows.select(F.lit(kind).alias("kind"), "source", "lang", named.alias("version"), F.col(n_tokens).cast("bigint").alias("n_tokens"), (F.col(old) if old else F.lit(None)).cast("bigint").alias("old_n_tokens"))
 
 
 class Rollup:
@@ -104,13 +95,35 @@ class Rollup:
             drop_staged(self.spark, f"{self.path}/{x}")
 
 
+def count_by_versions(docs: DataFrame, tokenizers: dict[str, str], end_ids: int = 0) -> DataFrame:
+    """doc_id, source, lang, version and the tokens of every whole text by each tokenizer, from one reading of the texts."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coders = {version: encoder(path) for version, path in tokenizers.items()}
+        for batch in batches:
+            for version, coder in coders.items():
+                yield batch[["doc_id", "source", "lang"]].assign(version=version, n_tokens=[len(coder.encode(t)) + end_ids for t in batch.text]).astype({"doc_id": "Int64"})
+
+    return documents(docs, "doc_id", "source", "lang", "text").mapInPandas(count, "doc_id bigint, source string, lang string, version string, n_tokens bigint")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are inserted, that batch comes again, and then every count is revised to hold an end id."""
+    """All documents are inserted, counted by two tokenizer versions, and that batch comes again. Then every count is
+    revised to hold an end id, documents without tokens of their own are deleted, and the batches are compacted. Batches
+    that were folded come once more."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    counted = staged(count_tokens(docs, default_path("byte_bpe_50k.json")), "token-counts")
-    rollup, version = Rollup(spark, fresh_path(spark, "rollup")), "byte_bpe_50k"
-    inserts = changes(counted, "insert", version)
-    rollup.commit("insert-0", inserts)
-    rollup.commit("insert-0", inserts)
-    rollup.commit("revise-0", changes(counted.withColumn("revised", F.col("n_tokens") + 1), "revise", version, "revised", "n_tokens"))
+    versions = {v: default_path(f"{v}.json") for v in ("byte_bpe_50k", "word_bpe_49k")}
+    counted = staged(count_by_versions(docs, versions), "token-counts")
+    revised = counted.withColumn("revised", F.col("n_tokens") + 1)
+    rollup = Rollup(spark, fresh_path(spark, "rollup"))
+    batches = {
+        "insert-0": changes(counted, "insert"),
+        "revise-0": changes(revised, "revise", n_tokens="revised", old="n_tokens"),
+        "delete-0": changes(revised.where("n_tokens = 0"), "delete", n_tokens="revised"),
+    }
+    for batch_id in ("insert-0", "insert-0", "revise-0", "delete-0"):
+        rollup.commit(batch_id, batches[batch_id])
+    rollup.compact()
+    for batch_id, batch in batches.items():
+        rollup.commit(batch_id, batch)
     return rollup.totals()

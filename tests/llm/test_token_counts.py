@@ -14,7 +14,7 @@ def _totals(rollup):
 
 
 def test_totals_follow_inserts_deletes_and_revisions(spark, edge_docs):
-    counted = token_counts.count_tokens(edge_docs, PATH)
+    counted = token_counts.count_by_versions(edge_docs, {"v": PATH}).drop("version")
     rollup = token_counts.Rollup(spark, fresh_path(spark, "test-rollup"))
     assert rollup.commit("a-1", token_counts.changes(counted, "insert", "v"))
     want = Counter()
@@ -39,10 +39,23 @@ def test_totals_follow_inserts_deletes_and_revisions(spark, edge_docs):
 
 def test_empty_batches_and_bad_input(spark, no_docs):
     rollup = token_counts.Rollup(spark, fresh_path(spark, "test-rollup"))
-    assert rollup.commit("none", token_counts.changes(token_counts.count_tokens(no_docs, PATH), "insert", "v"))
+    assert rollup.commit("none", token_counts.changes(token_counts.count_by_versions(no_docs, {"v": PATH}), "insert"))
     assert rollup.totals().count() == 0 and rollup.committed() == {"none"}
     with pytest.raises(ValueError):
         rollup.commit("../x", None)
     odd = spark.createDataFrame([("upsert", "s", "en", "v", 1, 0)], "kind string, source string, lang string, version string, n_tokens bigint, old_n_tokens bigint")
     with pytest.raises(Exception, match="unknown kind"):
         rollup.commit("odd", odd)
+
+
+def test_the_query_is_that_of_a_loop_over_documents(spark, edge_docs, tmp_path):
+    edge_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.source, r.lang, r.tokenizer_version): (r.n_docs, r.n_tokens) for r in token_counts.op9_token_counts(spark, str(tmp_path)).collect()}
+    want = Counter()
+    for version in ("byte_bpe_50k", "word_bpe_49k"):
+        tokenizer = encoder(default_path(f"{version}.json")).tokenizer
+        for r in edge_docs.collect():
+            if n := len(tokenizer.encode(r.text or "", add_special_tokens=False).ids):
+                want[r.source, r.lang, version, "docs"] += 1
+                want[r.source, r.lang, version, "tokens"] += n + 1
+    assert got == {k[:3]: (n, want[*k[:3], "tokens"]) for k, n in want.items() if k[3] == "docs"}
