@@ -9,11 +9,12 @@ def _table(spark, m, ids=None):
     return spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int, list string")
 
 
-def _search(table, k=10, **more):
-    index, centres, d, probes = neighbours.build(table, k)
+def _search(table, k=10, probes=None):
+    index = neighbours.build(table, k)
+    index.probes = probes or index.probes
     v = F.col("embedding").cast("array<double>")
-    asked = table.where("vec_id % 100 = 0").select(F.col("vec_id").alias("id"), v.alias("v")).where(neighbours.usable(F.col("v")) & (F.size("v") == d))
-    return neighbours.search(index, centres, d, asked, more.get("probes", probes), k)
+    asked = table.where("vec_id % 100 = 0").select(F.col("vec_id").alias("id"), v.alias("v")).where(neighbours.usable(F.col("v")) & (F.size("v") == index.dimensions))
+    return neighbours.search(index, asked)
 
 
 def _exact(table, k):
@@ -26,22 +27,57 @@ def _exact(table, k):
     return out
 
 
+def _recall(table, **more):
+    want, got = _exact(table, 10), {}
+    for r in _search(table, **more).orderBy("query_id", "rank").collect():
+        assert r.rank == len(got.setdefault(r.query_id, [])) + 1
+        got[r.query_id].append((r.vec_id, r.score))
+    hits = sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want)
+    return hits / sum(map(len, want.values())), want, got
+
+
+def _clustered(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(30, 32))
+    return _table(spark, np.concatenate([centres[rng.integers(0, 30, 3000)] + 0.5 * rng.normal(size=(3000, 32)), np.tile(centres[:1], (200, 1))]))
+
+
 def test_recall_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "LIST", 100)
     monkeypatch.setattr(neighbours, "CHUNK", 64)
-    rng = np.random.default_rng(2)
-    centres = rng.normal(size=(30, 32))
-    table = _table(spark, np.concatenate([centres[rng.integers(0, 30, 3000)] + 0.5 * rng.normal(size=(3000, 32)), np.tile(centres[:1], (200, 1))]))
-    want, got = _exact(table, 10), {}
-    for r in _search(table).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    hits = sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want)
-    assert hits / sum(map(len, want.values())) >= 0.95
+    recall, want, got = _recall(_clustered(spark))
+    assert recall >= 0.95
     hot = [q for q in want if q >= 3000]  # of 200 equal vectors, those of smallest id
     for q in hot:
         assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
 
 
+def test_lists_that_grow_are_divided(spark, monkeypatch):
+    for name, value in {"LIST": 100, "LISTS": 3, "SPLIT": 300, "DEAL": 256, "CHUNK": 64}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    table = _clustered(spark)
+    cells = neighbours.build(table).cells.toPandas()
+    assert cells["list"].nunique() == 3 and len(cells) > 20 and cells.n.sum() == 3011
+    recall, _, _ = _recall(table, probes=16)
+    assert recall >= 0.9
+
+
+def test_few_candidates_repeated_ids_and_small_samples(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LIST", 2)
+    monkeypatch.setattr(neighbours, "SAMPLE_BYTES", 16 * 40)
+    m = np.random.default_rng(6).normal(size=(60, 2)) * np.arange(1, 61)[:, None] ** 2
+    recall, want, got = _recall(_table(spark, m), probes=1)
+    assert all(len(x) == 10 for x in got.values())
+    recall, _, got = _recall(_table(spark, m[:6]), probes=1)
+    assert recall == 1 and len(got[0]) == 5
+    repeated = _table(spark, [[1.0, 0.0], [0.0, 3.0], [1.0, 0.0], [4.0, 0.0], [4.0, 0.0]], [100, 100, 7, 200, 200])
+    rows = [tuple(r) for r in _search(repeated).collect()]
+    assert len(rows) == 16  # every row is a query, and a candidate of all others
+    assert sorted(v for q, _, v, s in rows if q == 200) == [7, 7, 100, 100, 100, 100, 200, 200]
+    assert sorted(v for q, _, v, s in rows if q == 100) == [7, 7, 100, 100, 200, 200, 200, 200]
+    assert sum(s == 0 for *_, s in rows) == 3  # each of the two equal rows at 4, 0 to the other, and 100 to 7
+
+
 def test_edges(spark):
     m = [[1.0, 0.0], [1.0, 0.0], None, [0.0, 0.0], [float("nan"), 1.0], [2.0, 0.0], [1.0, 2.0, 3.0], [5.0, 1.0], [0.0, -0.0]]
     table = _table(spark, m, [100, 1, 2, 3, 4, 200, 6, 7, 300])
