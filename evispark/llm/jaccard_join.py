@@ -7,9 +7,14 @@ lists of its prefix, its rarest shingles in one global order, as far as any part
 from the histogram of sizes: subsets enumerated against list entries that these sets would otherwise cause.
 
 The order of shingles puts those last that a sample of SAMPLE documents holds often, so passages that many documents
-share stay out of the prefixes; the sample moves cost alone, never a result. Lists of LONG_LIST sets or fewer give
-pairs, thinned by size and position and verified on the texts. Longer lists are grouped by their smallest member, cut
-into blocks of BLOCK sets and verified block against block within a task, which returns a spanning forest of the links.
+share stay out of the prefixes; the sample moves cost alone, never a result. Lists of shingles that are HOT in it are
+counted by partial sums. Lists of LONG_LIST sets or fewer give pairs, thinned by size and position and verified on the
+texts. Longer lists are grouped by their smallest member, the pivot. First every member is held against the pivot alone.
+Members that link to it are in one component and need no links among each other; and as Jaccard distance is a metric,
+those beyond twice the linked distance from the pivot can't link to them either. What is left to compare - the others
+among each other, and those within twice the distance with the linked ones - is cut into blocks of BLOCK sets of sizes
+within a quarter, and blocks of the same or neighbouring sizes are verified within a task, which returns a spanning
+forest of their links.
 
 A shingle is WORDS words; words are runs of other bytes than space, \\t, \\n, \\v, \\f and \\r, with A-Z lower-cased. Fewer
 words are one shingle. Null and empty texts have no shingles and no links. Shingles and sets go by 64-bit names. A null
@@ -38,6 +43,8 @@ SAMPLE = 20_000
 SAMPLE_COUNT = 3
 #: Frequent shingles that are told to all tasks, at most.
 FREQUENT = 200_000
+#: Documents of the sample that hold a hot shingle, at least.
+HOT = 100
 LONG_LIST = 64
 BLOCK = 512
 #: Light sets have at most so many shingles, whatever the costs.
@@ -46,9 +53,13 @@ MOST_LIGHT = 12
 ENTRY_COST = 4
 #: Members that one task verifies against a set, about.
 MEMBERS = 400
-#: Rows of keys that may be broadcast instead of a shuffle of texts.
+#: Keys that may be broadcast instead of a shuffle of texts: rows of six numbers at most, so about 32 MB.
 BROADCAST_ROWS = 300_000
 _NONE = -(1 << 63)
+#: What a text is needed for: a set or a pivot, its members, or a block against itself or another.
+HOST, MEMBER, PIVOTED, FIRST, OTHER = range(5)
+#: Of a member to its pivot: linked, within twice the linked distance, or beyond.
+LINKED, NEAR, FAR = range(3)
 
 _rng = np.random.default_rng(23)
 _TURN = _rng.integers(1, 1 << 62, WORDS, dtype=np.uint64) * np.uint64(4) + np.uint64(3)
@@ -107,7 +118,7 @@ def choose_light(sizes: dict[int, int], longer: int) -> int:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return documents(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NONE)).alias("k"), F.hash(text).alias("t"), text.alias("text"))
+    return documents(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NONE)).alias("k"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -120,7 +131,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
             held = [s.view(np.int64) if 0 < len(s) <= MOST_LIGHT else None for s in sets]
             yield pd.DataFrame({"k": batch.k, "t": batch.t, "v": [set_name(s) for s in sets], "n": [len(s) for s in sets], "held": pd.Series(held, index=batch.index, dtype=object)})
 
-    return staged(_keyed(docs).mapInPandas(name, "k bigint, t int, v bigint, n int, held array<bigint>"), "sets")
+    return staged(_keyed(docs).mapInPandas(name, "k bigint, t bigint, v bigint, n int, held array<bigint>"), "sets")
 
 
 def frequent_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +170,8 @@ def _light_links(sets: DataFrame, light: int) -> DataFrame:
 
 
 def _entries(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], light: int) -> DataFrame:
-    """(s, v, n, pos): the prefix of each distinct set of a task; sets without a heavy partner stay out."""
+    """(s, v, n, pos, hot): the prefix of each distinct set of a task; sets without a heavy partner stay out. Hot shingles
+    stand in hot, which is 0 for all others, and a name of shingle and set in s."""
     told = docs.sparkSession.sparkContext.broadcast(frequent)
     least = -(-SHARE * (light + 1) // 100)
 
@@ -180,18 +192,26 @@ def _entries(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], light: in
                 if len(names):
                     at = np.minimum(np.searchsorted(names, s), len(names) - 1)
                     often = np.where(names[at] == s, counts[at], 0)
-                first = s[np.argsort(often, kind="stable")[:size]] if often.any() else s[:size]
-                held.append(pd.DataFrame({"s": first.view(np.int64), "v": np.full(size, v, np.int64), "n": np.full(size, len(s), np.int32), "pos": np.arange(size, dtype=np.int32)}))
+                first = np.argsort(often, kind="stable")[:size] if often.any() else np.arange(size)
+                chosen, is_hot = s[first], often[first] >= HOT
+                dealt = np.where(is_hot, Names._mix(chosen * np.uint64(3) ^ np.uint64(v % (1 << 64))), chosen)
+                held.append(pd.DataFrame({"s": dealt.view(np.int64), "v": np.full(size, v, np.int64), "n": np.full(size, len(s), np.int32), "pos": np.arange(size, dtype=np.int32), "hot": np.where(is_hot, chosen, 0).view(np.int64)}))
             if held:
                 yield pd.concat(held, ignore_index=True)
 
-    return _keyed(docs).where(F.length("text") > 0).mapInPandas(emit, "s bigint, v bigint, n int, pos int")
+    return _keyed(docs).where(F.length("text") > 0).mapInPandas(emit, "s bigint, v bigint, n int, pos int, hot bigint")
 
 
 def _lists(entries: DataFrame) -> DataFrame:
+    """(s, v, n, pos, low, size): lists of several sets, with their smallest member and how many they are."""
+    columns, hot = ["s", "v", "n", "pos"], F.col("hot") != 0
     by_shingle = Window.partitionBy("s")
-    several = entries.withColumn("low", F.min("v").over(by_shingle)).withColumn("high", F.max("v").over(by_shingle)).where("low <> high").drop("high")
-    return staged(several.distinct().withColumn("size", F.count("*").over(by_shingle)), "lists")
+    several = entries.withColumn("low", F.min("v").over(by_shingle)).withColumn("high", F.max("v").over(by_shingle)).where((F.col("low") != F.col("high")) | hot)
+    several = staged(several.drop("high"), "entries")
+    cold = several.where(~hot).drop("hot").distinct().withColumn("size", F.count("*").over(by_shingle))
+    frequent = several.where(hot).select(F.col("hot").alias("s"), *columns[1:]).distinct()
+    counts = frequent.groupBy("s").agg(F.min("v").alias("low"), F.count("*").alias("size"))  # of FREQUENT shingles at most
+    return staged(cold.unionByName(frequent.join(F.broadcast(counts), "s").where("size > 1")), "lists")
 
 
 def _pairs(lists: DataFrame, light: int) -> DataFrame:
@@ -204,22 +224,42 @@ def _pairs(lists: DataFrame, light: int) -> DataFrame:
     return a.join(b, "s").where(possible).select(F.col("v_a").alias("u"), F.col("v_b").alias("v")).distinct()
 
 
-#: What a text is needed for: one set (role 0) against its members (1), or a block (2) against itself or another (3).
-ROLES = "g bigint, part bigint, role int, v bigint"
-
-
-def _roles(pairs: DataFrame, lists: DataFrame) -> DataFrame:
-    spread = F.ceil(F.count("*").over(Window.partitionBy("u")) / MEMBERS)
-    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("v"), spread).cast("bigint"))
-    members = dealt.select(F.col("u").alias("g"), "part", F.lit(1).alias("role"), "v")
-    hosts = dealt.select(F.col("u").alias("g"), "part", F.lit(0).alias("role"), F.col("u").alias("v")).distinct()
-    long = lists.where(F.col("size") > LONG_LIST).select(F.col("low").alias("g"), "v").distinct()
-    blocks = F.ceil(F.count("*").over(Window.partitionBy("g")) / BLOCK).cast("bigint")
-    long = long.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("bigint"))
-    others = long.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    i, j = F.least("own", "other"), F.greatest("own", "other")
-    block = others.select("g", (-1 - i * F.col("blocks") - j).alias("part"), F.when(F.col("own") <= F.col("other"), 2).otherwise(3).alias("role"), "v")
-    return members.unionByName(hosts).unionByName(block)
+def _parted(members: DataFrame, role: int) -> DataFrame:
+    """(g, part, role, v): the members of each g in parts of about MEMBERS, and g itself in each of them."""
+    counts = members.groupBy("g").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
+    part = F.pmod(F.xxhash64("v"), F.col("parts")).cast("bigint")
+    if role == PIVOTED:
+        part = -1 - part
+    dealt = members.join(counts, "g").select("g", part.alias("part"), F.lit(role).alias("role"), "v")
+    return dealt.unionByName(dealt.select("g", "part", F.lit(HOST).alias("role"), F.col("g").alias("v")).distinct())
+
+
+def _long(lists: DataFrame) -> DataFrame:
+    """(g, v, n): the members of the long lists, by pivot."""
+    return lists.where((F.col("size") > LONG_LIST) & (F.col("v") != F.col("low"))).select(F.col("low").alias("g"), "v", "n").distinct()
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """members: g, v, n, state. (g, part, role, v): blocks that are compared, by twos. Sizes of a class are within a
+    quarter, so linked sets are of one class or of neighbouring ones."""
+    quarter = F.floor(F.log(F.col("n") * (1 + 1e-12)) / math.log(100 / SHARE)).cast("bigint")
+    members = members.select("g", "v", "state", quarter.alias("class"))
+    counts = members.groupBy("g", "state", "class").agg(F.ceil(F.count("*") / BLOCK).cast("bigint").alias("blocks"))
+    keys = ["g", "state", "class", "block"]
+    placed = members.join(counts, ["g", "state", "class"]).select("g", "v", "state", "class", F.pmod(F.xxhash64("v"), F.col("blocks")).alias("block"))
+    a, b = (counts.select("g", *[F.col(c).alias(f"{c}_{side}") for c in ("state", "class", "blocks")]) for side in "ab")
+    order = lambda side: F.col(f"state_{side}") * 1000 + F.col(f"class_{side}")
+    states = (F.col("state_a") == NEAR) | ((F.col("state_a") == FAR) & (F.col("state_b") == FAR)) | ((F.col("state_a") == LINKED) & (F.col("state_b") == NEAR))
+    twos = a.join(b, "g").where((order("a") <= order("b")) & states & (F.abs(F.col("class_a") - F.col("class_b")) <= 1))
+    twos = twos.withColumn("block_a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks_a") - 1))).withColumn("block_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks_b") - 1)))
+    same = order("a") == order("b")
+    twos = twos.where(~same | (F.col("block_a") <= F.col("block_b")))
+    part = ((F.col("state_a") * 3 + F.col("state_b")) * 128 + F.col("class_a")) * 128 + F.col("class_b")
+    part = (part * (1 << 21) + F.col("block_a")) * (1 << 21) + F.col("block_b")
+    twos = twos.withColumn("part", part)
+    first = twos.select("g", *[F.col(f"{c}_a").alias(c) for c in keys[1:]], "part", F.lit(FIRST).alias("role"))
+    other = twos.where(~same | (F.col("block_a") != F.col("block_b"))).select("g", *[F.col(f"{c}_b").alias(c) for c in keys[1:]], "part", F.lit(OTHER).alias("role"))
+    return placed.join(first.unionByName(other), keys).select("g", "part", "role", "v")
 
 
 def _forest(sets: list[np.ndarray], names: list[int], split: int) -> list[tuple[int, int]]:
@@ -259,16 +299,26 @@ def _forest(sets: list[np.ndarray], names: list[int], split: int) -> list[tuple[
     return out
 
 
+def _state(common: int, n: int, m: int) -> int:
+    """In whole numbers: common / union against SHARE, and against twice the distance that it leaves."""
+    union = n + m - common
+    return LINKED if 100 * common >= SHARE * union else NEAR if 100 * common >= (2 * SHARE - 100) * union else FAR
+
+
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows are sorted by group, part and role."""
-    group, host, held, seen = None, None, {2: [], 3: []}, set()
-    out: list[tuple[int, int]] = []
+    """Rows are sorted by group, part and role. Links, and the state of every member of a pivot."""
+    group, host, held, seen = None, None, {FIRST: [], OTHER: []}, set()
+    out: list[tuple[int, int, int, bool]] = []
 
     def close() -> None:
-        rows = held[2] + held[3]
+        rows = held[FIRST] + held[OTHER]
         if len(rows) > 1:
-            out.extend(_forest([s for _, s in rows], [v for v, _ in rows], len(held[2]) if held[3] else len(rows)))
-        held[2].clear(), held[3].clear(), seen.clear()
+            links = _forest([s for _, s in rows], [v for v, _ in rows], len(held[FIRST]) if held[OTHER] else len(rows))
+            out.extend((u, v, LINKED, False) for u, v in links)
+        held[FIRST].clear(), held[OTHER].clear(), seen.clear()
+
+    def frame() -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["u", "v", "state", "pivoted"]).astype({"u": "int64", "v": "int64", "state": "int32", "pivoted": "bool"})
 
     for batch in batches:
         for g, part, role, v, text in zip(batch.g, batch.part, batch.role, batch.v, batch.text):
@@ -279,31 +329,42 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             seen.add((role, v))
             s = shingles(text)
-            if role == 0:
+            if role == HOST:
                 host = (v, s)
-            elif role == 1:
-                common = len(np.intersect1d(host[1], s, assume_unique=True))
-                if common * (100 + SHARE) >= SHARE * (len(s) + len(host[1])):
-                    out.append((host[0], v))
-            else:
+            elif role in held:
                 held[role].append((v, s))
-        yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+            else:
+                state = _state(len(np.intersect1d(host[1], s, assume_unique=True)), len(s), len(host[1]))
+                if state == LINKED or role == PIVOTED:
+                    out.append((host[0], v, state, role == PIVOTED))
+        yield frame()
         out.clear()
     close()
-    yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+    yield frame()
 
 
-def _heavy_links(docs: DataFrame, sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], light: int) -> DataFrame:
-    lists = _lists(_entries(docs, frequent, light))
-    roles = staged(_roles(_pairs(lists, light), lists), "roles")
+def _verified(docs: DataFrame, sets: DataFrame, roles: DataFrame) -> DataFrame:
+    """(u, v, state, pivoted) of the comparisons that roles ask for, staged. A text is sent once for each of its roles."""
+    roles = staged(roles, "roles")
     where = sets.groupBy("v").agg(F.min(F.struct("k", "t")).alias("row"))
     wanted = roles.join(where, "v").select("row.k", "row.t", "g", "part", "role", "v")
-    text = _keyed(docs)
     if roles.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    texts = text.join(wanted, ["k", "t"]).select("g", "part", "role", "v", "text")
+    texts = _keyed(docs).join(wanted, ["k", "t"]).select("g", "part", "role", "v", "text")
     dealt = texts.repartition(partitions(docs.sparkSession), "g", "part").sortWithinPartitions("g", "part", "role")
-    return dealt.mapInPandas(_verify, "u bigint, v bigint")
+    return staged(dealt.mapInPandas(_verify, "u bigint, v bigint, state int, pivoted boolean"), "verified")
+
+
+def _heavy_links(docs: DataFrame, sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], light: int) -> DataFrame:
+    lists = _lists(_entries(docs, frequent, light))
+    long = staged(_long(lists), "long")
+    pairs = _pairs(lists, light).select(F.col("u").alias("g"), "v")
+    found = _verified(docs, sets, _parted(pairs, MEMBER).unionByName(_parted(long.select("g", "v"), PIVOTED)))
+    links = found.where(F.col("state") == LINKED).select("u", "v")
+    if not long.limit(1).count():
+        return links
+    states = found.where("pivoted").select(F.col("u").alias("g"), "v", "state")
+    return links.unionByName(_verified(docs, sets, _blocks(long.join(states, ["g", "v"]))).select("u", "v"))
 
 
 def join_components(docs: DataFrame) -> DataFrame:
@@ -337,7 +398,7 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     found = staged(join_components(docs).where("n_shingles > 0").select("k", "t", "root"), "components")
     first = found.groupBy("root").agg(F.min(F.struct("k", "t")).alias("first"))
     others = found.join(first, "root").where((F.col("k") != F.col("first.k")) | (F.col("t") != F.col("first.t"))).select("k", "t").distinct()
-    keyed = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NONE))).withColumn("_t", F.hash(F.coalesce(F.col("text"), F.lit(""))))
+    keyed = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NONE))).withColumn("_t", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     kept = _without(keyed, others)
     again = found.groupBy("k", "t").count().where("count > 1").select("k", "t")
     if again.limit(1).count():  # rows that repeat key and text

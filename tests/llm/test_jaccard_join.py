@@ -51,6 +51,7 @@ def test_components_are_those_of_all_pairs(spark, seed, long_list, sample, monke
     monkeypatch.setattr(j, "LONG_LIST", long_list)
     monkeypatch.setattr(j, "BLOCK", 4 if long_list == 1 else 1024)
     monkeypatch.setattr(j, "SAMPLE", sample)
+    monkeypatch.setattr(j, "HOT", 3 if seed == 2 else 100)
     rows = _rows(seed)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     got = sorted(map(tuple, j.join_components(docs).select("doc_id", "n_shingles", "component_id").collect()))
@@ -93,3 +94,28 @@ def test_long_texts_of_few_shingles_are_light(spark, light, monkeypatch):
     rows = list(enumerate(texts))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     assert sorted(map(tuple, j.join_components(docs).select("doc_id", "n_shingles", "component_id").collect())) == _slow(rows)
+
+
+def test_a_long_list_of_many_clusters_and_sizes(spark, monkeypatch):
+    for name, value in {"LONG_LIST": 8, "BLOCK": 6, "MEMBERS": 7, "HOT": 20}.items():
+        monkeypatch.setattr(j, name, value)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(5))
+    passage = [word() for _ in range(14)]
+    bases = [[word() for _ in range(n)] for n in (3, 4, 6, 9, 14, 20, 40)]
+    rows = []
+    for k in range(160):
+        w = passage + rng.choice(bases)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = word()
+        rows.append((k, " ".join(w + [word() for _ in range(rng.randrange(3))])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert sorted(map(tuple, j.join_components(docs).select("doc_id", "n_shingles", "component_id").collect())) == _slow(rows)
+
+
+def test_states_by_whole_numbers():
+    for n in range(1, 30):
+        for m in range(n, 30):
+            for common in range(n + 1):
+                share = common / (n + m - common)
+                assert j._state(common, n, m) == (0 if share >= 0.8 - 1e-12 else 1 if share >= 0.6 - 1e-12 else 2)
