@@ -50,47 +50,58 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: in
 
 
 class _Complements:
-    """Which sums of up to three available lengths there are. Pair sums are indexed once and checked at use."""
+    """Which sums of one, two and three available lengths there are. Counts only fall, so sums are indexed once, checked
+    at use, and forgotten when none is left. A length that is in use already is lent: its count is one less meanwhile."""
 
     def __init__(self, counts: np.ndarray):
-        self.counts = counts
-        self.index()
-
-    def index(self) -> None:
-        have = np.flatnonzero(self.counts)
-        n = len(self.counts)
-        self.pairs = np.zeros(n, bool)
+        self.counts, self.lent = counts, []
+        have, n = np.flatnonzero(counts), len(counts)
+        self.pairs, self.triples = np.zeros(n, bool), np.zeros(n, bool)
         for a in have:
             sums = a + have
             self.pairs[sums[sums < n]] = True
+        for a in have:
+            self.triples[a:] |= self.pairs[: n - a]
+
+    def _lend(self, length: int, how_many: int) -> None:
+        self.counts[length] -= how_many
+        self.lent = [*self.lent, length] if how_many > 0 else self.lent[:-1]
+
+    def _lent_pair(self, gap: int) -> bool:
+        """Whether a pair is only missing because of what is lent."""
+        back = lambda x: int(self.counts[x]) + self.lent.count(x)
+        return any(0 < gap - x and back(gap - x) > (gap == 2 * x) for x in self.lent)
 
-    def pair(self, gap: int, largest: int) -> tuple[int, ...] | None:
+    def pair(self, gap: int) -> tuple[int, ...] | None:
         if gap < 2 or not self.pairs[gap]:
             return None
-        a = np.arange(min(largest, gap - 1), (gap - 1) // 2, -1)
+        a = np.arange(gap - 1, (gap - 1) // 2, -1)
         ok = a[(self.counts[a] > 0) & (self.counts[gap - a] > 0) & ((2 * a != gap) | (self.counts[a] > 1))]
         if not len(ok):
-            self.pairs[gap] = largest < gap - 1
+            self.pairs[gap] = self._lent_pair(gap)
             return None
         return int(ok[0]), gap - int(ok[0])
 
     def fill(self, length: int) -> tuple[int, ...] | None:
-        """The fewest lengths that fill the gap beside one of `length`, which isn't among the counts meanwhile."""
+        """The fewest lengths that fill the gap beside one of `length`."""
         gap = len(self.counts) - 1 - length
         if gap == 0:
             return ()
-        if self.counts[gap] > 0:
-            return (gap,)
-        if two := self.pair(gap, gap - 1):
-            return two
-        firsts = np.flatnonzero(self.counts[: gap - 1])[::-1]
-        for a in firsts[self.pairs[gap - firsts]]:
-            self.counts[a] -= 1
-            rest = self.pair(gap - int(a), int(gap - a - 1))
-            self.counts[a] += 1
-            if rest:
-                return (int(a), *rest)
-        return None
+        self._lend(length, 1)
+        found: tuple[int, ...] | None = (gap,) if self.counts[gap] > 0 else self.pair(gap)
+        if found is None and self.triples[gap]:
+            firsts = np.flatnonzero(self.counts[: gap - 1])[::-1]
+            for a in firsts[self.pairs[gap - firsts]].tolist():
+                self._lend(a, 1)
+                rest = self.pair(gap - a)
+                self._lend(a, -1)
+                if rest:
+                    found = (a, *rest)
+                    break
+            else:
+                self.triples[gap] = self.counts[length] < 3  # enough are left: it isn't the lent one that is missing
+        self._lend(length, -1)
+        return found
 
 
 def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -102,9 +113,7 @@ def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tup
     index, rest = _Complements(left), []
     for length in range(capacity, 0, -1):
         while left[length]:
-            left[length] -= 1
             found = index.fill(length)
-            left[length] += 1
             if found is None:
                 rest.append((length, int(left[length])))
                 left[length] = 0

@@ -1,5 +1,6 @@
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations_with_replacement
 
 import numpy as np
 from hypothesis import given, settings
@@ -28,6 +29,35 @@ def test_plan_uses_every_length_once_and_fits(counts):
     assert sequences <= -(-total * 2 // 40) + 1
 
 
+def _filled(counts, length, capacity):
+    """Whether up to three of the other lengths fill the gap beside one of `length`, by trying all."""
+    left = Counter(counts) - Counter([length])
+    gap = capacity - length
+    for n in range(4):
+        for more in combinations_with_replacement(sorted(left), n):
+            if sum(more) == gap and not Counter(more) - left:
+                return True
+    return False
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 24), st.integers(1, 4), min_size=1, max_size=14), st.lists(st.integers(0, 1000), max_size=25))
+def test_complements_are_found_while_counts_fall(counts, steps):
+    left = np.zeros(25, np.int64)
+    for x, n in counts.items():
+        left[x] = n
+    index = packing._Complements(left)
+    for step in [0, *steps]:
+        have = np.flatnonzero(left)
+        if not len(have):
+            break
+        for length in have.tolist():
+            found = index.fill(length)
+            assert (found is not None) == _filled({int(x): int(left[x]) for x in have}, length, 24)
+            assert found is None or (length + sum(found) == 24 and not Counter(found) - (Counter({int(x): int(left[x]) for x in have}) - Counter([length])))
+        left[have[step % len(have)]] -= 1
+
+
 def test_exact_complements_leave_no_gap():
     plan = packing.plan_sequences({30: 4, 10: 1, 6: 3, 4: 3, 5: 1, 3: 1, 2: 1}, 40)
     assert sum(t for _, t in plan if sum(x * k for x, k in _) == 40) >= 4
