@@ -3,8 +3,8 @@
 A window is WINDOW bytes of a text's UTF-8 form. Filters of several widths over byte embeddings, the largest response
 of each over the window and a softmax give a distribution; a text's is the mean of the log-probabilities of all its
 windows, which cover it whole (the last window ends with the text). The network is trained in numpy on the driver, on
-WINDOWS_EACH windows each of at most SAMPLE_EACH documents of a language. For scoring, embeddings and filters fold
-into tables by byte and by byte pair, so that a response is a sum of table rows.
+WINDOWS_EACH windows each of at most SAMPLE_EACH documents of a language; every language that occurs is learned. For
+scoring, embeddings and filters fold into tables by byte and by byte pair, so that a response is a sum of table rows.
 
 `und` with score 0 is given for null texts, texts without a letter, and where nothing could be learned. Rows without
 doc_id count as crc32 of the empty text. Repeated rows get equal results. An empty table gives no rows.
@@ -27,11 +27,11 @@ WINDOW = 192
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 DIMENSIONS = 8
-#: Documents of a language, and windows of each, that the network is trained on, at most.
+#: Documents of a language, and of all together, and windows of each that the network is trained on, at most; of each
+#: language there is one at least.
 SAMPLE_EACH = 1000
+SAMPLE = 200_000
 WINDOWS_EACH = 2
-#: Languages that are learned, at most: the most frequent ones.
-LANGUAGES = 200
 EPOCHS = 8
 #: Windows scored at a time.
 BATCH = 512
@@ -165,10 +165,16 @@ def train(x: np.ndarray, y: np.ndarray, names: list[str], epochs: int = EPOCHS,
 
 def learn(docs: DataFrame, held_out: int = 2, folds: int = 4) -> Network:
     """From text and non-null lang of the documents outside the held-out fold; both are bounded samples by hash."""
+    spark = docs.sparkSession
     usable = documents(docs, "doc_id", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (crc_bucket("doc_id", folds) != held_out))
-    names = sorted(r.lang for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.where(F.col("lang").isin(names)).withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= SAMPLE_EACH)
+    counts = usable.groupBy("lang").count().collect()  # a row for each language, which is a class of the network
+    names = sorted(r.lang for r in counts)
+    each = max(1, min(SAMPLE_EACH, SAMPLE // max(1, len(names))))
+    # by a threshold on a hash most rows of a frequent language never reach the ranks
+    share = spark.createDataFrame([(r.lang, min(1.0, (2 * each + 50) / r["count"])) for r in counts], "lang string, share double")
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("nth"), "doc_id"), "doc_id")
+    chosen = usable.join(F.broadcast(share), "lang").where(drawn).withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= each)
     chosen = chosen.groupBy("doc_id").agg(F.min("lang").alias("name"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,7 +187,7 @@ def learn(docs: DataFrame, held_out: int = 2, folds: int = 4) -> Network:
                         rows.append((doc_id, name, w[k].tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "name", "bytes"])
 
-    # at most SAMPLE_EACH rows of two values for each of LANGUAGES
+    # at most SAMPLE rows of two values, or one for each language
     joined = documents(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "name", "text")
     rows = joined.mapInPandas(cut, "doc_id bigint, name string, bytes binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.name, r.bytes))
