@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,12 +14,15 @@ TEXTS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local one is made only where none is named, as in tests."""
+    """The folder that driver and executors share. Where none is named, a local master gets a folder of its own, as in
+    tests; on a cluster that is an error, as executors don't see each other's disks."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = checkpoint.get() if checkpoint.isDefined() else None
     if named is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="evispark-")
         spark.conf.set("spark.checkpoint.dir", named)
         spark.sparkContext.setCheckpointDir(named)
@@ -34,7 +38,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more; others stay as they are."""
+    for table in tables:
+        path = getattr(table, "_staged_path", None)
+        if path is not None:
+            drop_staged(table.sparkSession, path)
 
 
 def drop_staged(spark: SparkSession, path: str) -> None:

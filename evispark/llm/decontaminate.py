@@ -4,8 +4,9 @@ Seeds are the SEED-word sequences of the test items. One pass over the corpus fi
 stages, for each document and item, the passage around its hits, with the seeds that it holds. Their document
 frequencies over the whole corpus say which are rare: in RARE_SHARE of all documents at most, or in RARE_DOCUMENTS. A
 passage that holds one rare seed, or several of any kind, or one common seed and as many of the item's words as a match
-needs, so that an item that leaked into a third of all documents is still found, is aligned to its item, word by word; a document is contaminated by an item if the best alignment matches
-LEAST_WORDS words, or the share LEAST_SHARE of a shorter item, at an identity of LEAST_IDENTITY or more.
+needs, so that an item that leaked into a third of all documents is still found, is aligned to its item, word by word; a
+document is contaminated by an item if the best alignment matches LEAST_WORDS words, or the share LEAST_SHARE of a
+shorter item, at an identity of LEAST_IDENTITY or more.
 
 Test items come to the executors in blocks of BLOCK_WORDS words at most, whatever their number; each block is a pass.
 Words are runs of letters and digits, lower-cased. Items and documents that are null, empty or of fewer than SEED words
@@ -21,10 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, staged
+from .common import documents, release, small_batches, staged
 
 SEED = 3
 RARE_SHARE = 0.001
@@ -166,9 +168,11 @@ def blocks(items: DataFrame, id_column: str = "item_id") -> Iterator[Items]:
 
 
 def _passages(docs: DataFrame, items: Items) -> DataFrame:
+    told = docs.sparkSession.sparkContext.broadcast(items)  # BLOCK_WORDS words at most
+
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(d, item, seeds, p.astype("<i4").tobytes()) for d, t in zip(batch.doc_id, batch.text) for item, seeds, p in items.passages(t)]
+            rows = [(d, item, seeds, p.astype("<i4").tobytes()) for d, t in zip(batch.doc_id, batch.text) for item, seeds, p in told.value.passages(t)]
             yield pd.DataFrame(rows, columns=["doc_id", "item", "seeds", "passage"]).astype({"doc_id": "Int64", "item": "int32"})
 
     return documents(docs, "doc_id", "text").mapInPandas(find, "doc_id bigint, item int, seeds array<int>, passage binary")
@@ -185,9 +189,10 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = None
     for items in blocks(benchmark):
         found = staged(_passages(docs, items), "passages")
-        rare = _rare(found, items, docs.count())
+        told = docs.sparkSession.sparkContext.broadcast((items, _rare(found, items, docs.count())))
 
-        def score(batches: Iterator[pd.DataFrame], items: Items = items, rare: np.ndarray = rare) -> Iterator[pd.DataFrame]:
+        def score(batches: Iterator[pd.DataFrame], told: Broadcast = told) -> Iterator[pd.DataFrame]:
+            items, rare = told.value
             for batch in batches:
                 rows = []
                 for d, item, seeds, passage in zip(batch.doc_id, batch["item"], batch.seeds, batch.passage):
@@ -208,9 +213,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs, all columns, without the contaminated rows. Texts stay where they are: no join, no shuffle."""
     small_batches(docs.sparkSession)
     for items in blocks(benchmark):
-        rare = _rare(staged(_passages(docs, items).select("doc_id", "seeds"), "seeds"), items, docs.count())
+        found = staged(_passages(docs, items).select("doc_id", "seeds"), "seeds")
+        told = docs.sparkSession.sparkContext.broadcast((items, _rare(found, items, docs.count())))
+        release(found)
 
-        def keep(batches: Iterator[pa.RecordBatch], items: Items = items, rare: np.ndarray = rare) -> Iterator[pa.RecordBatch]:
+        def keep(batches: Iterator[pa.RecordBatch], told: Broadcast = told) -> Iterator[pa.RecordBatch]:
+            items, rare = told.value
             for batch in batches:
                 clean = []
                 for text in batch.column("text").to_pylist():

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, staged
+from .common import documents, partitions, release, staged
 from .components import components
 from .suffix_dedup import Names
 
@@ -211,7 +211,9 @@ def _lists(entries: DataFrame) -> DataFrame:
     cold = several.where(~hot).drop("hot").distinct().withColumn("size", F.count("*").over(by_shingle))
     frequent = several.where(hot).select(F.col("hot").alias("s"), *columns[1:]).distinct()
     counts = frequent.groupBy("s").agg(F.min("v").alias("low"), F.count("*").alias("size"))  # of FREQUENT shingles at most
-    return staged(cold.unionByName(frequent.join(F.broadcast(counts), "s").where("size > 1")), "lists")
+    lists = staged(cold.unionByName(frequent.join(F.broadcast(counts), "s").where("size > 1")), "lists")
+    release(several)
+    return lists
 
 
 def _pairs(lists: DataFrame, light: int) -> DataFrame:
@@ -352,7 +354,9 @@ def _verified(docs: DataFrame, sets: DataFrame, roles: DataFrame) -> DataFrame:
         wanted = F.broadcast(wanted)
     texts = _keyed(docs).join(wanted, ["k", "t"]).select("g", "part", "role", "v", "text")
     dealt = texts.repartition(partitions(docs.sparkSession), "g", "part").sortWithinPartitions("g", "part", "role")
-    return staged(dealt.mapInPandas(_verify, "u bigint, v bigint, state int, pivoted boolean"), "verified")
+    found = staged(dealt.mapInPandas(_verify, "u bigint, v bigint, state int, pivoted boolean"), "verified")
+    release(roles)
+    return found
 
 
 def _heavy_links(docs: DataFrame, sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], light: int) -> DataFrame:
@@ -360,6 +364,7 @@ def _heavy_links(docs: DataFrame, sets: DataFrame, frequent: tuple[np.ndarray, n
     long = staged(_long(lists), "long")
     pairs = _pairs(lists, light).select(F.col("u").alias("g"), "v")
     found = _verified(docs, sets, _parted(pairs, MEMBER).unionByName(_parted(long.select("g", "v"), PIVOTED)))
+    release(lists)
     links = found.where(F.col("state") == LINKED).select("u", "v")
     if not long.limit(1).count():
         return links
