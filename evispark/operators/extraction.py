@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.functions.text import contains_quote, coverage, norm, overlap, words
-from evispark.llm.common import small_batches, staged
+from evispark.storage import release, small_batches, staged
 
 MOST_ALIKE = 0.88
 #: Rows of keys that may be broadcast.
