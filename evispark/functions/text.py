@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,13 +25,19 @@ CONCLUSIONS = (
     r"(?i)probable cause|reason for closing|root cause was|was the cause of the|final diagnosis|diagnosis was confirmed|contributing factor|"
     r"\b(?:the (?:investigation|investigators|board|bureau|branch|office|analysis)|ODI|we)\b[^.]{0,40}\b(?:concluded|determined|found that|attributed)\b"
 )
+# What dates and registrations look like.
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 DATES = rf"(?i)\b(?:\d{{1,2}}\s+)?(?:{MONTHS})\s+\d{{1,2}}?,?\s*(?:19|20)\d{{2}}\b|\b\d{{1,2}}/\d{{1,2}}/(?:19|20)\d{{2}}\b|\b(?:19|20)\d{{2}}-\d{{2}}-\d{{2}}\b"
 REGISTRATIONS = r"\b(?:[A-Z]{1,2}-?\d{2,5}[A-Z]{0,3}|N\d{2,5}[A-Z]{0,2})\b"
 # Heads of role names, which identify nobody, and words that names may hold in lower case.
 ROLES = "pilot passenger crew driver master patient occupant witness investigator operator manufacturer owner captain engineer".split()
 CONNECTORS = "of the and de van von for at on in &".split()
+# What a name never starts with.
+LEADS = ("the ", "a ", "an ", "at the ", "on the ", "in the ", "of the ")
+# Evidence ids, words of a normed text, and moves of a ledger.
 EVIDENCE_ID = r"\bE[1-9][0-9]*\.[1-9][0-9]*\b"
+WORD = r"[a-z0-9][a-z0-9'\-.]*"
+MOVE = r"H(\d+)\s*\[([^\]→>]+?)\s*(?:→|->)\s*([^\]]+?)\]"
 
 
 def _text(c: Column | str) -> Column:
@@ -60,7 +67,7 @@ def norm(c: Column | str) -> Column:
 
 def words(normed: Column) -> Column:
     """Content words of a text that norm() or straighten() has seen."""
-    found = F.regexp_extract_all(normed, F.lit(r"[a-z0-9][a-z0-9'\-.]*"), F.lit(0))
+    found = F.regexp_extract_all(normed, F.lit(WORD), F.lit(0))
     return F.filter(found, lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS))
 
 
@@ -176,7 +183,7 @@ def identifier_hygiene(values: Column) -> Column:
         plain = F.exists(rest, lambda t: t.rlike(r"^\p{Ll}+$") & ~t.isin(CONNECTORS))
         return (
             F.length(v).between(1, 50) & (F.size(tokens) <= 6) & v.rlike(r"(?U)^[A-Z0-9][\w'’\-./ ]{1,48}$")
-            & ~F.lower(v).rlike("^(?:(?:at|on|in|of) the|an|a|the) ") & ((F.length(v) >= 4) | v.rlike(r"\d")) & ~role & ~plain
+            & ~reduce(Column.__or__, [F.lower(v).startswith(x) for x in LEADS]) & ((F.length(v) >= 4) | v.rlike(r"\d")) & ~role & ~plain
         )
 
     return F.sort_array(F.array_distinct(F.filter(cleaned, good)))
@@ -245,7 +252,7 @@ def status_rank(c: Column | str) -> Column:
 
 def ledger(c: Column | str) -> Column:
     """Moves `H1 [before -> after]`, the first of each hypothesis, lower-cased."""
-    pattern = F.lit(r"H(\d+)\s*\[([^\]→>]+?)\s*(?:→|->)\s*([^\]]+?)\]")
+    pattern = F.lit(MOVE)
     parts = [F.regexp_extract_all(_text(c), pattern, F.lit(k)) for k in (1, 2, 3)]
     moves = F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("h", "b", "a"))]), lambda m: F.struct(F.concat(F.lit("H"), m["h"]).alias("hypothesis"), F.lower(F.trim(m["b"])).alias("before"), F.lower(F.trim(m["a"])).alias("after")))
     start = F.array().cast("array<struct<hypothesis:string,before:string,after:string>>")
@@ -281,9 +288,10 @@ def clock_times(c: Column | str) -> Column:
 
 def sections(c: Column | str) -> Column:
     """Heading to body of `## ` sections; of equal headings the last counts."""
-    parts = F.slice(F.split(F.concat(F.lit("\n"), _text(c)), r"\n##[ \t]+"), 2, 10_000)
+    pieces = F.split(F.concat(F.lit("\n"), _text(c)), r"\n##[ \t]+")
+    parts = F.slice(pieces, F.lit(2), F.size(pieces))
     entries = F.transform(parts, lambda p: F.struct(F.trim(F.element_at(F.split(p, "\n", 2), 1)).alias("key"), F.trim(F.coalesce(F.try_element_at(F.split(p, "\n", 2), F.lit(2)), F.lit(""))).alias("value")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, 10_000), lambda x: x["key"] == e["key"]))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
     return F.map_from_entries(last)
 
 
