@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import evaluation, extraction, groups, more, records, sampling, sequences, text, turns  # noqa: E402, F401
+from . import cases, evaluation, extraction, groups, more, records, sampling, sequences, text, turns  # noqa: E402, F401
