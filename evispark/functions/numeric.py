@@ -46,6 +46,11 @@ def route(key: Column, n: int) -> Column:
     return F.pmod(F.conv(F.substring(F.sha2(key, 256), 61, 4), 16, 10).cast("int"), F.lit(n))
 
 
+def group_id(category: Column, native: Column) -> Column:
+    """A category and twenty hex digits that stand for the native key."""
+    return F.concat(category, F.lit(":"), F.substring(F.sha2(F.concat_ws(":", category, native), 256), 1, 20))
+
+
 def turn_seed(base: Column, case: Column, turn: Column) -> Column:
     """The first four bytes of the digest of base:case:turn."""
     return F.conv(F.substring(F.sha2(F.concat_ws(":", base.cast("string"), case, turn.cast("string")), 256), 1, 8), 16, 10).cast("bigint")

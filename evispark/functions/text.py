@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -290,7 +291,8 @@ def sections(c: Column | str) -> Column:
     """Heading to body of `## ` sections; of equal headings the last counts."""
     pieces = F.split(F.concat(F.lit("\n"), _text(c)), r"\n##[ \t]+")
     parts = F.slice(pieces, F.lit(2), F.size(pieces))
-    entries = F.transform(parts, lambda p: F.struct(F.trim(F.element_at(F.split(p, "\n", 2), 1)).alias("key"), F.trim(F.coalesce(F.try_element_at(F.split(p, "\n", 2), F.lit(2)), F.lit(""))).alias("value")))
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    entries = F.transform(parts, lambda p: F.struct(bare(F.element_at(F.split(p, "\n", 2), 1)).alias("key"), bare(F.coalesce(F.try_element_at(F.split(p, "\n", 2), F.lit(2)), F.lit(""))).alias("value")))
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
     return F.map_from_entries(last)
 
@@ -302,3 +304,58 @@ def occurs_once(text: Column, part: Column) -> Column:
 def replace_once(text: Column, old: Column, new: Column) -> Column:
     """The text with its only occurrence of `old` replaced; null if there isn't exactly one."""
     return F.when(occurs_once(text, old), F.replace(text, old, new))
+
+
+def pick_sections(c: Column | str, names: list[str], most: int = 4000) -> Column:
+    """The named sections that a text has, with their headings; without any its first `most` code points, or `(empty)`."""
+    found, bare = sections(c), F.regexp_replace(F.regexp_replace(_text(c), r"^\s+", ""), r"\s+$", "")
+    parts = [F.when(F.map_contains_key(found, F.lit(n)), F.concat(F.lit(f"## {n}\n"), F.try_element_at(found, F.lit(n)))) for n in names]
+    return F.coalesce(F.nullif(F.concat_ws("\n\n", *parts), F.lit("")), F.nullif(F.substring(bare, 1, most), F.lit("")), F.lit("(empty)"))
+
+
+def task_question(c: Column | str, most: int = 600) -> Column:
+    """The section of that name, or the beginning of a text without one."""
+    own = F.try_element_at(sections(c), F.lit("Task question"))
+    return F.coalesce(F.nullif(own, F.lit("")), F.substring(_text(c), 1, most))
+
+
+def strict_section(c: Column | str, heading: str, following: str | None = None) -> Column:
+    """(text, problem): what stands between a heading and the one that has to follow; a heading that is missing is a
+    problem, not an empty text."""
+    after = F.split(_text(c), re.escape(f"## {heading}\n"), 2)
+    body = F.get(after, F.lit(1))
+    ended = F.split(body, re.escape(f"\n## {following}"), 2) if following else F.array(body)
+    missing = F.when(F.size(after) < 2, f"missing {heading}")
+    if following:
+        missing = missing.when(F.size(ended) < 2, f"missing {following}")
+    trimmed = F.regexp_replace(F.regexp_replace(F.get(ended, F.lit(0)), r"^\s+", ""), r"\s+$", "")
+    return F.struct(F.when(missing.isNull(), trimmed).alias("text"), missing.alias("problem"))
+
+
+def fill(template: Column | str, values: dict[str, Column]) -> Column:
+    """A template with each `{name}` replaced as it stands; values aren't read for names of later ones' sake, but in turn."""
+    out = F.lit(template) if isinstance(template, str) else template
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out
+
+
+def role_hint(heading: Column) -> Column:
+    """`factual` for headings that announce facts, else `unknown`."""
+    # What such headings hold.
+    words_ = ("MANUFACTURER", "PRODUCT INFORMATION", "FAILURE REPORT", "PROBLEM DESCRIPTION", "COMPLAINT", "TESTING", "SIMULATION", "FIELD", "WARRANTY", "WHAT WE KNOW")
+    return F.when(F.upper(_text(heading)).rlike("|".join(words_)), "factual").otherwise("unknown")
+
+
+def insert_citations(text: Column, insertions: Column, visible: Column) -> Column:
+    """(text, problem): a text with ids in brackets after each anchor. insertions: array of (anchor, ids). An anchor has to
+    stand in the text exactly once, in any case; ids have to be visible, each once; no two go to one place."""
+    low = F.lower(text)
+    at = F.transform(insertions, lambda i: F.struct((F.position(F.lower(i["anchor"]), low) + F.length(i["anchor"])).alias("end"), i["anchor"].alias("anchor"), i["ids"].alias("ids")))
+    unique = F.forall(insertions, lambda i: F.coalesce((i["anchor"] != "") & occurs_once(low, F.lower(i["anchor"])), F.lit(False)))
+    good = F.forall(insertions, lambda i: F.coalesce((F.size(i["ids"]) > 0) & (F.size(F.array_distinct(i["ids"])) == F.size(i["ids"])) & (F.size(F.array_except(i["ids"], visible)) == 0), F.lit(False)))
+    apart = F.size(F.array_distinct(F.transform(at, lambda i: i["end"]))) == F.size(at)
+    problem = F.when(~unique, "an anchor is not there exactly once").when(~good, "unread or malformed ids").when(~apart, "two citations at one place")
+    # from the last place to the first, so that earlier places stay where they are
+    done = F.aggregate(F.reverse(F.array_sort(at)), text, lambda acc, i: F.concat(F.substring(acc, F.lit(1), i["end"] - 1), F.lit(" ["), F.array_join(i["ids"], ", "), F.lit("]"), F.substring(acc, i["end"], F.length(acc))))
+    return F.struct(F.when(problem.isNull(), done).alias("text"), problem.alias("problem"))

@@ -21,11 +21,35 @@ def tokens(text: Column) -> Column:
     return F.filter(found, lambda t: ~t.isin(STOP_WORDS))
 
 
+# Units of measurements, and what numbers with a unit, long numbers and quotes look like.
+UNITS = (
+    "%|percent|per cent|bytes?|[kKMGT]i?B|GB/s|MB/s|mph|km/?h|knots?|kts?|ft|feet|m|mm|cm|km|"
+    "miles?|nm|psi|psig|kPa|MPa|bar|°C|°F|C|F|lb|lbs|pounds?|kg|tonnes?|tons?|N|kN|V|A|Hz|rpm|"
+    "seconds?|s|minutes?|min|hours?|h|degrees?|°|gallons?|litres?|liters?|/s|mg|ml"
+)
+MEASURE = rf"(?<![\w.])(\d[\d,]*(?:\.\d+)?(?:e[+-]?\d+)?)\s?({UNITS})(?![A-Za-z])"
+LONG = r"(?<![\w.:])(\d[\d,]*\.\d+(?:e[+-]?\d+)?|\d{1,3}(?:,\d{3})+|\d{4,}(?:\.\d+)?)(?![\w:])"
+QUOTED = r"[‘'\"“]([^‘'\"“”’]{12,120})[’'\"”]"
+
+
 def numbers(text: Column) -> Column:
-    """Numbers of two digits or more that aren't years, without separators."""
-    found = F.regexp_extract_all(text, F.lit(r"(?<![\w.:])(\d[\d,]*(?:\.\d+)?)(?![\w:])"), F.lit(1))
-    plain = F.transform(found, lambda n: F.replace(n, F.lit(","), F.lit("")))
-    return F.array_distinct(F.filter(plain, lambda n: (F.length(F.replace(n, F.lit("."), F.lit(""))) >= 2) & ~n.rlike(r"^(?:19|20)\d\d$")))
+    """Numbers that tell something, without separators: with a unit and of two digits, or a percentage, and long ones that
+    aren't years."""
+    bare = lambda n: F.replace(n, F.lit(","), F.lit(""))
+    values, units = (F.regexp_extract_all(text, F.lit(MEASURE), F.lit(k)) for k in (1, 2))
+    measured = F.filter(F.arrays_zip(values.alias("n"), units.alias("u")), lambda m: (F.length(F.replace(bare(m["n"]), F.lit("."), F.lit(""))) >= 2) | m["u"].isin("%", "percent"))
+    long = F.filter(F.transform(F.regexp_extract_all(text, F.lit(LONG), F.lit(1)), bare), lambda n: ~n.rlike(r"^(?:19|20)\d\d$"))
+    return F.array_distinct(F.concat(F.transform(measured, lambda m: bare(m["n"])), long))
+
+
+def plain(text: Column) -> Column:
+    return F.lower(F.regexp_replace(F.translate(text, "’‘", "''"), r"\s+", " "))
+
+
+def quotes(text: Column) -> Column:
+    """Quoted passages of three words or more, plain."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(QUOTED), F.lit(1)), lambda q: F.trim(plain(q)))
+    return F.array_distinct(F.filter(found, lambda q: F.size(F.split(q, " ")) >= 3))
 
 
 def features(items: DataFrame, case: str, key: str, text: str) -> DataFrame:
@@ -59,6 +83,18 @@ def restated(kinds: dict[str, Column], in_brief: Column) -> Column:
     return (in_brief & (n["time"] >= 2)) | (n["number"] >= 2) | (n.get("quote", F.lit(0)) >= 1) | (n["shingle"] >= 2) | ((n["number"] >= 1) & (n["token"] >= 2))
 
 
+def quotes_found(removed: DataFrame, targets: DataFrame, case: str, key: str, text: str) -> DataFrame:
+    """(case, key, target, quote): how many of an item's quotes stand in each target. They meet on the longest word within
+    a quote, which a target that holds it holds whole, and are then looked for."""
+    inner = F.slice(F.split("_q", " "), F.lit(2), F.size(F.split("_q", " ")) - 2)
+    longest = F.get(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
+    said = removed.select(case, key, F.explode(quotes(F.col(text))).alias("_q")).withColumn("_w", longest)
+    there = targets.select(case, "target", plain(F.col(text)).alias("_t"))
+    words_ = there.select(case, "target", F.explode(F.array_distinct(F.split("_t", " "))).alias("_w"))
+    met = said.join(words_, [case, "_w"]).where(F.col(key) != F.col("target")).join(there, [case, "target"]).where(F.contains("_t", "_q"))
+    return met.groupBy(case, key, "target").agg(F.countDistinct("_q").alias("quote"))
+
+
 def leak_check(removed: DataFrame, targets: DataFrame, all_items: DataFrame, case: str = "case_id", key: str = "evidence_id", text: str = "text") -> DataFrame:
     """(case, key, target, counts, likely): where removed items are restated. targets: case, target, in_brief, text.
     Items and targets meet on shared rare features, never pair by pair."""
@@ -68,8 +104,58 @@ def leak_check(removed: DataFrame, targets: DataFrame, all_items: DataFrame, cas
     shared = rare.join(there, [case, "kind", "feature"]).where(F.col(key) != F.col("target"))
     counts = {k: F.sum((F.col("kind") == k).cast("int")) for k in ("number", "token", "shingle", "time")}
     out = shared.groupBy(case, key, "target").agg(*[c.alias(k) for k, c in counts.items()])
+    out = out.join(quotes_found(removed, targets, case, key, text), [case, key, "target"], "full").fillna(0, [*counts, "quote"])
     out = out.join(targets.select(case, "target", "in_brief"), [case, "target"])
-    return out.withColumn("likely", restated({k: F.col(k) for k in counts}, F.col("in_brief")))
+    return out.withColumn("likely", restated({k: F.col(k) for k in (*counts, "quote")}, F.col("in_brief")))
+
+
+def top_hits(checked: DataFrame, case: str = "case_id", key: str = "evidence_id", most: int = 5) -> DataFrame:
+    """The likely restatements of each removed item, the strongest first: numbers, quotes twice, and shingles."""
+    strength = F.col("number") + 2 * F.col("quote") + F.col("shingle")
+    order = Window.partitionBy(case, key).orderBy(F.desc("strength"), "target")
+    return checked.where("likely").withColumn("strength", strength).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+def eligibility(cases: DataFrame) -> DataFrame:
+    """cases with eligible, reason and problem: closed by the teacher; a label that disagrees is a problem. cases: case_id,
+    source, final, closure, host_label (of host cases)."""
+    from evispark.functions.text import first_line_marker
+
+    closed = F.coalesce(first_line_marker("final") == "closed", F.lit(False))
+    wrong = F.when((F.col("source") == "host") & ~(F.col("host_label") == "teacher_closed").eqNullSafe(closed), "host label disagrees").when(~(F.col("closure") == "closed").eqNullSafe(closed), "metadata disagrees")
+    return cases.withColumn("eligible", closed).withColumn("reason", F.when(closed, "eligible").otherwise("teacher did not close")).withColumn("problem", wrong)
+
+
+def citation_units(finals: DataFrame, marker: str = "CASE CLOSED") -> DataFrame:
+    """(case_id, unit, paragraph, text, citation, ids): what stands before each group of cited ids within a paragraph, back
+    to the group before it. finals: case_id, final."""
+    from evispark.functions.text import expand_ids
+
+    # Fixed value: ids in round or square brackets.
+    group = r"[\(\[]([^()\[\]]*?E\d+\.\d+[^()\[\]]*?)[\)\]]"
+    body = F.regexp_replace("final", f"^{marker}", "")
+    paragraphs_ = F.filter(F.split(body, r"\n\s*\n"), lambda p: p.rlike(r"\S"))
+    each = finals.select("case_id", F.posexplode(paragraphs_).alias("paragraph", "_p"))
+    parts = F.arrays_zip(F.split("_p", group, -1).alias("text"), F.regexp_extract_all("_p", F.lit(group), F.lit(0)).alias("citation"), F.regexp_extract_all("_p", F.lit(group), F.lit(1)).alias("inner"))
+    units = each.select("case_id", "paragraph", F.posexplode(parts).alias("_k", "_u")).where("_u.citation IS NOT NULL")
+    nth = F.row_number().over(Window.partitionBy("case_id").orderBy("paragraph", "_k")) - 1
+    return units.select("case_id", nth.alias("unit"), "paragraph", F.trim(F.regexp_replace("_u.text", r"^\s+|\s+$", "")).alias("text"), F.col("_u.citation").alias("citation"), expand_ids(F.col("_u.inner")).alias("ids"))
+
+
+def unit_roles(units: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Units with their role, a letter of the case's string of labels, and cases (case_id, problem) whose string is of
+    another length, holds other letters than G, N and A, or is missing. labels: case_id, roles."""
+    n = units.groupBy("case_id").agg(F.count("*").alias("_n"))
+    joined = n.join(labels, "case_id", "left")
+    problem = F.when(F.col("roles").isNull(), "no labels").when(F.length("roles") != F.col("_n"), "another number of labels").when(~F.col("roles").rlike("^[GNA]*$"), "unknown label")
+    role = F.substring("roles", F.col("unit") + 1, F.lit(1))
+    good = labels.join(joined.where(problem.isNull()).select("case_id"), "case_id", "left_semi")
+    return units.join(good, "case_id").withColumn("role", role).drop("roles"), joined.select("case_id", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def protected(evidence_id: Column, source: Column, title: Column) -> Column:
+    """Items that are never taken out: the record, and a host case's alert."""
+    return evidence_id.startswith("E1.") | ((source == "host") & F.coalesce(F.lower(title).contains("alert record"), F.lit(False)))
 
 
 def key_sets(units: DataFrame, store: DataFrame, protected: Column) -> DataFrame:
@@ -79,11 +165,19 @@ def key_sets(units: DataFrame, store: DataFrame, protected: Column) -> DataFrame
 
 
 def variants(keys: DataFrame, pool: DataFrame, seed: int) -> DataFrame:
-    """(case_id, level, evidence_id): nested removals of the keys, and as many uncited items as control."""
+    """(case_id, level, evidence_id): nothing removed, as a row without an id; nested removals of the keys; and as many
+    uncited items as control."""
     from evispark.functions.numeric import seeded
 
     levels = removal_levels(keys, "case_id", "evidence_id", seed)
     k = keys.groupBy("case_id").agg(F.count("*").alias("_k"))
     order = Window.partitionBy("case_id").orderBy(seeded(seed, F.col("evidence_id")), "evidence_id")
     control = pool.join(keys, ["case_id", "evidence_id"], "left_anti").withColumn("_nth", F.row_number().over(order)).join(k, "case_id").where("_nth <= _k")
-    return levels.unionByName(control.select("case_id", F.lit("control").alias("level"), "evidence_id"))
+    whole = k.select("case_id", F.lit("level_000").alias("level"), F.lit(None).cast("string").alias("evidence_id"))
+    return levels.unionByName(control.select("case_id", F.lit("control").alias("level"), "evidence_id")).unionByName(whole)
+
+
+def manifest(variant_rows: DataFrame, eligible: DataFrame) -> DataFrame:
+    """(case_id, level, n_removed, removed): one row a variant of an eligible case. Expectations are the caller's."""
+    kept = variant_rows.join(eligible.where("eligible AND problem IS NULL").select("case_id"), "case_id", "left_semi")
+    return kept.groupBy("case_id", "level").agg(F.count("evidence_id").alias("n_removed"), F.sort_array(F.collect_list("evidence_id")).alias("removed"))

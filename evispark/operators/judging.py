@@ -75,3 +75,115 @@ def fetch_behaviour(folded: DataFrame, keys: list[str], key_ids: DataFrame) -> D
     recall = F.when(F.size("key_ids") > 0, hits / F.size("key_ids"))
     precision = F.when((F.size("key_ids") > 0) & (F.size("fetched") > 0), hits / F.size("fetched"))
     return joined.select(*keys, "fetches", "ids_per_fetch", "rerequested", recall.alias("key_recall"), precision.alias("key_precision"))
+
+
+STATE = ["Current hypotheses", "Hypothesis ledger"]
+
+
+def _items_text(ids: Column, items: Column) -> Column:
+    """`id | title | kind` and text of each id that the map of items knows."""
+    one = lambda i: F.try_element_at(items, i)
+    line = lambda i: F.when(one(i).isNull(), F.concat(i, F.lit(" | (no such item in the case)"))).otherwise(F.concat(F.concat_ws(" | ", i, F.coalesce(one(i)["title"], F.lit("")), F.coalesce(one(i)["kind"], F.lit(""))), F.lit("\n"), F.coalesce(one(i)["text"], F.lit(""))))
+    return F.transform(ids, line)
+
+
+def _titles(ids: Column, items: Column) -> Column:
+    return F.transform(ids, lambda i: F.concat_ws(" | ", i, F.coalesce(F.try_element_at(items, i)["title"], F.lit("(no such item in the case)"))))
+
+
+def _listed(lines: Column) -> Column:
+    return F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise("(none)")
+
+
+def _numbered(rows: DataFrame, keys: list[str], order: str, body: Column, head: Column, last: str) -> DataFrame:
+    """keys, request, n_items: a head, the numbered bodies in order, and what to answer."""
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(order, body.alias("body")))), lambda s: s["body"])
+    out = rows.groupBy(*keys).agg(listed.alias("_parts"), F.first(head).alias("_head"))
+    numbered = F.transform("_parts", lambda p, i: F.concat(F.lit("# "), (i + 1).cast("string"), F.lit("\n"), p))
+    return out.select(*keys, F.concat_ws("\n\n", "_head", F.array_join(numbered, "\n\n"), F.lit(last)).alias("request"), F.size("_parts").alias("n_items"))
+
+
+def fetch_requests(folded: DataFrame, cases: DataFrame, keys: list[str]) -> DataFrame:
+    """What a judge of requests is asked, one row a rollout with valid requests. The judge sees the reference's key items
+    that were unread at each request, which the investigator doesn't; not what the items say.
+
+    folded: keys, turn, assistant, call_ids, reason, seen_before, valid; cases: case_id, question, items (a map of id to
+    title, kind, text), key_ids."""
+    from evispark.functions.text import pick_sections
+
+    rows = folded.where("valid").join(cases, "case_id")
+    mark = lambda i: F.when(F.array_contains("seen_before", i), " | ALREADY READ").otherwise(" | NEW")
+    asked = F.zip_with(_titles(F.col("call_ids"), F.col("items")), F.col("call_ids"), lambda line, i: F.concat(line, mark(i)))
+    unread = _titles(F.sort_array(F.array_except("key_ids", "seen_before")), F.col("items"))
+    body = F.concat(
+        F.lit("## State at the moment of the request\n"), pick_sections("assistant", STATE), F.lit("\n\n## Already read\n"), F.when(F.size("seen_before") > 0, F.array_join(F.sort_array("seen_before"), ", ")).otherwise("(none)"),
+        F.lit("\n\n## Requested\n"), _listed(asked), F.lit("\n\n## Stated reason\n"), F.coalesce("reason", F.lit("")), F.lit("\n\n## Key items still unread (not shown to the investigator)\n"), _listed(unread),
+    )
+    return _numbered(rows, keys, "turn", body, F.concat(F.lit("# Task question\n"), F.col("question")), "Answer for every request.")
+
+
+def hypothesis_requests(turns: DataFrame, cases: DataFrame, keys: list[str]) -> DataFrame:
+    """What a judge of updates is asked: the state before, the items just returned and the update; nothing of the reference.
+    turns: keys, turn, assistant, call_ids, call_errors, fresh, return_error."""
+    from evispark.functions.text import pick_sections
+
+    w = Window.partitionBy(*keys).orderBy("turn")
+    none = F.array().cast("array<string>")
+    before = F.struct("assistant", F.col("call_ids").isNotNull().alias("called"), (F.size(F.coalesce("call_errors", none)) > 0).alias("erred"), F.coalesce("fresh", none).alias("fresh"), "return_error")
+    pairs = turns.withColumn("_b", F.lag(before).over(w)).where(F.col("call_ids").isNotNull() & (F.col("_b.called") | F.col("_b.erred"))).join(cases, "case_id")
+    returned = F.when(F.col("_b.return_error").isNotNull(), F.concat(F.lit("(the fetch failed: "), F.col("_b.return_error"), F.lit(")"))).when(~F.col("_b.called"), "(no tool result)").when(F.size("_b.fresh") == 0, "(no new evidence)").otherwise(F.array_join(_items_text(F.col("_b.fresh"), F.col("items")), "\n\n"))
+    body = F.concat(F.lit("## State before\n"), pick_sections(F.col("_b.assistant"), STATE), F.lit("\n\n## Just returned\n"), returned, F.lit("\n\n## Update\n"), pick_sections("assistant", ["Evidence and hypothesis update", "Hypothesis ledger"]))
+    return _numbered(pairs, keys, "turn", body, F.concat(F.lit("# Task question\n"), F.col("question")), "Answer for every update.")
+
+
+def closure_requests(results: DataFrame, cases: DataFrame, keys: list[str], most: int = 6000) -> DataFrame:
+    """What a judge of final answers is asked, for rollouts with a decision: the answer, the cited items in full, titles
+    read and unread, and the reference. results: keys, final_answer, disclosed, marker; cases also: closure, official,
+    teacher_final, alternatives."""
+    from evispark.functions.text import evidence_ids, id_order
+
+    rows = results.where("marker IS NOT NULL").join(cases, "case_id")
+    cited = id_order(F.array_distinct(evidence_ids("final_answer")))
+    flagged = F.zip_with(_items_text(cited, F.col("items")), cited, lambda text, i: F.when(F.array_contains("disclosed", i), text).otherwise(F.concat(text, F.lit("  [CITED BUT NEVER READ]"))))
+    store = id_order(F.map_keys("items"))
+    read, unread = F.filter(store, lambda i: F.array_contains("disclosed", i)), F.filter(store, lambda i: ~F.array_contains("disclosed", i))
+    decision = lambda c: F.when(c == "closed", "CASE CLOSED").otherwise("CASE NOT CLOSED")
+    official = F.when(F.length("official") > most, F.concat(F.substring("official", 1, most), F.lit(" [...]"))).otherwise(F.coalesce("official", F.lit("(none)")))
+    last = F.when(F.col("marker") == "closed", "Score the conclusion; the gap must be null (the case was closed).").otherwise("Score the conclusion and the gap.")
+    parts = {
+        "Task question": F.col("question"), "Decision": decision(F.col("marker")), "Final answer": F.trim("final_answer"), "Cited items": F.when(F.size(flagged) > 0, F.array_join(flagged, "\n\n")).otherwise("(no citations)"),
+        "Read": _listed(_titles(read, F.col("items"))), "Not read": _listed(_titles(unread, F.col("items"))),
+        "Reference (not shown to the investigator)": F.concat_ws("\n\n", decision(F.col("closure")), F.coalesce("teacher_final", F.lit("(none)")), official, _listed(F.coalesce("alternatives", F.array().cast("array<string>")))),
+    }
+    return rows.select(*keys, F.concat_ws("\n\n", *[F.concat(F.lit(f"# {name}\n"), value) for name, value in parts.items()], last).alias("request"), F.lit(1).alias("n_items"))
+
+
+def behaviour(turns: DataFrame, finals: DataFrame, key_ids: DataFrame, keys: list[str]) -> DataFrame:
+    """What a rollout was like, in sixteen figures. turns: keys, turn, assistant, call_ids, call_errors, return_error,
+    seen_before, fresh, gen_tokens; finals: keys, final_answer, citations_seen; key_ids: case_id, key_ids."""
+    from evispark.functions.text import evidence_ids, sections
+
+    none = F.array().cast("array<string>")
+    stated = F.array_distinct(F.regexp_extract_all(F.coalesce(F.try_element_at(sections("assistant"), F.lit("Current hypotheses")), F.lit("")), F.lit(r"(?m)^\s*(H[0-9]+)\b"), F.lit(1)))
+    first = Window.partitionBy(*keys).orderBy("turn")
+    erred = (F.size(F.coalesce("call_errors", none)) > 0) | F.col("return_error").isNotNull()
+    valid = F.col("call_ids").isNotNull() & ~erred
+    each = turns.withColumn("_h", stated).withColumn("_known", F.coalesce(F.flatten(F.collect_list("_h").over(first.rowsBetween(Window.unboundedPreceding, -1))), none)).withColumn("_nth", F.row_number().over(first))
+    each = each.withColumn("_new", F.when(F.col("_nth") > 1, F.size(F.array_except("_h", "_known"))).otherwise(0)).withColumn("_again", F.when(valid, F.size(F.filter("call_ids", lambda i: F.array_contains("seen_before", i)))).otherwise(0))
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int"))
+    tried = count(F.col("call_ids").isNotNull() | (F.size(F.coalesce("call_errors", none)) > 0))
+    out = each.groupBy(*keys).agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("_h")))).alias("hypothesis_count"), F.max(F.size("_h")).alias("hypothesis_count_max_per_turn"), F.sum("_new").alias("new_hypotheses_after_turn1"),
+        count(F.col("call_ids").isNotNull()).alias("fetches"), F.avg(F.size("call_ids").cast("double")).alias("ids_per_fetch"), F.sum("_again").alias("rerequested_items"), count(erred).alias("invalid_fetch_turns"),
+        F.when(tried > 0, count(erred) / tried).otherwise(0.0).alias("invalid_format_rate"), F.avg(F.when(F.col("gen_tokens") > 0, F.col("gen_tokens"))).alias("tokens_per_turn"),
+        F.array_distinct(F.flatten(F.collect_list(F.when(valid, F.col("call_ids"))))).alias("_fetched"),
+    )
+    moved = hypothesis_behaviour(turns, keys).select(*keys, F.col("ruled_out").alias("hypotheses_ruled_out"), F.col("switches").alias("leading_switches"))
+    out = out.join(moved, keys, "left").fillna(0, ["hypotheses_ruled_out", "leading_switches"]).join(finals, keys, "left").join(key_ids, "case_id", "left")
+    hits = F.size(F.array_intersect("_fetched", "key_ids"))
+    known = F.coalesce(F.size("key_ids") > 0, F.lit(False))
+    return (
+        out.withColumn("key_recall", F.when(known, hits / F.size("key_ids"))).withColumn("key_precision", F.when(known & (F.size("_fetched") > 0), hits / F.size("_fetched")))
+        .withColumn("final_answer_chars", F.length("final_answer")).withColumn("final_citations", F.size(F.array_distinct(evidence_ids("final_answer")))).withColumnRenamed("citations_seen", "citations_valid")
+        .drop("_fetched", "key_ids", "final_answer")
+    )

@@ -92,16 +92,18 @@ def test_key_sets_and_variants(spark):
     levels = {}
     for r in counterfactual.variants(keys, store.where("evidence_id NOT LIKE 'E1.%'"), 5).collect():
         levels.setdefault(r.level, set()).add(r.evidence_id)
-    assert {k: len(v) for k, v in levels.items()} == {"level_040": 1, "level_075": 2, "level_100": 3, "control": 3}
+    assert {k: len(v) for k, v in levels.items()} == {"level_000": 1, "level_040": 1, "level_075": 2, "level_100": 3, "control": 3} and levels["level_000"] == {None}
     assert levels["level_040"] < levels["level_075"] < levels["level_100"] and not levels["control"] & levels["level_100"]
 
 
 def test_restatement(spark):
-    rows = [("c", "E2.1", "Pressure fell to 4,512 units while 38 valves stuck open somewhere near compressor housing"), ("c", "E2.2", "Later notes repeat 4512 and 38 plainly"), ("c", "E2.3", "nothing of the kind")]
+    rows = [("c", "E2.1", "Pressure fell to 4,512 units while 38 psi held \'the old inner seal\' near compressor housing"), ("c", "E2.2", "Later notes repeat 4512 and 38 psi plainly"), ("c", "E2.3", "nothing of the kind"), ("c", "E2.4", "It was the old inner seal."), ("c", "E2.5", "only 4512 there")]
     items = spark.createDataFrame(rows, "case_id string, evidence_id string, text string")
     targets = items.where("evidence_id <> 'E2.1'").select("case_id", F.col("evidence_id").alias("target"), F.lit(False).alias("in_brief"), "text")
     got = {r.target: r.likely for r in counterfactual.leak_check(items.where("evidence_id = 'E2.1'"), targets, items).collect()}
-    assert got == {"E2.2": True}
+    assert got == {"E2.2": True, "E2.4": True, "E2.5": False}
+    again = counterfactual.top_hits(counterfactual.leak_check(items.where("evidence_id = 'E2.1'"), targets, items))
+    assert [(r.target, r.strength, r.place) for r in again.orderBy("place").collect()] == [("E2.2", 2, 1), ("E2.4", 2, 2)]
 
 
 def test_refill_and_packs(spark):

@@ -65,7 +65,7 @@ def test_hypothesis_program(spark):
     rows = [("H1 [open -> favored] H2 [open -> open]", judged), ("H1 [open -> open] H2 [open -> weakened]", judged)]
     frame = spark.createDataFrame(rows, "u string, j array<struct<hypothesis:string,touched:boolean,direction:string,main:boolean>>")
     got = [tuple(x.p) for x in frame.select(r.hypothesis_program(F.col("u"), F.col("j")).alias("p")).collect()]
-    assert got == [(True, True, False, False), (True, False, True, True)]
+    assert got == [(True, True, False, False, False, True), (True, False, True, True, False, True)]
 
 
 def test_key_hit(spark):
