@@ -9,7 +9,7 @@ from evispark.functions import text as t
 from evispark.operators import counterfactual as cf
 from evispark.operators import extraction as ex
 from evispark.plans.registry import query
-from evispark.plans.text import TOKENS
+from evispark.plans.text import STOPS, TOKENS
 from evispark.sources.readers import table
 
 GRAMS = "list_distinct([array_to_string(toks[i:i+5], ' ') FOR i IN range(1, CAST(len(toks) AS BIGINT) - 4)])"
@@ -43,7 +43,17 @@ def near_duplicate_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.near_duplicates(docs, "case", "doc_id", "text")
 
 
-@query()
+NORMED = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
+CONTENT = f"list_filter(regexp_extract_all({{}}, '[a-z0-9][a-z0-9''\\-.]*'), lambda w: length(w) > 1 AND NOT list_contains([{STOPS}], w))"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {NORMED.format("text")} AS hay, array_to_string(regexp_split_to_array(text, '\\s+')[3:12], '  ') AS item FROM documents),
+q AS (SELECT *, {NORMED.format("replace(replace(upper(item), 'ẞ', 'SS'), 'ß', 'SS')")} AS quote, {CONTENT.format(NORMED.format("item"))} AS words, {CONTENT.format("hay")} AS pool FROM d), w AS (SELECT *, string_split(quote, ' ') AS toks FROM q),
+f AS (SELECT *, quote <> '' AND (contains(hay, quote) OR (len(toks) >= 5 AND (contains(hay, array_to_string(toks[2:], ' ')) OR contains(hay, array_to_string(toks[:len(toks) - 1], ' ')) OR contains(hay, array_to_string(toks[2:len(toks) - 1], ' '))))) AS quote_found,
+  CASE WHEN len(words) = 0 THEN 0.0 ELSE len(list_filter(words, lambda x: list_contains(pool, x))) / len(words) END AS overlap FROM w)
+SELECT quote_found, quote_found OR overlap >= 0.6 AS accepted, count(*) AS n, round(avg(overlap), 4) AS overlap FROM f GROUP BY ALL
+""")
 def verified_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quote is the words 3 to 12 of a document; the text to find it in is the document, in capitals and other spaces."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.lit(0).alias("block_idx"), "text")

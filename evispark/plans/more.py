@@ -156,7 +156,15 @@ def audit_reply_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judging.audit_replies(rows, "reply").groupBy("problem").agg(F.count("*").alias("n"))
 
 
-@query()
+H = [h.replace("'", "''") for h in segmentation.HEADINGS]
+
+
+@query(rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), r AS (SELECT *, trim(line) AS bare, regexp_replace(line, '\s+$', '') AS tail FROM l),
+h AS (SELECT *, trim(regexp_replace(CASE WHEN regexp_matches(tail, '{H[0]}') THEN regexp_extract(tail, '{H[0]}', 1) || ' ' || regexp_extract(tail, '{H[0]}', 2) WHEN regexp_matches(tail, '{H[1]}') THEN regexp_extract(tail, '{H[1]}', 1) WHEN regexp_matches(tail, '{H[2]}') THEN regexp_extract(tail, '{H[2]}', 1) ELSE '' END, '\s+', ' ', 'g')) AS found,
+  length(bare) BETWEEN 1 AND 120 AND (regexp_matches(lower(bare), '^(?:page\s*)?\d+(?:\s*of\s*\d+)?$') OR regexp_matches(lower(bare), '\bpage \d+ of \d+\b') OR regexp_matches(bare, '^[-–—_.•\s]+$')) AS furniture FROM r)
+SELECT doc_id, count(*) AS lines, CAST(count(*) FILTER (NOT furniture AND length(bare) >= 4 AND NOT (regexp_matches(bare, '[.;,]$') AND NOT regexp_matches(line, '{segmentation.NUMBERED}')) AND length(found) BETWEEN 4 AND 90 AND NOT regexp_matches(found, '^\p{{Ll}}')) AS BIGINT) AS headings FROM h GROUP BY doc_id
+""")
 def heading_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = segmentation.lines(table(spark, sf_dir, "documents"), "doc_id").withColumn("h", segmentation.heading(F.col("line")))
     return each.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count("h").alias("headings"))
@@ -167,12 +175,22 @@ def block_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation.blocks(table(spark, sf_dir, "documents"), "doc_id").groupBy("doc_id").agg(F.count("*").alias("blocks"), F.sum(F.length("text")).alias("chars"))
 
 
-@query()
+PROPER = anonymise.PROPER.replace("'", "''")
+COMMON = ", ".join(f"'{w}'" for w in anonymise.COMMON)
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[À-ÖØ-öø-ɏ]', '_', 'g'), '{PROPER}') AS names FROM documents), e AS (SELECT doc_id, unnest(names) AS name, generate_subscripts(names, 1) AS pos FROM d),
+c AS (SELECT doc_id, name, count(*) AS n, min(pos) AS first_at FROM e WHERE regexp_split_to_array(name, '\s+')[1] NOT IN ({COMMON}) AND length(name) >= 3 GROUP BY ALL)
+SELECT doc_id, name, n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN regexp_full_match(name, '[A-Z]{{2,6}}') THEN 0 WHEN contains(name, ' ') THEN 1 ELSE 2 END, n DESC, first_at) AS INT) AS place FROM c QUALIFY place <= 60
+""")
 def proper_noun_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anonymise.proper_nouns(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query()
+@query("""
+SELECT doc_id, sha256(CAST(json_object('doc_id', doc_id, 'lang', lang, 'source', source, 'text', text) AS VARCHAR)) AS digest FROM documents
+""")
 def canonical_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     package = F.to_json(F.struct("doc_id", "lang", "source", "text"))
     return table(spark, sf_dir, "documents").select("doc_id", nf.canonical_digest(package).alias("digest"))

@@ -55,14 +55,14 @@ def key_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH d AS (SELECT doc_id, quality, toxic, doc_id % 11 AS a, doc_id % 7 AS b, CASE doc_id % 3 WHEN 0 THEN 'closed' WHEN 1 THEN 'not_closed' END AS decision, CASE quality WHEN 1 THEN 'closed' ELSE 'not_closed' END AS label FROM labels),
 p AS (SELECT *, (0.05 * a + 0.05 * b) / 2 + 0.25 AS fet, greatest(-1.0, least(1.0, (-0.5 + a / 10.0) * 2 + (-0.5 + b / 10.0))) AS hyp, CASE WHEN decision IS NULL THEN 0.0 WHEN decision = label THEN 0.5 ELSE -0.5 END AS status,
   CASE decision WHEN 'closed' THEN -1 + 0.2 * a WHEN 'not_closed' THEN -0.5 + 0.1 * a - 0.5 + 0.1 * b ELSE 0.0 END AS judged FROM d)
-SELECT doc_id, round(CAST(fet + hyp + status + judged - 0.4 AS DOUBLE), 6) AS total, round(CAST(0.25 + status - 0.4 AS DOUBLE), 6) AS program, round(CAST(2 * fet + 0.5 * hyp + status + judged - 0.4 AS DOUBLE), 6) AS weighted FROM p
+SELECT doc_id, round(CAST(fet + hyp + status + judged - 0.4 AS DOUBLE), 6) + 0.0 AS total, round(CAST(0.25 + status - 0.4 AS DOUBLE), 6) + 0.0 AS program, round(CAST(2 * fet + 0.5 * hyp + status + judged - 0.4 AS DOUBLE), 6) + 0.0 AS weighted FROM p
 """)
 def first_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first reward from scores of documents, by its program's parts alone, and by other weights."""
     k = F.col("doc_id")
     a, b = (k % 11).cast("int"), (k % 7).cast("int")
     decision, label = F.when(k % 3 == 0, "closed").when(k % 3 == 1, "not_closed"), F.when(F.col("quality") == 1, "closed").otherwise("not_closed")
-    total = lambda **more: F.round(r.first_total(decision, label, a.cast("double"), b.cast("double"), F.array(a, b), F.array(a, a, b), F.lit(0.25), F.lit(-0.4), **more), 6)
+    total = lambda **more: F.round(r.first_total(decision, label, a.cast("double"), b.cast("double"), F.array(a, b), F.array(a, a, b), F.lit(0.25), F.lit(-0.4), **more), 6) + 0.0
     return table(spark, sf_dir, "labels").select("doc_id", total().alias("total"), total(phase=1).alias("program"), total(weights={"fetch": 2.0, "hypothesis": 0.5}).alias("weighted"))
 
 

@@ -103,14 +103,24 @@ def turn_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", nf.turn_seed(F.lit(17), F.col("conv_id").cast("string"), F.col("turn")).alias("seed"))
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS nth FROM documents),
+f(source, nth, n_chars, loads, shard) AS (SELECT source, nth, n_chars, [n_chars, 0, 0, 0], CAST(0 AS INT) FROM o WHERE nth = 1 UNION ALL
+  SELECT o.source, o.nth, o.n_chars, list_transform(loads, lambda x, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN x + o.n_chars ELSE x END), CAST(list_position(loads, list_min(loads)) - 1 AS INT) FROM f JOIN o ON o.source = f.source AND o.nth = f.nth + 1)
+SELECT source, shard, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM f GROUP BY ALL
+""")
 def lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A step's batch is a source; the longest documents first, to the least loaded of four shards."""
     out = s.longest_first(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars", 4)
     return out.groupBy("source", "shard").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS nth FROM documents),
+f(source, nth, n_chars, used, pack) AS (SELECT source, nth, n_chars, n_chars, CAST(0 AS INT) FROM o WHERE nth = 1 UNION ALL
+  SELECT o.source, o.nth, o.n_chars, CASE WHEN used > 0 AND used + o.n_chars > 40000 THEN o.n_chars ELSE used + o.n_chars END, CAST(pack + CASE WHEN used > 0 AND used + o.n_chars > 40000 THEN 1 ELSE 0 END AS INT) FROM f JOIN o ON o.source = f.source AND o.nth = f.nth + 1)
+SELECT source, pack, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM f GROUP BY ALL
+""")
 def next_fit_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = s.next_fit(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars", 40_000)
     return out.groupBy("source", "pack").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))

@@ -89,17 +89,31 @@ def long_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.size(F.array_distinct(ws)).alias("long_words"))
 
 
-@query()
+@query(r"""
+WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]{2,}') AS found, length(regexp_replace(text, '[\x09\x0a\x0d\x20-\x7e£§°±–—’‘“”é]', '', 'g')) AS odd, string_split(text, chr(10)) AS lines FROM documents),
+s AS (SELECT *, least(1.0, len(list_filter(found, lambda w: length(w) >= 4)) / greatest(len(found), 1)) AS long, len(list_filter(lines, lambda x: length(trim(x)) BETWEEN 1 AND 2)) / greatest(len(lines), 1) AS single FROM d)
+SELECT doc_id, round(CAST(CASE WHEN trim(text) = '' OR NOT regexp_matches(text, '\pL') THEN 1.0 ELSE least(1.0, 0.5 * (odd / greatest(length(text), 1) * 20) + 0.3 * (1 - long) + 0.2 * least(1.0, single * 3)) END AS DOUBLE), 6) AS score FROM s
+""")
 def garbled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.round(t.garbled_score("text"), 6).alias("score"))
 
 
-@query()
+@query(r"""
+SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n'), lambda x: length(trim(regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', ''))) >= 40)) AS INT) AS paragraphs FROM documents
+""")
 def paragraph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line a paragraph; short ones belong to the one before, so the long ones count."""
     return docs(spark, sf_dir).select("doc_id", F.size(t.paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("paragraphs"))
 
 
-@query()
+#: Letters beyond ASCII as a word character of RE2, whose word boundaries know ASCII alone.
+ASCII_WORDS = "regexp_replace(text, '[À-ÖØ-öø-ɏ]', '_', 'g')"
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, {ASCII_WORDS} AS text FROM documents)
+SELECT doc_id, CAST(least(20, len(list_distinct(regexp_extract_all(text, '{t.DATES}')))) AS INT) AS dates, CAST(least(20, len(list_distinct(regexp_extract_all(text, '{t.REGISTRATIONS}')))) AS INT) AS registrations, CAST(len(regexp_extract_all(text, '{t.CONCLUSIONS}')) AS INT) AS conclusions FROM d
+""")
 def residual_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = docs(spark, sf_dir).select("doc_id", t.residual_identifiers("text").alias("found"), t.conclusion_hits("text").alias("hits"))
     return found.select("doc_id", F.size("found.dates").alias("dates"), F.size("found.registration_like").alias("registrations"), F.size("hits").alias("conclusions"))
