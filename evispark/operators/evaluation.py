@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evispark.functions.numeric import lower_rank
-
 
 def accuracy_by_families(rows: DataFrame, decision: str, label: str, families: list[tuple[str, ...]]) -> DataFrame:
     """n, ok and acc for every family of keys at once, as grouping sets; keys outside a family are null there."""
@@ -64,9 +62,15 @@ def judge_health(calls: DataFrame, failed: Column, parse_failed: Column, inconsi
 
 
 def latency(calls: DataFrame, value: str, *by: str) -> DataFrame:
-    """p50, p95 by lower rank, and the largest. A group's values must fit one task, as an exact quantile asks."""
-    values = F.collect_list(value)
-    return calls.groupBy(*by).agg(values.alias("_v")).select(*by, lower_rank(F.col("_v"), 0.5).alias("p50"), lower_rank(F.col("_v"), 0.95).alias("p95"), F.array_max("_v").alias("most"))
+    """p50, p95 by lower rank, and the largest. Values are ranked in ranges, so no group has to fit a task."""
+    from evispark.operators.windows import running
+
+    there = calls.where(F.col(value).isNotNull()).select(*by, value)
+    ranked = running(there, list(by), [value], {"_nth": F.lit(1)})
+    sizes = there.groupBy(*by).agg(F.count("*").alias("_n"), F.max(value).alias("most"))
+    keyed = ranked.withColumn("_by", F.struct(*by)).drop(*by).join(sizes.withColumn("_by", F.struct(*by)), "_by")
+    at = {name: F.floor(F.lit(p) * (F.col("_n") - 1)) + 1 == F.col("_nth") for name, p in (("p50", 0.5), ("p95", 0.95))}
+    return keyed.where(at["p50"] | at["p95"]).groupBy(*by).agg(*[F.max(F.when(c, F.col(value))).alias(name) for name, c in at.items()], F.first("most").alias("most"))
 
 
 def cost(calls: DataFrame, reported: Column, computed: Column, *by: str) -> DataFrame:

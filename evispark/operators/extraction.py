@@ -138,20 +138,30 @@ def _followers(pairs: DataFrame) -> DataFrame:
 
 
 def alike_pairs(items: DataFrame, case: str, key: str, bag: Column, threshold: float = MOST_ALIKE) -> DataFrame:
-    """(case, a_id, b_id, jaccard): pairs of a case whose sets are that alike. Pairs meet on words of their prefixes,
-    rarest in the case first, so an item meets few others."""
-    bags = items.select(case, key, F.array_distinct(bag).alias("_bag")).withColumn("_n", F.size("_bag")).where("_n > 0")
-    each = bags.select(case, key, "_n", F.explode("_bag").alias("_w"))
+    """(case, a_id, b_id, jaccard): pairs of a case whose sets are that alike. Equal sets are one class; classes meet on words
+    of their prefixes, rarest in the case first, so a class meets few others, and pairs of items are made of alike classes
+    at the end."""
+    bags = items.select(case, key, F.array_sort(F.array_distinct(bag)).alias("_bag")).withColumn("_n", F.size("_bag")).where("_n > 0").withColumn("_set", F.xxhash64(F.col(case), "_bag"))
+    sets = bags.groupBy(case, "_set").agg(F.first("_bag").alias("_bag"), F.first("_n").alias("_n"), F.count("*").alias("_items"))
+    each = sets.select(case, "_set", "_n", "_items", F.explode("_bag").alias("_w"))
     frequency = each.groupBy(case, "_w").agg(F.count("*").alias("_df"))
-    w = Window.partitionBy(case, key).orderBy("_df", "_w")
+    w = Window.partitionBy(case, "_set").orderBy("_df", "_w")
     prefix = each.join(frequency, [case, "_w"]).withColumn("_pos", F.row_number().over(w)).where(F.col("_pos") <= F.col("_n") - F.ceil(F.col("_n") * threshold) + 1).where("_df > 1")
-    a, b = (prefix.select(case, "_w", F.col(key).alias(f"{s}_id"), F.col("_n").alias(f"_n{s}")) for s in "ab")
-    near = (F.col("a_id") < F.col("b_id")) & (F.least("_na", "_nb") >= threshold * F.greatest("_na", "_nb"))
-    pairs = a.join(b, [case, "_w"]).where(near).select(case, "a_id", "b_id").distinct()
-    left, right = (bags.select(case, F.col(key).alias(f"{s}_id"), F.col("_bag").alias(f"_{s}")) for s in "ab")
-    both = pairs.join(left, [case, "a_id"]).join(right, [case, "b_id"])
+    a, b = (prefix.select(case, "_w", *[F.col(c).alias(f"{c}_{s}") for c in ("_set", "_n", "_pos")]) for s in "ab")
+    # an overlap that the threshold asks for has to fit behind the word that two sets meet on
+    need = F.ceil((F.col("_n_a") + F.col("_n_b")) * threshold / (1 + threshold) - 1e-9)
+    room = F.least(F.col("_n_a") - F.col("_pos_a"), F.col("_n_b") - F.col("_pos_b")) + 1
+    near = (F.col("_set_a") < F.col("_set_b")) & (F.least("_n_a", "_n_b") >= threshold * F.greatest("_n_a", "_n_b")) & (room >= need)
+    pairs = a.join(b, [case, "_w"]).where(near).select(case, "_set_a", "_set_b").distinct()
+    left, right = (sets.select(case, F.col("_set").alias(f"_set_{s}"), F.col("_bag").alias(f"_{s}")) for s in "ab")
+    both = pairs.join(left, [case, "_set_a"]).join(right, [case, "_set_b"])
     jaccard = F.size(F.array_intersect("_a", "_b")) / F.size(F.array_union("_a", "_b"))
-    return both.select(case, "a_id", "b_id", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
+    alike = both.select(case, "_set_a", "_set_b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
+    alike = alike.unionByName(sets.where("_items > 1").select(case, F.col("_set").alias("_set_a"), F.col("_set").alias("_set_b"), F.lit(1.0).alias("jaccard")))
+    ids, others = (bags.select(case, F.col("_set").alias(f"_set_{s}"), F.col(key).alias(f"_{s}")) for s in "ab")
+    found = alike.join(ids, [case, "_set_a"]).join(others, [case, "_set_b"])
+    apart = (F.col("_set_a") != F.col("_set_b")) | (F.col("_a") < F.col("_b"))
+    return found.where(apart & (F.col("_a") != F.col("_b"))).select(case, F.least("_a", "_b").alias("a_id"), F.greatest("_a", "_b").alias("b_id"), "jaccard")
 
 
 def canonical_sources(items: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -183,7 +193,9 @@ def plan_cases(candidates: DataFrame, built: DataFrame, prefix: str) -> DataFram
     serial = F.regexp_extract("case_id", r"(\d+)$", 1).cast("int")
     top = built.agg(F.coalesce(F.max(serial), F.lit(0)).alias("_top"))  # one row
     joined = candidates.join(built.select("native_id", "case_id"), "native_id", "left")
-    new = joined.where("case_id IS NULL").drop("case_id").withColumn("_nth", F.row_number().over(Window.orderBy("native_id"))).join(F.broadcast(top))
+    from evispark.operators.windows import running
+
+    new = running(joined.where("case_id IS NULL").drop("case_id").withColumn("_all", F.lit(0)), ["_all"], ["native_id"], {"_nth": F.lit(1)}).drop("_all").join(F.broadcast(top))
     named = new.withColumn("case_id", F.concat(F.lit(prefix), F.lpad((F.col("_top") + F.col("_nth")).cast("string"), 4, "0"))).drop("_nth", "_top")
     return joined.where("case_id IS NOT NULL").withColumn("new", F.lit(False)).unionByName(named.withColumn("new", F.lit(True)))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,10 +25,11 @@ def head_then_sample(rows: DataFrame, order: list[Column], key: str, n: int, see
 
 
 def two_strata(rows: DataFrame, first: Column, key: str, n: int, share: float, seed: int) -> DataFrame:
-    """A share of n from the rows where `first` holds and the remainder from the others."""
-    quota = F.when(first, F.lit(round(n * share))).otherwise(F.lit(n - round(n * share)))
-    marked = rows.withColumn("_first", first).withColumn("_quota", quota)
-    return per_stratum(marked, ["_first"], key, F.col("_quota"), seed).drop("_first", "_quota")
+    """A share of n from the rows where `first` holds and the remainder from the others; each side's ranks are cut in every
+    task, so n rows a task are all that moves."""
+    of_first, order = round(n * share), [seeded(seed, F.col(key)), F.col(key)]
+    holds = F.coalesce(first, F.lit(False))
+    return rows.where(holds).orderBy(*order).limit(of_first).unionByName(rows.where(~holds).orderBy(*order).limit(n - of_first))
 
 
 def even_quota(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
@@ -45,17 +47,26 @@ def even_quota(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
 
 def weighted_order(rows: DataFrame, strata: str, key: str, alpha: float, seed: int) -> DataFrame:
     """Draws without replacement whose chance goes with a stratum's size to the power alpha: smaller `draw` comes first."""
-    size = F.count("*").over(Window.partitionBy(strata))
-    weight = F.pow(size.cast("double"), F.lit(alpha)) / size
+    sizes = rows.groupBy(F.col(strata).alias("_s")).agg(F.count("*").alias("_size"))
+    weight = F.pow(F.col("_size").cast("double"), F.lit(alpha)) / F.col("_size")
     u = unit_interval(seeded(seed, F.col(key)))
-    return rows.withColumn("draw", -F.log(F.greatest(u, F.lit(1e-12))) / weight)
+    return rows.join(sizes, F.col(strata).eqNullSafe(F.col("_s"))).withColumn("draw", -F.log(F.greatest(u, F.lit(1e-12))) / weight).drop("_s", "_size")
+
+
+def _placed(rows: DataFrame, cells: list[str], key: str, seed: int) -> DataFrame:
+    """rows with _nth, their place in their cell by a seeded hash, and _n, the cell's size; a cell may span many tasks."""
+    from evispark.operators.windows import running
+
+    hashed = rows.withColumn("_h", seeded(seed, F.col(key)))
+    ranked = running(hashed, cells, ["_h", key], {"_nth": F.lit(1)}).drop("_h")
+    sizes = rows.groupBy(*[F.col(c).alias(f"_c_{c}") for c in cells]).agg(F.count("*").alias("_n"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in cells])
+    return ranked.join(sizes, same).drop(*[f"_c_{c}" for c in cells])
 
 
 def subset_epochs(rows: DataFrame, strata: str, key: str, fraction: float, epochs: int, seed: int) -> DataFrame:
     """Each epoch takes the same fraction of every stratum, going on where the last one ended, and interleaves the strata."""
-    own = Window.partitionBy(strata)
-    order = own.orderBy(seeded(seed, F.col(key)), key)
-    base = rows.withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(own)).withColumn("_take", F.greatest(F.lit(1), F.floor(F.col("_n") * fraction + 0.5)))
+    base = _placed(rows, [strata], key, seed).withColumn("_i", F.col("_nth") - 1).drop("_nth").withColumn("_take", F.greatest(F.lit(1), F.floor(F.col("_n") * fraction + 0.5)))
     each = base.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     place = F.pmod(F.col("_i") - F.col("epoch") * F.col("_take"), F.col("_n"))
     u = unit_interval(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col(strata).cast("string")), 256))
@@ -64,8 +75,7 @@ def subset_epochs(rows: DataFrame, strata: str, key: str, fraction: float, epoch
 
 def quota_split(rows: DataFrame, cells: list[str], key: str, shares: dict[str, float], seed: int) -> DataFrame:
     """Each cell's rows, in seeded order, dealt to the splits by their shares, rounded half up; the first takes the rest."""
-    w = Window.partitionBy(*cells)
-    ranked = rows.withColumn("_nth", F.row_number().over(w.orderBy(seeded(seed, F.col(key)), key))).withColumn("_n", F.count("*").over(w))
+    ranked = _placed(rows, cells, key, seed)
     names = list(shares)
     split, below = F.lit(names[0]), F.lit(0)
     for name in names[1:]:

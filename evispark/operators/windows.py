@@ -98,6 +98,37 @@ def global_rank(rows: DataFrame, order: list[str], name: str, ranges: int = 64)
     return ranged.withColumn("_within", within).join(F.broadcast(sizes.select("_range", base.alias("_base"))), "_range").withColumn(name, (F.col("_base") + F.col("_within")).cast("bigint")).drop("_range", "_within", "_base")
 
 
+def running(rows: DataFrame, within: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """rows with running sums, in order, within groups of any size; a sum of ones is a row number. Rows are sorted into ranges
+    by group and order, so a group may span many tasks: sums run within a range, and what a group's earlier ranges hold is
+    added. Null groups are groups of their own."""
+    from evispark.storage import partitions, staged
+
+    spark = rows.sparkSession
+    held = rows.select("*", *[v.alias(f"_v_{k}") for k, v in sums.items()]).repartitionByRange(partitions(spark), *within, *order)
+    held = staged(held.withColumn("_range", F.spark_partition_id()), "ranges")  # so that a range is the same at every reading
+    own = Window.partitionBy("_range", *within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = held.select("*", *[F.sum(f"_v_{k}").over(own).alias(f"_own_{k}") for k in sums])
+    # a row for each range and each group within it
+    totals = held.groupBy("_range", *within).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
+    earlier = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(F.col("_range").alias("_r"), *[F.col(c).alias(f"_g_{c}") for c in within], *[F.coalesce(F.sum(f"_t_{k}").over(earlier), F.lit(0)).alias(f"_base_{k}") for k in sums])
+    same = F.col("_range") == F.col("_r")
+    for c in within:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    return inner.join(bases, same).select(*rows.columns, *[(F.col(f"_own_{k}") + F.col(f"_base_{k}")).alias(k) for k in sums])
+
+
+def before(rows: DataFrame, within: str, key: str, columns: list[str]) -> DataFrame:
+    """rows with `prev_` columns of the row before, by key, in a group of any size; first rows are left out. Keys are unique.
+    Only keys are sorted; the columns are fetched by key."""
+    nth = running(rows.select(within, key), [within], [key], {"_nth": F.lit(1)})
+    last = nth.select(F.col(within).alias("_w"), F.col(key).alias("_key"), (F.col("_nth") + 1).alias("_n"))
+    pairs = nth.join(last, (F.col("_nth") == F.col("_n")) & F.col(within).eqNullSafe(F.col("_w"))).select(key, "_key")
+    earlier = rows.select(F.col(key).alias("_key"), *[F.col(c).alias(f"prev_{c}") for c in columns])
+    return rows.join(pairs, key).join(earlier, "_key").drop("_key")
+
+
 def adjacent_pairs(rows: DataFrame, order: list[str], key: str) -> DataFrame:
     """The shortest row goes; the next two are a pair, and so on. A last single row goes too."""
     ranked = global_rank(rows, order, "_rank").where("_rank > 1").withColumn("pair_no", F.floor((F.col("_rank") - 2) / 2).cast("bigint"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evispark.functions import numeric as nf
 from evispark.functions import text as t
-from evispark.operators import anonymise, groups, judging, segmentation, trajectory
+from evispark.operators import anonymise, groups, judging, segmentation, trajectory, windows
 from evispark.plans.registry import query
 from evispark.sources import sinks
 from evispark.sources.readers import table
@@ -21,8 +21,8 @@ SELECT doc_id, round(CASE WHEN len(ws) = 0 THEN 1.0 ELSE len(list_filter(ws, lam
 """)
 def answer_leak_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    pairs = docs.withColumn("answer", F.lag("text").over(Window.partitionBy("source").orderBy("doc_id"))).where("answer IS NOT NULL")
-    return pairs.select("doc_id", F.round(segmentation.answer_share(F.col("text"), F.col("answer")), 6).alias("share"))
+    pairs = windows.before(docs, "source", "doc_id", ["text"]).where("prev_text IS NOT NULL")
+    return pairs.select("doc_id", F.round(segmentation.answer_share(F.col("text"), F.col("prev_text")), 6).alias("share"))
 
 
 @query("""
@@ -36,8 +36,9 @@ def orders_with_both_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT * FROM (SELECT event_type, event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id), 4) AS spent FROM events) WHERE spent <= 5000
 """)
 def within_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spent = F.sum("value").over(Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    return table(spark, sf_dir, "events").select("event_type", "event_id", F.round(spent, 4).alias("spent")).where("spent <= 5000")
+    events = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value")
+    out = windows.running(events, ["event_type"], ["ts", "event_id"], {"spent": F.col("value")})
+    return out.select("event_type", "event_id", F.round("spent", 4).alias("spent")).where("spent <= 5000")
 
 
 @query("""

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evispark.functions import text as t
+from evispark.operators import windows
 from evispark.plans.registry import query
 from evispark.sources.readers import table
 
@@ -32,8 +33,8 @@ SELECT doc_id, round(CASE WHEN len(toks) = 0 THEN 0.0 ELSE len(list_filter(toks,
 """)
 def token_overlap_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs(spark, sf_dir).select("doc_id", "source", t.words(F.lower("text")).alias("toks"))
-    rows = rows.withColumn("prev", F.lag("toks").over(Window.partitionBy("source").orderBy("doc_id"))).where("prev IS NOT NULL")
-    return rows.select("doc_id", F.round(t.overlap(F.col("toks"), F.col("prev")), 6).alias("overlap"))
+    rows = windows.before(rows, "source", "doc_id", ["toks"])
+    return rows.select("doc_id", F.round(t.overlap(F.col("toks"), F.col("prev_toks")), 6).alias("overlap"))
 
 
 @query(f"""
