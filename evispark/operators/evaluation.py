@@ -85,3 +85,41 @@ def reward_parts(rows: DataFrame, total: str, judged: str) -> DataFrame:
 def wrong_but_rewarded(rows: DataFrame, d: str, advantage: str) -> DataFrame:
     """Share of wrong decisions with an advantage above zero."""
     return rows.where((F.col(d) < 0) & F.col(advantage).isNotNull()).agg(F.round(F.avg((F.col(advantage) > 0).cast("double")), 6).alias("share"), F.count("*").alias("n"))
+
+
+def summary(records: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row for a run: rates over its records, errors, turns and rounds a case, accuracy by class and their mean, and
+    accuracy by source as a map. records: case_id, source, status, marker, citations_seen, error_turns, turns, fetch_rounds;
+    labels: case_id, closure. A record without a label is an error."""
+    joined = records.join(labels.select("case_id", "closure"), "case_id", "left")
+    label = F.coalesce("closure", F.raise_error(F.concat(F.lit("no label: "), F.col("case_id"))))
+    rows = joined.withColumn("closure", label).withColumn("_ok", F.col("marker").eqNullSafe(F.col("closure")))
+    rate = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("double")), 6)
+    mean = lambda c: F.round(F.avg(F.coalesce(F.col(c), F.lit(0)).cast("double")), 6)
+    right = {k: F.avg(F.when(F.col("closure") == k, F.col("_ok").cast("double"))) for k in ("closed", "not_closed")}
+    whole = rows.agg(
+        F.count("*").alias("records"), rate(F.col("status") == "final").alias("final_rate"), rate(F.col("marker").isNull()).alias("no_marker_rate"), rate(F.col("citations_seen")).alias("valid_citation_rate"),
+        mean("error_turns").alias("tool_error_turns_per_case"), mean("turns").alias("turns_per_case"), mean("fetch_rounds").alias("fetch_rounds_per_case"), rate(F.col("status") == "turn_limit").alias("turn_limit_rate"),
+        F.round(right["closed"], 6).alias("acc_closed"), F.round(right["not_closed"], 6).alias("acc_not_closed"), F.round((right["closed"] + right["not_closed"]) / 2, 6).alias("balanced"),
+    )
+    each = rows.groupBy("source").agg(F.round(F.avg(F.col("_ok").cast("double")), 6).alias("acc"))
+    by = each.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "acc")))).alias("acc_by_source"))  # a row for each source
+    return whole.crossJoin(by)  # two single rows
+
+
+def judge_counts(calls: DataFrame, *by: str) -> DataFrame:
+    """By window: requests, cache hits, attempts, retries, errors and parse failures by kind, calls by key, tokens and cost.
+    calls: cached, attempts, errors (array of kinds), parse_failures (array of kinds), key, prompt_tokens,
+    completion_tokens, cost. Kinds and keys are few."""
+    keys = list(by)
+    counted = lambda column, name: calls.select(*keys, F.explode(column).alias("_k")).groupBy(*keys, "_k").agg(F.count("*").alias("_n")).groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_k", "_n")))).alias(name))
+    whole = calls.groupBy(*keys).agg(
+        F.count("*").alias("requests"), F.sum(F.col("cached").cast("bigint")).alias("cache_hits"), F.sum("attempts").alias("http_attempts"), F.sum(F.greatest(F.col("attempts") - 1, F.lit(0))).alias("retries"),
+        F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.round(F.sum("cost"), 6).alias("cost"),
+    )
+    apart = F.filter("parse_failures", lambda k: ~k.isin("truncated", "inconsistent"))
+    rates = calls.groupBy(*keys).agg(F.round(F.try_divide(F.sum(F.size(apart)), F.sum("attempts")), 6).alias("parse_failure_rate"))
+    out = whole.join(rates, keys)
+    for column, name in ((F.col("errors"), "errors"), (F.col("parse_failures"), "parse_failures"), (F.when(~F.col("cached"), F.array("key")), "per_key")):
+        out = out.join(counted(column, name), keys, "left")
+    return out

@@ -40,6 +40,45 @@ def answered(answers: DataFrame, answer: str, questions: dict[str, tuple[str, ..
     return answers.withColumn("problem", first_failing(rules))
 
 
+UPDATES = "struct<items:array<struct<hyps:array<struct<id:string,touched:boolean,direction:string>>,main:string,H5:struct<answer:string>>>>"
+CLOSURE = "struct<conclusion:struct<C1a:struct<answer:string>,C1b:struct<answer:string>,C2:struct<answer:string>,claims:array<struct<claim:string,supported:boolean>>,C4:struct<answer:string>>,gap:struct<G1:struct<answer:string>,G2:struct<answer:string>,G3:struct<answer:string>>>"
+MOST_CLAIMS = 12
+
+
+def update_answers(answers: DataFrame, answer: str, expected: Column) -> DataFrame:
+    """answers with `problem` for judged updates: each hypothesis touched or not and which way, the main one, and H5."""
+    items = F.col("_a.items")
+    every = lambda rule: F.forall(items, lambda i: F.forall(i["hyps"], rule))
+    there = every(lambda h: h["id"].isNotNull() & h["touched"].isNotNull() & h["direction"].isNotNull())
+    ranges = every(lambda h: h["direction"].isin("supports", "weakens", "unrelated")) & F.forall(items, lambda i: i["H5"]["answer"].isin("yes", "no"))
+    agree = every(lambda h: h["touched"] == (h["direction"] != "unrelated"))
+    main = F.forall(items, lambda i: ~F.exists(i["hyps"], lambda h: h["touched"]) | F.exists(i["hyps"], lambda h: h["touched"] & (h["id"] == i["main"])))
+    rules = [
+        ("schema", items.isNull() | ~F.coalesce(there & F.forall(items, lambda i: i["H5"]["answer"].isNotNull()), F.lit(False))),
+        ("missing_items", F.size(items) != expected),
+        ("out_of_range", ~ranges),
+        ("inconsistent", ~(agree & F.coalesce(main, F.lit(False)))),
+    ]
+    return answers.withColumn("_a", F.from_json(F.col(answer), UPDATES)).withColumn("problem", first_failing(rules)).drop("_a")
+
+
+def closure_answers(answers: DataFrame, answer: str, closed: Column) -> DataFrame:
+    """answers with `problem` for judged final answers: a gap is judged if and only if the case stayed open."""
+    c, g = F.col("_a.conclusion"), F.col("_a.gap")
+    told = [c["C1a"]["answer"], c["C1b"]["answer"], c["C2"]["answer"], c["C4"]["answer"]]
+    open_ = [g["G1"]["answer"], g["G2"]["answer"], g["G3"]["answer"]]
+    missing = lambda parts: F.exists(F.array(*parts), lambda x: x.isNull())
+    claims = F.coalesce(F.forall(c["claims"], lambda x: x["claim"].isNotNull() & x["supported"].isNotNull()), F.lit(False))
+    yes_no = [x.isin("yes", "no") for x in (told[0], told[2], told[3])]
+    rules = [
+        ("schema", c.isNull() | missing(told) | ~claims),
+        ("inconsistent", closed & g.isNotNull()),
+        ("missing_items", ~closed & (g.isNull() | missing(open_))),
+        ("out_of_range", ~(yes_no[0] & yes_no[1] & yes_no[2] & told[1].isin("yes", "partial", "no")) | (F.size(c["claims"]) > MOST_CLAIMS) | (~closed & F.exists(F.array(*open_), lambda x: ~x.isin("yes", "no")))),
+    ]
+    return answers.withColumn("_a", F.from_json(F.col(answer), CLOSURE)).withColumn("problem", first_failing(rules)).drop("_a")
+
+
 def audit_replies(replies: DataFrame, reply: str, actions: tuple[str, ...] = ("accept", "revise", "reject")) -> DataFrame:
     """replies with `problem`: another case's, a score that is no whole number from -5 to 5, an unknown action."""
     score = F.get_json_object(reply, "$.score")

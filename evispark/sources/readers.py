@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -103,6 +104,64 @@ def metric_text(spark: SparkSession, path: str, counter: str) -> DataFrame:
     return mine.select(F.coalesce(F.sum(F.element_at(F.split(F.trim(line), r"\s+"), -1).cast("double")), F.lit(0.0)).alias("total"))
 
 
+# The adapters of report sources, and what their case ids start with.
+ADAPTERS = {"ntsb": "ANTSB", "boards": "ABRD", "nhtsa": "ANHTSA", "medical": "AMED", "ntsb_pipeline": "ANTP", "ntsb_highway": "ANTH", "tsb_pipeline": "ATSP"}
+
+
+def adapter_of(case_id: Column) -> Column:
+    """The adapter whose prefix a case id has; null for none."""
+    out = F.lit(None).cast("string")
+    for name, prefix in ADAPTERS.items():
+        out = F.when(case_id.startswith(f"{prefix}-"), name).otherwise(out)
+    return out
+
+
+@register_source("key_values")
+def key_values(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value) of `key=value` lines; blank lines, comments and keys without a value are left out, the first of a key
+    counts. Such files hold settings, a few lines."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("_at", "line"))
+    cut = F.split("line", "=", 2)
+    rows = lines.where(F.col("line").contains("=") & ~F.ltrim("line").startswith("#")).select(F.trim(cut[0]).alias("key"), F.trim(cut[1]).alias("value"), "_at").where("value <> ''")
+    return rows.groupBy("key").agg(F.min_by("value", "_at").alias("value"))
+
+
+EXTRACTORS: dict[str, Callable[[bytes], str]] = {"text": lambda content: content.decode("utf-8", "replace")}
+
+
+def register_extractor(name: str, extract: Callable[[bytes], str]) -> None:
+    """Make a tool known that turns a document's bytes, such as a PDF's, into text."""
+    EXTRACTORS[name] = extract
+
+
+@register_source("documents_with_cache")
+def documents_with_cache(spark: SparkSession, glob: str, cache: str, extractor: str = "text") -> DataFrame:
+    """(id, text) of document files; what was extracted before is read from the cache, what is new is added to it. A
+    document that can't be extracted has null text and isn't kept, so that it is tried again."""
+    from evispark.storage import staged
+
+    extract = EXTRACTORS[extractor]
+
+    @F.pandas_udf("string")
+    def text_of(contents: pd.Series) -> pd.Series:
+        def one(content: bytes) -> str | None:
+            try:
+                return extract(bytes(content))
+            except Exception:  # whatever an outside tool throws at one document must not end the scan
+                return None
+
+        return contents.map(one)
+
+    path = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    schema = "id string, text string"
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    known = spark.read.schema(schema).parquet(cache) if there else spark.createDataFrame([], schema)
+    files = spark.read.format("binaryFile").load(glob).select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("id"), "content")
+    new = staged(files.join(known.select("id"), "id", "left_anti").select("id", text_of("content").alias("text")), "extracted")
+    new.where("text IS NOT NULL").write.mode("append").parquet(cache)
+    return spark.read.schema(schema).parquet(cache).join(files.select("id"), "id", "left_semi").unionByName(new.where("text IS NULL"))
+
+
 def refuse_test_data(path: str, forbidden: tuple[str, ...] = ("test", "heldout", "held_out")) -> str:
     """The path, unless one of its parts starts as test data's do."""
     if any(part.lower().startswith(forbidden) for part in path.replace("\\", "/").split("/") if part):

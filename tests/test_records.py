@@ -195,3 +195,116 @@ def test_greedy_near_duplicates_over_the_whole_case(spark, tmp_path):
     by = lambda r: (r[0], r[1] is None, r[1] or 0, r[2])
     assert sorted(got, key=by) == sorted(expected, key=by)
     assert ("src1:en", 50_000, True) in got and ("src2:en", 50_001, False) in got
+
+
+@pytest.fixture()
+def framed():
+    """Replies as a frame; made anew, so that workers get it by value."""
+
+    def frame(prompts, status, reply, finish, cost):
+        import pandas as pd
+
+        return pd.DataFrame({"reply": [reply(p) for p in prompts], "finish_reason": [finish(p) for p in prompts], "status": [status(p) for p in prompts], "cost": [cost] * len(prompts)})
+
+    return frame
+
+
+def test_calls_are_made_once_and_states_are_kept(spark, tmp_path, framed):
+    kinds = {"fine": "ok", "refused": "http_400", "lost": "read_timeout_late", "cut": "ok"}
+    modelcall.register_model("kinds", lambda prompts: framed(prompts, lambda p: kinds[p], lambda p: p.upper(), lambda p: "length" if p == "cut" else "stop", 1.5))
+    prompts = spark.createDataFrame([(p,) for p in [*kinds, "fine"]], "prompt string")
+    path = f"file://{tmp_path}/calls"
+    first = {(r.prompt, r.plan, r.reply) for r in modelcall.call_once(spark, prompts, path, "s", "kinds").collect()}
+    assert first == {("fine", "call", "FINE"), ("refused", "call", None), ("lost", "call", None), ("cut", "call", None)}
+    second = {(r.prompt, r.plan) for r in modelcall.call_once(spark, prompts, path, "s", "kinds").collect()}
+    assert second == {("fine", "cached"), ("refused", "call"), ("lost", "uncertain"), ("cut", "cached")}
+    states = modelcall.known_calls(spark, path).groupBy("state").count().collect()
+    assert {r.state: r["count"] for r in states} == {"inflight": 5, "done": 2, "failed": 2, "uncertain": 1}
+    with pytest.raises(modelcall.BudgetSpent):
+        modelcall.call_once(spark, prompts, path, "s", "kinds", budget=7.0)
+
+
+def test_passing_errors_are_tried_again_and_formats_are_asked_for_again(spark, framed):
+    tried = {}
+
+    def flaky(prompts):
+        for p in prompts:
+            tried[p] = tried.get(p, 0) + 1
+        return framed(prompts, lambda p: "ok" if tried[p] > 2 or p == "sound" else "http_503", lambda p: p, lambda p: "stop", 1.0)
+
+    modelcall.register_model("flaky", flaky)
+    prompts = spark.createDataFrame([("sound",), ("shaky",)], "prompt string").coalesce(1)
+    once = modelcall.model_call(prompts, spark.createDataFrame([], modelcall.CALLS), "s", "flaky", wait=(0.0, 0.0)).collect()
+    assert {(r.reply, r.state, r.cost) for r in once} == {("sound", "done", 1.0), ("shaky", "done", 3.0)}
+    answered = spark.createDataFrame([("p", "bad"), ("q", "good")], "prompt string, reply string")
+    again = modelcall.format_retries(answered, F.when(F.col("reply") == "bad", "no JSON")).collect()
+    assert [r.prompt for r in again] == ["p\n\nYour previous reply was rejected: no JSON. Answer again."]
+
+
+def test_files_of_settings_documents_and_their_cache(spark, tmp_path):
+    (tmp_path / "env").write_text("# KEY=no\nKEY=one=two\n\nEMPTY=\nKEY=later\n OTHER = x \n")
+    assert {r.key: r.value for r in readers.key_values(spark, str(tmp_path / "env")).collect()} == {"KEY": "one=two", "OTHER": "x"}
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    (folder / "a.pdf").write_bytes(b"first")
+    (folder / "b.pdf").write_bytes(b"broken")
+
+    def extract(content):
+        if content == b"broken":
+            raise ValueError("no such format")
+        return content.decode() + "!"
+
+    readers.register_extractor("shout", extract)
+    read = lambda: {r.id: r.text for r in readers.documents_with_cache(spark, f"{folder}/*.pdf", f"file://{tmp_path}/cache", "shout").collect()}
+    assert read() == {"a": "first!", "b": None}
+    (folder / "a.pdf").write_bytes(b"changed")
+    (folder / "c.pdf").write_bytes(b"third")
+    assert read() == {"a": "first!", "b": None, "c": "third!"}
+
+
+def test_trees_logs_indexes_and_manifests(spark, tmp_path):
+    for case, name, text in (("c1", "final_report.txt", "one\ntwo"), ("c2", "prelim.txt", "three")):
+        (tmp_path / "tree" / case).mkdir(parents=True)
+        (tmp_path / "tree" / case / name).write_text(text)
+    tree = readers.text_tree(spark, str(tmp_path / "tree"))
+    assert {(r.id, r.kind, r.text) for r in tree.collect()} == {("c1", "final", "one\ntwo"), ("c2", "prelim", "three")}
+    index = spark.createDataFrame([("c1", 1), ("c9", 2)], "id string, n int")
+    assert [(r.id, r.n, r.text) for r in readers.index_with_texts(index, tree).collect()] == [("c1", 1, "one\ntwo")]
+    manifest = spark.createDataFrame([("c1", False), ("c2", True), ("c3", None)], "id string, interim boolean")
+    assert [r.id for r in readers.manifest_or_listing(manifest, tree.select("id")).collect()] == ["c1"]
+    assert readers.manifest_or_listing(None, tree.select("id")).count() == 2
+    (tmp_path / "json").mkdir()
+    (tmp_path / "json" / "a.json").write_text('{"id":\n"a"}')
+    (tmp_path / "json" / "b.failed.json").write_text('{"id": "b"}')
+    assert [r.id for r in readers.json_files(spark, f"{tmp_path}/json/*.json", "id string").collect()] == ["a"]
+    (tmp_path / "log").write_text('starting\n{"step": 1}\n{"step": 2}\nbye {}\n')
+    assert readers.json_log(spark, str(tmp_path / "log")).count() == 2
+
+
+def test_reports_dumps_logs_and_retention(spark, tmp_path):
+    items = spark.createDataFrame([("c", 2, "E1.2", "b", "y"), ("c", 1, "E1.1", "a", "x")], "case_id string, pos int, evidence_id string, neutral_title string, text string")
+    assert sinks.markdown_report(items).first().report == "## c\n\n### E1.1 a\n\nx\n\n### E1.2 b\n\ny"
+    rows = spark.range(50)
+    assert sinks.sampled_dump(rows, 5, 1, "id").collect() == sinks.sampled_dump(rows.repartition(7), 5, 1, "id").collect()
+    versions = spark.createDataFrame([(1, False), (2, True), (3, False), (4, False), (5, False)], "version int, pinned boolean")
+    assert sorted(r.version for r in sinks.expired(versions, 2, F.col("version") == 3, F.col("pinned")).collect()) == [1]
+    split = spark.createDataFrame([("x", "train"), ("y", "test"), ("z", "train")], "raw string, split string")
+    sinks.write_splits(split, f"{tmp_path}/splits")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/splits/split=train").collect()) == ["x", "z"]
+    for k in range(2):
+        sinks.append_log(spark.createDataFrame([(k,)], "step int"), f"{tmp_path}/runs")
+    assert sorted(r.step for r in spark.read.json(f"{tmp_path}/runs").collect()) == [0, 1]
+    done = spark.createDataFrame([("a", "1", "ok"), ("b", "1", "failed")], "case string, input string, status string")
+    todo = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1")], "case string, input string")
+    assert sorted(tuple(r) for r in sinks.pending(todo, done, ["case", "input"]).collect()) == [("a", "2"), ("b", "1")]
+
+
+def test_forced_removal(spark):
+    from evispark.operators import anonymise
+
+    rows = [("The Mill-Lane works and MILL LANE", ["Mill Lane", "mill", None, " "], "the place"), ("a b", None, "x"), (None, ["a"], "x"), ("O'Neil's boat", ["O'Neil"], "cost $1\\2")]
+    frame = spark.createDataFrame(rows, "text string, names array<string>, neutral string")
+    got = [tuple(r.f) for r in frame.select(anonymise.force_remove(F.col("text"), F.col("names"), F.col("neutral")).alias("f")).collect()]
+    assert got[0] == ("The the place works and the place", ["Mill Lane"])
+    assert got[1] == ("a b", []) and got[2] == (None, [])
+    assert got[3][1] == [] or got[3][0].startswith("cost $1\\2")
