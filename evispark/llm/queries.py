@@ -8,6 +8,7 @@ from .language import op5_language_id
 from .neighbours import op3_adaptive_scan
 from .packing import op2_best_fit_packing
 from .pii import op8_pii
+from .sql import ORACLE_SQL
 from .suffix_dedup import op6_suffix_dedup
 from .token_counts import op9_token_counts
 from .token_output import op4_token_output
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

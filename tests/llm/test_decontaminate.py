@@ -76,3 +76,30 @@ def test_one_common_seed_is_enough(spark):
     got = {(r.doc_id, r.item_id) for r in d.find_contaminated(docs, bench).collect()}
     assert got == {(k, 1) for k in range(60)} | {(500, 2)}
     assert {r.doc_id for r in d.drop_contaminated(docs, bench).collect()} == {100 + k for k in range(60)}
+
+
+def test_pairs_are_those_of_aligning_every_document_to_every_item(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3))
+    items = [(k, " ".join(word() for _ in range(rng.choice([3, 6, 12, 25])))) for k in range(12)]
+    docs = []
+    for k in range(80):
+        w = [word() for _ in range(rng.randint(5, 90))]
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            part = rng.choice(items)[1].split()
+            for _ in range(rng.randrange(1 + len(part) // 8)):
+                part[rng.randrange(len(part))] = word()
+            at = rng.randrange(len(w))
+            w[at:at] = part
+        docs.append((k, " ".join(w)))
+    want = set()
+    for doc_id, text in docs:
+        for item_id, item in items:
+            own, whole = item.split(), text.split()
+            code = {x: n + 1 for n, x in enumerate(dict.fromkeys(own))}
+            coded, passage = np.array([code[x] for x in own]), np.array([code.get(x, 0) for x in whole])
+            _, matched, columns = d.align(coded, passage)
+            if d.contaminates(len(own), matched, columns):
+                want.add((doc_id, item_id))
+    found = d.find_contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want and len(want) > 20

@@ -39,3 +39,22 @@ def test_edges(spark, edge_docs, no_docs):
     out = {(r.doc_id, r.lang_pred) for r in language.predict_documents(edge_docs, language.learn(edge_docs)).collect()}
     assert (2, "und") in out and (3, "und") in out and len(out) >= 6
     assert language.predict_documents(no_docs, language.learn(no_docs)).count() == 0
+
+
+def test_a_prediction_is_that_of_loops_over_places_and_filters():
+    rng = np.random.default_rng(9)
+    x = rng.integers(97, 123, (40, language.WINDOW)).astype(np.uint8)
+    net = language.train(x, np.arange(40) % 3, ["a", "b", "c"], epochs=2)
+    text = "".join(map(chr, rng.integers(97, 123, 450)))
+    logs = []
+    for window in language.windows(text.encode()):
+        pooled = []
+        for width, f in net.filters.items():
+            for k in range(f.shape[2]):
+                pooled.append(max(sum(float(net.embed[window[p + i]] @ f[i, :, k]) for i in range(width)) for p in range(len(window) - width + 1)))
+        z = np.maximum(np.array(pooled) + net.bias, 0) @ net.out + net.out_bias
+        logs.append(z - z.max() - np.log(np.exp(z - z.max()).sum()))
+    p = np.exp(np.mean(logs, axis=0))
+    names, scores = net.fold().predict([text, None, "123"])
+    assert names == [net.names[int(p.argmax())], "und", "und"]
+    assert abs(scores[0] - p.max() / p.sum()) < 1e-3 and scores[1] == scores[2] == 0
