@@ -90,3 +90,46 @@ def remap_text(text: Column, ids: Column) -> Column:
     new = F.transform(found, lambda i: F.coalesce(F.try_element_at(ids, i), F.concat(F.lit("dropped:"), i)))
     pieces = F.arrays_zip(F.split(text, EVIDENCE_ID, -1).alias("before"), new.alias("id"))
     return F.array_join(F.transform(pieces, lambda p: F.concat(p["before"], F.coalesce(p["id"], F.lit("")))), "")
+
+
+def key_paths(column: Column, root: str) -> Column:
+    """Every key of a JSON value with its path below `root`, in document order; keys below arrays count too."""
+
+    @F.pandas_udf("array<string>")
+    def walk(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> list[str]:
+            out, todo = [], [(root, _load(text))]
+            while todo:
+                at, x = todo.pop()
+                if at != root and not at.endswith("]"):
+                    out.append(at)
+                if isinstance(x, dict):
+                    todo += [(f"{at}.{k}", v) for k, v in reversed(x.items())]
+                elif isinstance(x, list):
+                    todo += [(f"{at}[{k}]", v) for k, v in reversed(list(enumerate(x)))]
+            return out
+
+        return texts.map(one)
+
+    return walk(column)
+
+
+def override(column: Column, path: str, value: Column) -> Column:
+    """A JSON object with the value at a dotted path replaced by another JSON value. A path that isn't there leaves null,
+    as a wrong name in an override must not pass unseen."""
+    keys = path.split(".")
+
+    @F.pandas_udf("string")
+    def put(texts: pd.Series, values: pd.Series) -> pd.Series:
+        def one(text: str | None, new: str | None) -> str | None:
+            whole = at = _load(text)
+            for k in keys[:-1]:
+                at = at.get(k) if isinstance(at, dict) else None
+            if not isinstance(at, dict) or keys[-1] not in at:
+                return None
+            at[keys[-1]] = _load(new)
+            return json.dumps(whole, ensure_ascii=False, separators=(",", ":"))
+
+        return pd.Series([one(*x) for x in zip(texts, values)], index=texts.index, dtype=object)
+
+    return put(column, value)

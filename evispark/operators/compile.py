@@ -72,9 +72,10 @@ def plan_problems(rounds: DataFrame, items: DataFrame, finals: DataFrame, withhe
     return reduce(DataFrame.unionByName, out)
 
 
-def plan_messages(rounds: DataFrame, items: DataFrame, finals: DataFrame, briefs: DataFrame) -> DataFrame:
+def plan_messages(rounds: DataFrame, items: DataFrame, finals: DataFrame, briefs: DataFrame, final_only: bool = False) -> DataFrame:
     """(case_id, pos, role, content, call_id, loss): the conversation that a plan makes. Only what the model says is
-    learned from; a request's answer holds the items that are new, and names those that were there already."""
+    learned from, or its final answer alone, as in samples written by hand; a request's answer holds the items that are
+    new, and names those that were there already."""
     folded = deliveries(rounds, items, ["case_id"])
     call = F.concat(F.lit("call_"), F.lpad(F.col("round").cast("string"), 3, "0"))
     texts = items.groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("evidence_id", F.struct("evidence_id", "neutral_title", "text", "source_id").alias("item")))).alias("_items"))
@@ -86,7 +87,7 @@ def plan_messages(rounds: DataFrame, items: DataFrame, finals: DataFrame, briefs
     length = rounds.groupBy("case_id").agg(F.max("round").alias("_last"))
     return (
         briefs.select("case_id", *row(F.lit(0), "user", F.col("brief"), none, False))
-        .unionByName(folded.select("case_id", *row(F.col("round") * 2 - 1, "assistant", F.col("note"), call, True)))
+        .unionByName(folded.select("case_id", *row(F.col("round") * 2 - 1, "assistant", F.col("note"), call, not final_only)))
         .unionByName(both.select("case_id", *row(F.col("round") * 2, "tool", answer, call, False)))
         .unionByName(finals.join(length, "case_id", "left").select("case_id", *row(F.coalesce("_last", F.lit(0)) * 2 + 1, "assistant", F.col("final"), none, True)))
     )

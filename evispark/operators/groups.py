@@ -36,3 +36,15 @@ def over_long(rows: DataFrame, tokens: str, limit: int, per_turn: int) -> DataFr
 
 def stale(rows: DataFrame, version: str, now: str, bound: int) -> DataFrame:
     return rows.where(F.col(now) - F.col(version) > bound)
+
+
+def past_cutoff(done: Column, total: Column, kept_groups: Column, least_groups: int, share: float = 0.9) -> Column:
+    """Whether a step stops waiting: enough groups are kept and that share of its rollouts has ended."""
+    return (kept_groups >= least_groups) & (total > 0) & (done >= share * total)
+
+
+def choose_routes(routes: DataFrame, n: int) -> DataFrame:
+    """(route, slot) of n requests, each to the route with the least in hand, by name among equals; paused routes take
+    none. routes: route, load, paused. A row for each request and route, so n is a batch's size."""
+    free = routes.where(~F.coalesce("paused", F.lit(False))).select("route", F.explode(F.sequence(F.col("load"), F.col("load") + F.lit(n - 1))).alias("at"))
+    return free.orderBy("at", "route").limit(n).groupBy("route").agg(F.count("*").alias("requests"))

@@ -96,3 +96,21 @@ def structure_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     marker = F.when(F.col("o_orderstatus") != "P", "closed")
     none = F.lit(None).cast("array<string>")
     return each.select("o_orderkey", F.round(r.structure_penalty(marker, F.lit(None).cast("string"), none, F.lit(True), F.col("lines"), F.lit(0), F.col("late")), 6).alias("penalty"))
+
+
+@query("""
+WITH r AS (SELECT n_regionkey AS route, count(*) % 4 AS load, n_regionkey = 2 AS paused FROM nation GROUP BY 1), s AS (SELECT route, unnest(range(load, load + 9)) AS slot FROM r WHERE NOT paused)
+SELECT route, count(*) AS requests FROM (SELECT * FROM s ORDER BY slot, route LIMIT 9) GROUP BY route
+""")
+def route_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    routes = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("route")).agg((F.count("*") % 4).alias("load"), F.max(F.col("n_regionkey") == 2).alias("paused"))
+    return g.choose_routes(routes, 9)
+
+
+@query("""
+SELECT l_orderkey, count(*) FILTER (l_linestatus = 'F') >= 0.9 * count(*) AND count(DISTINCT l_returnflag) >= 2 AS past FROM lineitem GROUP BY l_orderkey
+""")
+def straggler_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are final have ended; flags stand for groups that are kept."""
+    each = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum((F.col("l_linestatus") == "F").cast("int")).alias("done"), F.count("*").alias("n"), F.countDistinct("l_returnflag").alias("groups"))
+    return each.select("l_orderkey", g.past_cutoff(F.col("done"), F.col("n"), F.col("groups"), 2).alias("past"))

@@ -91,3 +91,15 @@ def remapped_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, value = F.format_string("see (E1.%d, E1.%d).", k % 9 + 1, k % 4 + 1), F.format_string('{"E1.%d":["E1.%d\\nx"]}', k % 9 + 1, k % 4 + 1)
     out = table(spark, sf_dir, "documents").select(nested.remap_text(text, known).alias("text"), nested.remap_json(value, known).alias("json"))
     return out.groupBy("text", "json").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH k AS (SELECT event_id % 5 AS k, count(*) AS n FROM events GROUP BY 1)
+SELECT k, 'a,a.b,a.c,a.c.d' AS paths, CASE WHEN k = 4 THEN NULL ELSE '{"a":{"b":' || k || ',"c":[{"d":"x"}]}}' END AS changed, n FROM k
+""")
+def json_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A number put at a.b; one path in five isn't there."""
+    rows = table(spark, sf_dir, "events").groupBy((F.col("event_id") % 5).alias("k")).agg(F.count("*").alias("n")).withColumn("json", F.lit('{"a": {"b": 7, "c": [{"d": "x"}]}}'))
+    paths = F.array_join(F.transform(nested.key_paths(F.col("json"), "$"), lambda p: F.replace(F.regexp_replace(p, r"\[\d+\]", ""), F.lit("$."), F.lit(""))), ",")
+    value = F.col("k").cast("string")
+    return rows.select("k", paths.alias("paths"), F.when(F.col("k") == 4, nested.override(F.col("json"), "a.x", value)).otherwise(nested.override(F.col("json"), "a.b", value)).alias("changed"), "n")

@@ -142,11 +142,14 @@ def over_budget(calls: DataFrame, limit: float) -> bool:
     return calls.agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("c")).first()["c"] >= limit
 
 
-def run_stages(spark: SparkSession, cases: str, out: str, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]], checkpoint: str, schema: str) -> None:
+def run_stages(spark: SparkSession, cases: str, out: str, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]], checkpoint: str, schema: str, stop: Callable[[], bool] | None = None) -> list[str]:
     """Each stage is a stream over the table of the one before it, so cases go on by themselves; every stage commits its
-    batches once, by batch id. Runs until all that is there is done."""
-    source = cases
+    batches once, by batch id. Runs until all that is there is done, or until `stop` says so between two stages; what is
+    committed stays, and a later run goes on from there. The names of the stages that ran."""
+    source, ran = cases, []
     for name, stage in stages:
+        if stop is not None and stop():
+            break
         target = f"{out}/{name}"
 
         def commit(batch: DataFrame, batch_id: int, stage=stage, target=target) -> None:
@@ -156,3 +159,5 @@ def run_stages(spark: SparkSession, cases: str, out: str, stages: list[tuple[str
         stream.writeStream.foreachBatch(commit).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start().awaitTermination()
         source = target
         schema = spark.read.option("recursiveFileLookup", True).parquet(target).schema
+        ran.append(name)
+    return ran
