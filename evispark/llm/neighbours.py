@@ -21,7 +21,7 @@ out its own row alone. With fewer than k other vectors a query gets all of them.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -44,8 +44,9 @@ CELLS = 1024
 DEAL = 8192
 #: Share of true neighbours that the probed cells should hold, as a sample's own neighbours tell.
 HELD = 0.97
-#: Queries of the sample by which the number of probed cells is chosen.
+#: Queries of the sample by which the number of probed cells is chosen, and lists that these look into at most.
 TRIALS = 200
+MOST_LISTS = 256
 BLOCK = 16
 EPSILON = 2.1
 #: Vectors in a chunk of a cell, about.
@@ -196,12 +197,46 @@ def build(vectors: DataFrame, k: int = 10, id_column: str = "vec_id", column: st
     cells = staged(dealt.groupBy("list", "cell").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")), "cells")
     chunk = F.pmod(F.xxhash64("id", F.lit("chunk")), F.col("chunks")).cast("int")
     indexed = dealt.join(cells, ["list", "cell"]).select("id", "v", "list", "cell", chunk.alias("chunk"))
-    return Index(indexed, cells, inner, centres, sizes, dimensions, choose_probes(x, centres, k), k)
+    index = Index(indexed, cells, inner, centres, sizes, dimensions, choose_probes(x, centres, k), k)
+    if inner is not None:
+        index.probes = measured_probes(index, x)
+    return index
 
 
-def _targets(index: Index, queries: DataFrame) -> DataFrame:
-    """(uid, list, cell, chunks, nth): the cells that each query meets, nearest first."""
+def measured_probes(index: Index, x: np.ndarray) -> int:
+    """As many cells, nearest first, as hold the share HELD of the k nearest of TRIALS sampled vectors in the whole table,
+    which is scanned for them once. Cells beyond the MOST_LISTS nearest lists count as beyond all."""
+    spark, k = index.rows.sparkSession, index.k
+    asked = x[np.random.default_rng(SEED).permutation(len(x))[:TRIALS]]
+    told = spark.sparkContext.broadcast(asked)
+
+    def scan_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The nearest of a task for each trial."""
+        trials = told.value
+        norms, d, where = (trials**2).sum(axis=1), np.empty((0, len(trials))), np.empty((0, len(trials), 2), np.int32)
+        for batch in batches:
+            if len(batch):
+                m = np.stack(batch.v.to_numpy())
+                here = np.broadcast_to(batch[["list", "cell"]].to_numpy(np.int32)[:, None], (len(m), len(trials), 2))
+                d, where = np.concatenate([d, m @ trials.T * -2 + norms + (m**2).sum(axis=1)[:, None]]), np.concatenate([where, here])
+                near = np.argsort(d, axis=0, kind="stable")[: k + 1]
+                d, where = np.take_along_axis(d, near, 0), np.take_along_axis(where, near[..., None], 0)
+        yield pd.DataFrame({"uid": np.tile(np.arange(len(trials)), len(d)), "list": where[..., 0].ravel(), "cell": where[..., 1].ravel(), "d": d.ravel()})
+
+    found = index.rows.select("v", "list", "cell").mapInPandas(scan_all, "uid bigint, list int, cell int, d double")
+    best = F.row_number().over(Window.partitionBy("uid").orderBy("d", "list", "cell"))
+    true = found.withColumn("_r", best).where(F.col("_r") <= k + 1).select("uid", "list", "cell")
+    queries = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(asked)], "uid bigint, v array<double>")
+    ranked = _targets(replace(index, probes=min(MOST_LISTS, len(index.sizes))), queries, every=True)
+    ranks = true.join(ranked, ["uid", "list", "cell"], "left").select(F.coalesce("nth", F.lit(1 << 30)).alias("nth")).toPandas().nth.to_numpy()
+    wanted = int(np.sort(ranks)[min(len(ranks) - 1, int(np.ceil(HELD * len(ranks))))]) if len(ranks) else 1
+    return min(wanted, MOST_LISTS * CELLS)
+
+
+def _targets(index: Index, queries: DataFrame, every: bool = False) -> DataFrame:
+    """(uid, list, cell, chunks, nth): the cells that each query meets, nearest first, or every cell of the probed lists."""
     spark, probes, k = queries.sparkSession, index.probes, index.k
+    most = CELLS if every else max(probes, k + 1)
     filled = np.array(sorted(index.sizes), np.int32)
     told = spark.sparkContext.broadcast((filled, index.centres[filled], np.array([index.sizes[n] for n in filled.tolist()], np.int64)))
 
@@ -229,7 +264,7 @@ def _targets(index: Index, queries: DataFrame) -> DataFrame:
             if not len(left) or not len(right):
                 return pd.DataFrame({"uid": np.empty(0, np.int64), "list": np.empty(0, np.int32), "cell": np.empty(0, np.int32), "d": np.empty(0)})
             d = _nearest(np.stack(left.v.to_numpy()), np.asarray(right.centres.iloc[0]).reshape(-1, dimensions))
-            order = np.argsort(d, axis=1, kind="stable")[:, : max(probes, k + 1)]
+            order = np.argsort(d, axis=1, kind="stable")[:, :most]
             rows = np.repeat(np.arange(len(left)), order.shape[1])
             return pd.DataFrame({"uid": left.uid.to_numpy()[rows], "list": left["list"].to_numpy()[rows], "cell": order.ravel().astype(np.int32), "d": d[rows, order.ravel()]})
 
@@ -238,7 +273,7 @@ def _targets(index: Index, queries: DataFrame) -> DataFrame:
     by_distance = Window.partitionBy("uid").orderBy("d", "list", "cell")
     before = F.coalesce(F.sum("n").over(by_distance.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = near.join(index.cells, ["list", "cell"]).withColumn("nth", F.row_number().over(by_distance)).withColumn("before", before)
-    return staged(ranked.where((F.col("nth") <= probes) | (F.col("before") < k + 1)).select("uid", "list", "cell", "chunks", "nth"), "targets")
+    return staged(ranked.where(F.lit(every) | (F.col("nth") <= probes) | (F.col("before") < k + 1)).select("uid", "list", "cell", "chunks", "nth"), "targets")
 
 
 def search(index: Index, queries: DataFrame) -> DataFrame:
