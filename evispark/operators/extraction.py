@@ -61,7 +61,10 @@ def near_duplicates(items: DataFrame, case: str, order: str, text: str, threshol
     bags = staged(named.withColumn("_place", place), "bags")
     firsts = staged(bags.groupBy("_set").agg(F.min("_place").alias("_first")), "firsts")
     sets = bags.join(firsts, "_set").where(F.col("_place") == F.col("_first")).select("_set", F.col(case).alias("_case"), "_first", "_n", "_bag")
-    gone = _followers(_alike_sets(staged(sets, "sets"), threshold))
+    sets = staged(sets, "sets")
+    links, parts = _alike_sets(sets, threshold)
+    gone = _followers(links)
+    release(sets, *parts)
     decided = firsts.join(gone.select(F.col("v").alias("_set"), F.lit(True).alias("_gone")), "_set", "left")
     again = F.row_number().over(Window.partitionBy("_set", "_place").orderBy("_n")) > 1  # items that repeat set and order
     out = bags.select(case, order, "_n", "_set", "_place").withColumn("_again", again).join(decided, "_set")
@@ -84,8 +87,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
-def _alike_sets(sets: DataFrame, threshold: float) -> DataFrame:
-    """(u, v): alike sets of a case, u before v. Alike sets differ in few words, so if all words are dealt by their hash to
+def _alike_sets(sets: DataFrame, threshold: float) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """(u, v): alike sets of a case, u before v; and the staged tables that this is read from. Alike sets differ in few words, so if all words are dealt by their hash to
     more parts than these, one part of both is equal, and they meet on it. Parts are as many as the smaller set's level
     asks for; the larger one is of that level or the next, so each set is dealt for its own level and the one below."""
 
@@ -121,19 +124,20 @@ def _alike_sets(sets: DataFrame, threshold: float) -> DataFrame:
     jaccard = F.size(F.array_intersect("_bag_u", "_bag_v")) / F.size(F.array_union("_bag_u", "_bag_v"))
     ahead = F.col("at_u") < F.col("at_v")
     ordered = [F.when(ahead, a).otherwise(b).alias(name) for name, a, b in (("u", F.col("u"), F.col("v")), ("v", F.col("v"), F.col("u")))]
-    return both.where((jaccard >= threshold) & (F.when(ahead, F.col("_n_v")).otherwise(F.col("_n_u")) >= 3)).select(*ordered)
+    return both.where((jaccard >= threshold) & (F.when(ahead, F.col("_n_v")).otherwise(F.col("_n_u")) >= 3)).select(*ordered), (pairs, few)
 
 
 def _followers(pairs: DataFrame) -> DataFrame:
     """(v): what greedy selection in order drops, of pairs (u, v) with u before v. In each round, whatever nothing left
     precedes is kept and drops what it is paired with; a round decides the first of every component at least."""
     left = staged(pairs, "pairs")
-    gone = left.select("v").limit(0)
+    gone = pairs.sparkSession.createDataFrame([], "v bigint")
     while not left.isEmpty():
         leaders = left.select("u").distinct().join(left.select(F.col("v").alias("u")).distinct(), "u", "left_anti")
         out = staged(left.join(leaders, "u").select("v").distinct(), "followers")
         gone = gone.unionByName(out)
-        left = staged(left.join(out, "v", "left_anti").join(out.withColumnRenamed("v", "u"), "u", "left_anti"), "pairs")
+        before, left = left, staged(left.join(out, "v", "left_anti").join(out.withColumnRenamed("v", "u"), "u", "left_anti"), "pairs")
+        release(before)
     return gone
 
 
