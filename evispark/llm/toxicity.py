@@ -41,6 +41,8 @@ LEAST_PAIR_TEXTS = 8
 #: Pairs are counted in so many texts of each class and among so many terms, those in most toxic texts, at most.
 PAIR_TEXTS = 2048
 PAIR_TERMS = 8192
+#: Terms whose pairs are counted at a time, which bounds the driver's memory.
+PAIR_BLOCK = 256
 #: Letters of a longer word that are a term too.
 STEM = 5
 
@@ -87,7 +89,7 @@ class Machine:
 
 
 def _incidence(rows: list[np.ndarray], known: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(rows), len(known)), np.float32)
+    out = np.zeros((len(rows), len(known)), np.uint8)
     for k, row in enumerate(rows):
         at = np.minimum(np.searchsorted(known, row), len(known) - 1)
         out[k, at[known[at] == row]] = 1
@@ -108,15 +110,18 @@ def paired_terms(rows: list[np.ndarray], labels: np.ndarray, with_1: np.ndarray,
         chosen = rng.permutation(of_class)[:PAIR_TEXTS]
         held.append(_incidence([rows[k] for k in chosen], known))
         scale.append(len(of_class) / max(1, len(chosen)))
-    rate, found = (with_1 / np.maximum(texts, 1))[known], np.zeros(len(known), bool)
-    for a in range(0, len(known), 512):
-        clean, toxic = (x[:, a : a + 512].T @ x for x in held)
-        n = scale[0] * (clean + 1) + scale[1] * toxic
-        own = np.clip(np.maximum(rate[a : a + 512, None], rate), 1e-6, 1 - 1e-6)
-        excess = scale[1] * toxic - n * own
-        pair = (toxic >= LEAST_PAIR_TEXTS) & (excess > 0) & (excess**2 >= LEAST_PAIR_CHI2 * n * own * (1 - own))
-        found[a : a + 512] |= pair.any(axis=1)
-        found |= pair.any(axis=0)
+    rate, found = (with_1 / np.maximum(texts, 1))[known].astype(np.float32), np.zeros(len(known), bool)
+    parts = [slice(k, k + PAIR_BLOCK) for k in range(0, len(known), PAIR_BLOCK)]
+    for k, a in enumerate(parts):
+        left = [x[:, a].astype(np.float32) for x in held]
+        for b in parts[k:]:
+            clean, toxic = (x.T @ y[:, b].astype(np.float32) for x, y in zip(left, held))
+            n = scale[0] * (clean + 1) + scale[1] * toxic
+            own = np.clip(np.maximum(rate[a, None], rate[b]), 1e-6, 1 - 1e-6)
+            excess = scale[1] * toxic - n * own
+            pair = (toxic >= LEAST_PAIR_TEXTS) & (excess > 0) & (excess**2 >= LEAST_PAIR_CHI2 * n * own * (1 - own))
+            found[a] |= pair.any(axis=1)
+            found[b] |= pair.any(axis=0)
     return known[found]
 
 
