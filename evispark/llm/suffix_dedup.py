@@ -46,8 +46,10 @@ REACH = (LENGTH - FIRST) // 2
 STEP = LENGTH - 2 * FIRST
 #: Rows of anchors that a task holds before it cuts down equal ones and sends the rest.
 HELD = 1_000_000
-#: One document in so many tells which anchors are frequent; the sample moves cost alone, never a result.
+#: One document in so many tells which anchors are frequent, or more of a small table, so that there are LEAST_SAMPLED
+#: about; the sample moves cost alone, never a result.
 SAMPLED = 256
+LEAST_SAMPLED = 4000
 #: Segments of an anchor in the sample from which it is hot, and how many hot anchors are told to all tasks, at most.
 HOT = 64
 HOT_ANCHORS = 500_000
@@ -147,14 +149,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return documents(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NONE)).alias("k"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
-def hot_anchors(text: DataFrame) -> np.ndarray:
+def hot_anchors(text: DataFrame, total: int) -> np.ndarray:
     """In ascending order, the anchors with HOT segments or more in a sample of the documents."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"f": np.concatenate([np.empty(0, np.int64), *(segments(t.encode("utf-8", "surrogatepass"))[0] for t in batch.text)])})
 
-    part = text.where(F.pmod(F.xxhash64("k", "t"), F.lit(SAMPLED)) == 0)
+    share = max(1, min(SAMPLED, total // LEAST_SAMPLED))
+    part = text.where(F.pmod(F.xxhash64("k", "t"), F.lit(share)) == 0)
     counts = part.mapInPandas(count, "f bigint").groupBy("f").agg(F.count("*").alias("c")).where(F.col("c") >= HOT)
     return np.sort(counts.orderBy(F.desc("c"), "f").limit(HOT_ANCHORS).toPandas().f.to_numpy(np.int64))
 
@@ -209,7 +212,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     """(f, k, t, at, n, near, gone, open, hot): strings at, at + 1, ... n of them, that also start earlier, or may."""
     spark = docs.sparkSession
     text = _keyed(docs).where(F.octet_length("text") >= LENGTH)
-    anchors = text.mapInPandas(_anchors(spark.sparkContext.broadcast(hot_anchors(text))), ANCHORS)
+    anchors = text.mapInPandas(_anchors(spark.sparkContext.broadcast(hot_anchors(text, docs.count()))), ANCHORS)
     dealt = anchors.repartition(partitions(spark), "f")
     first = F.min(F.struct("k", "t", "at")).over(Window.partitionBy("f", "s"))
     by_anchor = Window.partitionBy("f")
