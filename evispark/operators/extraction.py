@@ -44,6 +44,11 @@ def verify_items(items: DataFrame, sources: DataFrame, key: list[str], least_ove
     return out.withColumn("accepted", F.col("quote_found") | (F.col("overlap") >= least_overlap)).drop("_source", "_quote", "_item", "_src", "_pool")
 
 
+def enough_items(items: DataFrame, least: int = 10) -> DataFrame:
+    """(case_id, items): cases with so many accepted items or more; the others don't make a package."""
+    return items.where("accepted").groupBy("case_id").agg(F.count("*").alias("items")).where(F.col("items") >= least)
+
+
 def block_coverage(items: DataFrame, sources: DataFrame, key: list[str]) -> DataFrame:
     """Share of each block's words that its items hold."""
     pool = items.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list(words(norm("text"))))).alias("_pool"))

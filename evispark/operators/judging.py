@@ -116,6 +116,15 @@ def fetch_behaviour(folded: DataFrame, keys: list[str], key_ids: DataFrame) -> D
     return joined.select(*keys, "fetches", "ids_per_fetch", "rerequested", recall.alias("key_recall"), precision.alias("key_precision"))
 
 
+def audit_requests(cases: DataFrame, messages: DataFrame, blind: bool = True) -> DataFrame:
+    """(case_id, payload): what an auditor gets, a JSON object of exactly case_id, package and messages; only an audit that
+    isn't blind also gets the reference. cases: case_id, package (JSON), reference; messages: case_id, pos, role, content."""
+    said = F.transform(F.sort_array(F.collect_list(F.struct("pos", "role", "content"))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    parts = ["case_id", F.try_parse_json("package").alias("package"), "messages", *([] if blind else ["reference"])]
+    joined = cases.join(messages.groupBy("case_id").agg(said.alias("messages")), "case_id")
+    return joined.select("case_id", F.to_json(F.struct(*parts)).alias("payload"))
+
+
 STATE = ["Current hypotheses", "Hypothesis ledger"]
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evispark.operators import compile as comp
-from evispark.operators import repair
+from evispark.operators import extraction, judging, repair, trajectory
 from evispark.plans.case_tables import CASES, case_tables
 from evispark.plans.registry import query
 from evispark.sources.readers import table
@@ -214,3 +214,67 @@ def repair_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     attempts = spark.createDataFrame(rows, "k bigint, attempt int, transport string, finish_reason string, parsed boolean, edits int, error string")
     out = repair.attempt_outcomes(cases.join(attempts, "k"))
     return out.groupBy("status", F.coalesce("reason", none).alias("reason"), "retry").agg(F.count("*").alias("n"))
+
+
+@query(CASES + """
+, m AS (SELECT case_id, count(*) + 1 AS n FROM rounds GROUP BY case_id)
+SELECT case_id, CASE WHEN conv_id % 2 = 0 THEN 'case_id,messages,package' ELSE 'case_id,messages,package,reference' END AS keys, CAST(coalesce(n, 1) AS INT) AS messages, CAST(conv_id AS BIGINT) AS number FROM finals LEFT JOIN m USING (case_id)
+""")
+def audit_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even cases are audited blind."""
+    t = case_tables(spark, sf_dir)
+    cases = t["finals"].select("case_id", "conv_id", F.to_json(F.struct(F.col("conv_id").alias("number"))).alias("package"), F.col("expected").alias("reference"))
+    said = t["rounds"].select("case_id", F.col("round").alias("pos"), F.lit("assistant").alias("role"), F.col("note").alias("content")).unionByName(t["finals"].select("case_id", F.lit(999).alias("pos"), F.lit("assistant").alias("role"), F.col("final").alias("content")))
+    out = judging.audit_requests(cases.where("conv_id % 2 = 0"), said).unionByName(judging.audit_requests(cases.where("conv_id % 2 = 1"), said, blind=False))
+    keys = F.array_join(F.sort_array(F.json_object_keys("payload")), ",")
+    parsed = F.from_json("payload", "messages array<struct<role:string,content:string>>, package struct<number:bigint>")
+    return out.select("case_id", keys.alias("keys"), F.size(parsed["messages"]).alias("messages"), parsed["package"]["number"].alias("number"))
+
+
+@query(CASES + "SELECT case_id, count(*) AS items FROM items WHERE pos % 3 <> 0 GROUP BY case_id HAVING count(*) >= 3")
+def cases_with_enough_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.enough_items(case_tables(spark, sf_dir)["items"].withColumn("accepted", F.col("pos") % 3 != 0), 3)
+
+
+def rollouts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Turns, openings, finals and labels; a fifth of the cases lacks a turn, a quarter gets back nothing."""
+    t = case_tables(spark, sf_dir)
+    folded = comp.deliveries(t["rounds"], t["items"], ["case_id"])
+    conv = F.substring("case_id", 2, 20).cast("bigint")
+    turn = F.when((conv % 5 == 0) & (F.col("round") >= 2), F.col("round") + 1).otherwise(F.col("round"))
+    turns = folded.select(
+        "case_id", F.lit(0).alias("sample"), turn.alias("turn"), F.col("note").alias("assistant"), F.col("fetch_ids").alias("call_ids"), "reason", F.lit(None).cast("array<string>").alias("call_errors"),
+        F.when(conv % 4 == 1, F.array().cast("array<string>")).otherwise(F.col("fresh")).alias("returned_ids"), F.when(F.size("unknown") > 0, "unknown id").alias("return_error"),
+    )
+    finals = t["finals"].select("case_id", F.lit(0).alias("sample"), F.col("final").alias("final_answer"))
+    labels = t["finals"].select("case_id", F.when(F.col("expected") == "determined", "closed").otherwise("not_closed").alias("closure"))
+    return turns, comp.known_items(t["items"]).select("case_id", "opening"), finals, labels
+
+
+ENDED = CASES + """
+, agg AS (SELECT case_id, count(*) AS fetch_rounds, list_distinct(flatten(list(fetch_ids))) AS requested, list_distinct(flatten(list(fresh))) AS fetched, any_value(opening) AS opening FROM folded GROUP BY case_id),
+ended AS (SELECT f.case_id, f.conv_id, final, expected, fetch_rounds, requested, fetched, list_distinct(list_concat(coalesce(opening, []), coalesce(fetched, []))) AS disclosed, list_distinct(regexp_extract_all(final, 'E[1-9][0-9]*\\.[1-9][0-9]*')) AS cited, CASE WHEN final LIKE 'CASE NOT%' THEN 'not_closed' WHEN final LIKE 'CASE CLOSED%' THEN 'closed' END AS marker FROM finals f LEFT JOIN agg USING (case_id)),
+judged AS (SELECT *, len(list_filter(cited, lambda x: NOT list_contains(disclosed, x))) = 0 AS seen FROM ended)
+"""
+
+
+@query(ENDED + """
+SELECT case_id, fetch_rounds, CAST(len(requested) AS INT) AS requested, CAST(len(fetched) AS INT) AS fetched, CAST(len(disclosed) AS INT) AS disclosed, CAST(len(cited) AS INT) AS cited, seen AS citations_seen, marker FROM judged
+""")
+def rollout_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, openings, finals, _ = rollouts(spark, sf_dir)
+    out = trajectory.results(turns, openings, finals)
+    n = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).alias(c)
+    return out.select("case_id", F.col("fetch_rounds").cast("bigint").alias("fetch_rounds"), n("requested"), n("fetched"), n("disclosed"), n("cited"), "citations_seen", "marker")
+
+
+@query(ENDED + """
+, r AS (SELECT *, CAST(substr(case_id, 2) AS BIGINT) AS conv FROM folded),
+bad AS (SELECT 'a turn is missing' AS rule FROM r WHERE conv % 5 = 0 AND round = 2 UNION ALL SELECT 'arguments are invalid' FROM r WHERE len(list_distinct(fetch_ids)) <> len(fetch_ids) OR length(reason) < 10
+  UNION ALL SELECT 'the return is not what was asked' FROM r WHERE len(unknown) = 0 AND conv % 4 = 1 AND len(fresh) > 0
+  UNION ALL SELECT 'an item is cited before it was seen' FROM r WHERE len(list_filter(regexp_extract_all(note, 'E[1-9][0-9]*\\.[1-9][0-9]*'), lambda x: NOT list_contains(seen, x) AND NOT list_contains(fetch_ids, x))) > 0
+  UNION ALL SELECT 'no marker' FROM judged WHERE marker IS NULL UNION ALL SELECT 'the marker is not the label' FROM judged WHERE marker <> CASE expected WHEN 'determined' THEN 'closed' ELSE 'not_closed' END UNION ALL SELECT 'a cited item was never seen' FROM judged WHERE NOT seen)
+SELECT rule, count(*) AS n FROM bad GROUP BY rule
+""")
+def trace_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectory.format_violations(*rollouts(spark, sf_dir)).groupBy("rule").agg(F.count("*").alias("n"))
