@@ -205,7 +205,8 @@ def plan_cases(candidates: DataFrame, built: DataFrame, prefix: str) -> DataFram
     from evispark.operators.windows import running
 
     new = running(joined.where("case_id IS NULL").drop("case_id").withColumn("_all", F.lit(0)), ["_all"], ["native_id"], {"_nth": F.lit(1)}).drop("_all").join(F.broadcast(top))
-    named = new.withColumn("case_id", F.concat(F.lit(prefix), F.lpad((F.col("_top") + F.col("_nth")).cast("string"), 4, "0"))).drop("_nth", "_top")
+    number = (F.col("_top") + F.col("_nth")).cast("string")
+    named = new.withColumn("case_id", F.concat(F.lit(prefix), F.when(F.length(number) > 4, number).otherwise(F.lpad(number, 4, "0")))).drop("_nth", "_top")
     return joined.where("case_id IS NOT NULL").withColumn("new", F.lit(False)).unionByName(named.withColumn("new", F.lit(True)))
 
 

@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import cases, evaluation, extraction, extracts, groups, more, packages, records, rewards, sampling, sequences, text, turns  # noqa: E402, F401
+from . import cases, evaluation, extraction, extracts, groups, more, names, packages, records, rewards, sampling, sequences, text, turns  # noqa: E402, F401
