@@ -38,9 +38,16 @@ _BY_COUNT = [(s, int(COUNTS[s]), int(BITS[s])) for s in range(len(COUNTS) - 1, -
 SPARE = int(COUNTS.max())
 
 
+_SMALL = np.frexp(np.arange(1 << 17, dtype=np.float64))[1].astype(np.uint8)
+_COUNTS = COUNTS.astype(np.uint8)
+
+
 def _widths(ids: np.ndarray) -> np.ndarray:
     """The bits that each id needs."""
-    if not len(ids) or ids.max() >> np.uint64(53) == 0:
+    most = ids.max(initial=0)
+    if most < len(_SMALL):
+        return _SMALL[ids]
+    if most >> np.uint64(53) == 0:
         return np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
     high = ids >> np.uint64(32)
     return np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]).astype(np.uint8)
@@ -72,18 +79,20 @@ def encode_many(documents_ids: list[np.ndarray], block: int = BLOCK) -> list[tup
         return [(b"", [])] * len(sizes)
     ids = np.zeros(int(lengths.sum()) + SPARE * len(lengths), np.uint64)
     first = np.cumsum(lengths + SPARE) - lengths - SPARE
-    place = np.arange(int(lengths.sum())) + np.repeat(SPARE * np.arange(len(lengths)), lengths)
-    ids[place] = np.concatenate(documents_ids)
+    parts = (x[a : a + block] for x in documents_ids for a in range(0, len(x), block))
+    for a, n, part in zip(first.tolist(), lengths.tolist(), parts):
+        ids[a : a + n] = part
     widths = _widths(ids)
     escapes = widths > BITS.max()
     selector = _fullest(widths)
-    step = COUNTS[selector]
+    step = _COUNTS[selector]
     step[escapes] = 1  # such an id lies alone in its word
-    steps, at, counts = step.tolist(), [], []
+    steps, at, counts = step.tobytes(), [], []
+    add = at.append
     for a, n in zip(first.tolist(), lengths.tolist()):
         before, end = len(at), a + n
         while a < end:
-            at.append(a)
+            add(a)
             a += steps[a]
         counts.append(len(at) - before)
     begin = np.array(at, np.int64)
@@ -120,14 +129,17 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, list[int]]:
 
 def _unpack(words: np.ndarray, selector: np.ndarray, skip: np.ndarray, place: np.ndarray, limit: np.ndarray, out: np.ndarray) -> None:
     """Ids of words to out, from place on and below limit, word by word; words to skip stay out."""
+    whole = place + COUNTS[selector] <= limit
     for s in np.unique(selector):
-        at = np.flatnonzero((selector == s) & ~skip)
-        if BITS[s] and len(at):
-            shifts = (np.arange(COUNTS[s]) * BITS[s]).astype(np.uint64)
-            values = (words[at][:, None] >> shifts) & np.uint64((1 << int(BITS[s])) - 1)
-            where = place[at][:, None] + np.arange(COUNTS[s])
-            ok = where < limit[at][:, None]
-            out[where[ok]] = values[ok]
+        mine = (selector == s) & ~skip
+        if not BITS[s]:
+            continue
+        shifts, mask, steps = (np.arange(COUNTS[s]) * BITS[s]).astype(np.uint64), np.uint64((1 << int(BITS[s])) - 1), np.arange(COUNTS[s])
+        at = np.flatnonzero(mine & whole)
+        out[place[at][:, None] + steps] = (words[at][:, None] >> shifts) & mask
+        for k in np.flatnonzero(mine & ~whole).tolist():  # at most one for each block
+            n = int(limit[k] - place[k])
+            out[place[k] : limit[k]] = (words[k] >> shifts[:n]) & mask
 
 
 def _decode_block(words: np.ndarray, n: int) -> np.ndarray:

@@ -35,19 +35,20 @@ class Generations:
 
     def look_up(self, keys: list[str], make: Callable[[str], bytes]) -> list[bytes]:
         parts = list(map(self.young.get, keys))
-        if None in parts:
+        missing = [k for k, part in enumerate(parts) if part is None]
+        if missing:
             found: dict[str, bytes] = {}
-            for k, part in enumerate(parts):
+            known, old = found.get, self.old.get
+            for k in missing:
+                key = keys[k]
+                part = known(key)
                 if part is None:
-                    key = keys[k]
-                    part = found.get(key)
-                    if part is None:
-                        part = self.old.get(key)
-                        found[key] = part = make(key) if part is None else part
-                    parts[k] = part
+                    part = old(key)
+                    found[key] = part = make(key) if part is None else part
+                parts[k] = part
             if len(self.young) > self.size:
                 self.young, self.old = {}, self.young
-            self.young.update((c, ids) for c, ids in found.items() if len(c) <= KEPT_CHARS)
+            self.young.update(found if max(map(len, found)) <= KEPT_CHARS else {c: ids for c, ids in found.items() if len(c) <= KEPT_CHARS})
         return parts
 
     def get(self, key: str) -> bytes | None:
@@ -74,6 +75,7 @@ class ChunkEncoder:
         shown = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
         shown |= {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in shown)}
         self.byte_letters = {c: "".join(shown[b] for b in chr(c).encode()) for c in (32, *range(65, 256))}
+        self.space = self.byte_letters[32]
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = {c: self._ids(c) for c in ".,"}
         self.line_end = self._ids("\n")
@@ -87,6 +89,11 @@ class ChunkEncoder:
         shown = (word.lower() if self.drops_space else word).translate(self.byte_letters)
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
+    def _plain_word(self, word: str) -> bytes:
+        """Of ASCII letters alone, after a space: byte-level models write these letters as they are."""
+        shown = word.lower() if self.drops_space else self.space + word
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def _unit(self, unit: str) -> bytes:
         if self.plain(unit):
             return self._word(unit)
@@ -96,6 +103,12 @@ class ChunkEncoder:
 
     def _piece(self, piece: str) -> bytes:
         """Of what stands between single spaces; one that starts with a line end has no space before its word."""
+        if piece.isascii():  # most are words of plain letters, with or without a stop or comma
+            if piece.isalpha():
+                return self._plain_word(piece)
+            if piece[-1] in ".," and piece[:-1].isalpha():
+                word = self.by_piece.get(piece[:-1])
+                return (self._plain_word(piece[:-1]) if word is None else word) + self.ends[piece[-1]]
         if self.drops_space:
             before, unit = b"", piece
         elif piece[0] == "\n":
@@ -112,11 +125,13 @@ class ChunkEncoder:
             return np.empty(0, "<u4")
         if any(a in text for a in self.added):
             return np.frombuffer(self._ids(text), "<u4")
-        if not self.odd_space(text):
+        spaced = text.replace("\n", " \n")
+        if spaced.replace("\n", "").isprintable() or not self.odd_space(text):  # no white space but these two is printable
             if self.drops_space:
                 return np.frombuffer(b"".join(self.by_piece.look_up(text.split(), self._piece)), "<u4")
-            pieces = text.replace("\n", " \n").split(" ")
-            if "" not in pieces and "\n" not in pieces:
+            # no empty pieces and no line end alone
+            if "  " not in spaced and "\n " not in spaced and spaced[0] != " " and spaced[-1] not in " \n":
+                pieces = spaced.split(" ")
                 first = self._unit(pieces.pop(0))
                 return np.frombuffer(first + b"".join(self.by_piece.look_up(pieces, self._piece)), "<u4")
         return np.frombuffer(b"".join(self.by_unit.look_up(self.units(text), self._unit)), "<u4")
