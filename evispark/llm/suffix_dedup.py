@@ -45,7 +45,7 @@ REACH = (LENGTH - FIRST) // 2
 #: What the second round of doubling moves on by.
 STEP = LENGTH - 2 * FIRST
 #: Rows of anchors that a task holds before it cuts down equal ones and sends the rest.
-HELD = 1_000_000
+HELD = 600_000
 #: One document in so many tells which anchors are frequent, or more of a small table, so that there are LEAST_SAMPLED
 #: about; the sample moves cost alone, never a result.
 SAMPLED = 256
