@@ -7,9 +7,12 @@ lists of its prefix, its rarest shingles in one global order, as far as any part
 from the histogram of sizes: subsets enumerated against list entries that these sets would otherwise cause.
 
 The order of shingles puts those last that a sample of SAMPLE documents holds often, so passages that many documents
-share stay out of the prefixes; the sample moves cost alone, never a result. Lists of shingles that are HOT in it are
-counted by partial sums. Lists of LONG_LIST sets or fewer give pairs, thinned by size and position and verified on the
-texts. Longer lists are grouped by their smallest member, the pivot. First every member is held against the pivot alone.
+share stay out of the prefixes, and before them those of words that are frequent in it, so sets that share such words by
+chance rarely meet; the sample moves cost alone, never a result. Lists of shingles that are HOT in it are
+counted by partial sums. Lists of LONG_LIST sets or fewer give pairs, thinned by size and position, then by sketches, and
+verified on the texts. A sketch tells of each bit whether an odd number of a set's shingles falls on it; two sets differ in
+at least as many shingles as their sketches in bits, so no link is lost, and texts of pairs met by chance aren't sent.
+Longer lists are grouped by their smallest member, the pivot. First every member is held against the pivot alone.
 Members that link to it are in one component and need no links among each other; and as Jaccard distance is a metric,
 those beyond twice the linked distance from the pivot can't link to them either. What is left to compare - the others
 among each other, and those within twice the distance with the linked ones - is cut into blocks of BLOCK sets of sizes
@@ -29,7 +32,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, partitions, release, staged
@@ -53,6 +56,10 @@ MOST_LIGHT = 12
 ENTRY_COST = 4
 #: Members that one task verifies against a set, about.
 MEMBERS = 400
+#: Documents whose words are counted.
+WORD_SAMPLE = 4_000
+#: Words are counted in so many places; those of one place count as one.
+WORD_PLACES = 1 << 20
 #: Keys that may be broadcast instead of a shuffle of texts: rows of six numbers at most, so about 32 MB.
 BROADCAST_ROWS = 300_000
 _NONE = -(1 << 63)
@@ -69,8 +76,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted names of the distinct shingles of one whole text."""
+def _words(text: str | None) -> np.ndarray:
+    """The names of the words of one whole text."""
     if not text:
         return np.empty(0, np.uint64)
     data = _LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
@@ -79,12 +86,57 @@ def shingles(text: str | None) -> np.ndarray:
     if not len(starts):
         return np.empty(0, np.uint64)
     names = Names(data)
-    words = Names._mix((names.sums[ends] - names.sums[starts]) * names.down[starts] + (ends - starts).astype(np.uint64))
+    return Names._mix((names.sums[ends] - names.sums[starts]) * names.down[starts] + (ends - starts).astype(np.uint64))
+
+
+def _shingle_names(words: np.ndarray) -> np.ndarray:
+    """The name of the shingle at each word that begins one."""
     n = max(1, len(words) - WORDS + 1)
     out = np.full(n, min(len(words), WORDS), np.uint64)
     for k in range(min(len(words), WORDS)):
         out += words[k : k + n] * _TURN[k]
-    return np.unique(Names._mix(out))
+    return Names._mix(out)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The sorted names of the distinct shingles of one whole text."""
+    words = _words(text)
+    return np.unique(_shingle_names(words)) if len(words) else words
+
+
+def _places(words: np.ndarray) -> np.ndarray:
+    return (words % np.uint64(WORD_PLACES)).astype(np.int64)
+
+
+def weighed_shingles(text: str | None, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """shingles, and the sum of the weights of each one's words."""
+    words = _words(text)
+    if not len(words):
+        return words, np.empty(0, np.int16)
+    names, first = np.unique(_shingle_names(words), return_index=True)
+    each = weights[_places(words)]
+    total = np.zeros(max(1, len(words) - WORDS + 1), np.int16)
+    for k in range(min(len(words), WORDS)):
+        total += each[k : k + len(total)]
+    return names, total[first]
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Of each bit, whether an odd number of shingles falls on it: a power of two of bits, 64 at least and as many as
+    shingles."""
+    bits = max(64, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) % 2
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _bits_apart(a: Column, b: Column) -> Column:
+    """In how many bits two sketches differ; the longer one is folded to the length of the other."""
+    xor = lambda x, y: x.bitwiseXOR(y)
+    half = lambda x: (F.size(x) / 2).cast("int")
+    folded = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), xor)
+    # sets that may link are of sizes within a quarter, so lengths are the same or one is twice the other
+    x, y = F.when(F.size(a) > F.size(b), folded(a)).otherwise(a), F.when(F.size(b) > F.size(a), folded(b)).otherwise(b)
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(xor(p, q))), F.lit(0), lambda t, k: t + k)
 
 
 def set_name(s: np.ndarray) -> int:
@@ -122,16 +174,39 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """(k, t, v, n, held) of every row: v names the set, n is its size; held has the shingles of a set that may be light.
-    Staged."""
+    """(k, t, v, n, held, sketch) of every row: v names the set, n is its size; held has the shingles of a set that may be
+    light. Staged."""
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingles(t) for t in batch.text]
             held = [s.view(np.int64) if 0 < len(s) <= MOST_LIGHT else None for s in sets]
-            yield pd.DataFrame({"k": batch.k, "t": batch.t, "v": [set_name(s) for s in sets], "n": [len(s) for s in sets], "held": pd.Series(held, index=batch.index, dtype=object)})
+            yield pd.DataFrame({"k": batch.k, "t": batch.t, "v": [set_name(s) for s in sets], "n": [len(s) for s in sets], "held": pd.Series(held, index=batch.index, dtype=object), "sketch": pd.Series([sketch(s) if len(s) else None for s in sets], index=batch.index, dtype=object)})
+
+    return staged(_keyed(docs).mapInPandas(name, "k bigint, t bigint, v bigint, n int, held array<bigint>, sketch array<bigint>"), "sets")
 
-    return staged(_keyed(docs).mapInPandas(name, "k bigint, t bigint, v bigint, n int, held array<bigint>"), "sets")
+
+def _sampled(docs: DataFrame, total: int, rows: int) -> DataFrame:
+    return _keyed(docs).where(F.pmod(F.xxhash64("k", "t"), F.lit(max(1, total // rows))) == 0)
+
+
+def word_weights(docs: DataFrame, total: int) -> np.ndarray:
+    """By place, how often the sample has words of it: eight times the binary logarithm. What the sample doesn't hold, or
+    once, is of no weight."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = np.zeros(WORD_PLACES, np.int64)
+        for batch in batches:
+            found += np.bincount(_places(np.concatenate([np.empty(0, np.uint64), *map(_words, batch.text)])), minlength=WORD_PLACES)
+        at = np.flatnonzero(found)
+        for a in range(0, len(at), 100_000):
+            yield pd.DataFrame({"place": at[a : a + 100_000], "c": found[at[a : a + 100_000]]})
+
+    counts = _sampled(docs, total, WORD_SAMPLE).mapInPandas(count, "place bigint, c bigint").groupBy("place").agg(F.sum("c").alias("c"))
+    rows = counts.where("c > 1").toPandas()
+    weights = np.zeros(WORD_PLACES, np.int16)
+    weights[rows.place.to_numpy(np.int64)] = np.rint(8 * np.log2(rows.c.to_numpy(np.float64))).astype(np.int16)
+    return weights
 
 
 def frequent_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,8 +217,7 @@ def frequent_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarr
             found = [shingles(t) for t in batch.text]
             yield pd.DataFrame({"s": np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)})
 
-    part = _keyed(docs).where(F.pmod(F.xxhash64("k", "t"), F.lit(max(1, total // SAMPLE))) == 0)
-    counts = part.mapInPandas(count, "s bigint").groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") >= SAMPLE_COUNT)
+    counts = _sampled(docs, total, SAMPLE).mapInPandas(count, "s bigint").groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") >= SAMPLE_COUNT)
     rows = counts.orderBy(F.desc("c"), "s").limit(FREQUENT).toPandas()
     names = rows.s.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(names)
@@ -169,19 +243,19 @@ def _light_links(sets: DataFrame, light: int) -> DataFrame:
     return rows.join(least, ["c", "subset"]).where((F.col("v") != F.col("least.v")) & (need <= F.col("c"))).select(F.col("least.v").alias("u"), "v")
 
 
-def _entries(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], light: int) -> DataFrame:
+def _entries(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], weights: np.ndarray, light: int) -> DataFrame:
     """(s, v, n, pos, hot): the prefix of each distinct set of a task; sets without a heavy partner stay out. Hot shingles
     stand in hot, which is 0 for all others, and a name of shingle and set in s."""
-    told = docs.sparkSession.sparkContext.broadcast(frequent)
+    told = docs.sparkSession.sparkContext.broadcast((*frequent, weights))
     least = -(-SHARE * (light + 1) // 100)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, counts = told.value
+        names, counts, weights = told.value
         seen: set[int] = set()
         for batch in batches:
             held = []
             for text in batch.text:
-                s = shingles(text)
+                s, weight = weighed_shingles(text, weights)
                 if len(s) < max(1, least) or (v := set_name(s)) in seen:
                     continue
                 if len(seen) > 2_000_000:
@@ -192,7 +266,7 @@ def _entries(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], light: in
                 if len(names):
                     at = np.minimum(np.searchsorted(names, s), len(names) - 1)
                     often = np.where(names[at] == s, counts[at], 0)
-                first = np.argsort(often, kind="stable")[:size] if often.any() else np.arange(size)
+                first = np.argsort(often * (1 << 16) + weight if often.any() else weight, kind="stable")[:size]
                 chosen, is_hot = s[first], often[first] >= HOT
                 dealt = np.where(is_hot, Names._mix(chosen * np.uint64(3) ^ np.uint64(v % (1 << 64))), chosen)
                 held.append(pd.DataFrame({"s": dealt.view(np.int64), "v": np.full(size, v, np.int64), "n": np.full(size, len(s), np.int32), "pos": np.arange(size, dtype=np.int32), "hot": np.where(is_hot, chosen, 0).view(np.int64)}))
@@ -226,6 +300,15 @@ def _pairs(lists: DataFrame, light: int) -> DataFrame:
     return a.join(b, "s").where(possible).select(F.col("v_a").alias("u"), F.col("v_b").alias("v")).distinct()
 
 
+def _near_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose sketches leave a link possible."""
+    known = sets.groupBy("v").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    a, b = (known.select(F.col("v").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "uv")
+    apart = _bits_apart(F.col("sketch_u"), F.col("sketch_v"))
+    possible = apart * (100 + SHARE) <= (100 - SHARE) * (F.col("n_u") + F.col("n_v"))
+    return pairs.join(a, "u").join(b, "v").where(possible).select("u", "v")
+
+
 def _parted(members: DataFrame, role: int) -> DataFrame:
     """(g, part, role, v): the members of each g in parts of about MEMBERS, and g itself in each of them."""
     counts = members.groupBy("g").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
@@ -359,10 +442,10 @@ def _verified(docs: DataFrame, sets: DataFrame, roles: DataFrame) -> DataFrame:
     return found
 
 
-def _heavy_links(docs: DataFrame, sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], light: int) -> DataFrame:
-    lists = _lists(_entries(docs, frequent, light))
+def _heavy_links(docs: DataFrame, sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], weights: np.ndarray, light: int) -> DataFrame:
+    lists = _lists(_entries(docs, frequent, weights, light))
     long = staged(_long(lists), "long")
-    pairs = _pairs(lists, light).select(F.col("u").alias("g"), "v")
+    pairs = _near_pairs(_pairs(lists, light), sets).select(F.col("u").alias("g"), "v")
     found = _verified(docs, sets, _parted(pairs, MEMBER).unionByName(_parted(long.select("g", "v"), PIVOTED)))
     release(lists)
     links = found.where(F.col("state") == LINKED).select("u", "v")
@@ -378,8 +461,9 @@ def join_components(docs: DataFrame) -> DataFrame:
     small = sets.where(F.col("n").between(1, MOST_LIGHT * 2)).groupBy("n").agg(F.countDistinct("v").alias("c")).collect()
     longer = sets.where(F.col("n") > MOST_LIGHT * 2).agg(F.coalesce(F.sum(F.floor(F.col("n") / 5) + 1), F.lit(0)).alias("c")).first()
     light = choose_light({r.n: r.c for r in small}, longer.c)
-    frequent = frequent_shingles(docs, sets.count())
-    links = _light_links(sets, light).unionByName(_heavy_links(docs, sets, frequent, light))
+    total = sets.count()
+    frequent, weights = frequent_shingles(docs, total), word_weights(docs, total)
+    links = _light_links(sets, light).unionByName(_heavy_links(docs, sets, frequent, weights, light))
     roots = components(links)
     distinct = sets.groupBy("v").agg(F.min("k").alias("low"))
     by_root = distinct.join(roots.withColumnRenamed("u", "v"), "v", "left").select("v", "low", F.coalesce("root", "v").alias("root"))

@@ -1,7 +1,9 @@
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evispark.llm import jaccard_join as j
 
@@ -119,3 +121,34 @@ def test_states_by_whole_numbers():
             for common in range(n + 1):
                 share = common / (n + m - common)
                 assert j._state(common, n, m) == (0 if share >= 0.8 - 1e-12 else 1 if share >= 0.6 - 1e-12 else 2)
+
+
+def test_sketches_never_differ_in_more_bits_than_sets_in_shingles(spark):
+    rng = np.random.default_rng(5)
+    rows, most = [], []
+    for n in (1, 2, 40, 60, 70, 127, 128, 129, 600, 1030):
+        for kept in (n, n - n // 10, n // 3):
+            a = np.unique(rng.integers(1, 1 << 62, n, dtype=np.uint64))
+            more = rng.integers(1, 1 << 62, max(0, int(n * 1.2) - kept), dtype=np.uint64)
+            b = np.unique(np.concatenate([a[:kept], more]))
+            rows.append((len(most), j.sketch(a).tolist(), j.sketch(b).tolist()))
+            most.append(len(np.setxor1d(a, b)))
+    found = spark.createDataFrame(rows, "i int, a array<bigint>, b array<bigint>").select("i", j._bits_apart(F.col("a"), F.col("b")).alias("n"))
+    apart = {r.i: r.n for r in found.collect()}
+    assert all(apart[i] <= m for i, m in enumerate(most)) and apart[0] == 0 < sum(apart.values())
+
+
+def test_texts_of_sets_that_meet_by_chance_are_not_sent(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = []
+    for k in range(80):  # frequent words in fives, between words of their own
+        words = []
+        for i in range(12):
+            words += [rng.choice("ab") for _ in range(9)] + [f"w{k}x{i}"]
+        rows.append((k, " ".join(words)))
+    rows.append((80, rows[0][1] + " z"))
+    sent, roles_of = [], j._verified
+    monkeypatch.setattr(j, "_verified", lambda docs, sets, roles: sent.append(roles.count()) or roles_of(docs, sets, roles))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted(map(tuple, j.join_components(docs).select("doc_id", "n_shingles", "component_id").collect())) == _slow(rows)
+    assert sent[0] == 2  # the pair that is linked
