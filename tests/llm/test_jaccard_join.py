@@ -139,6 +139,8 @@ def test_sketches_never_differ_in_more_bits_than_sets_in_shingles(spark):
 
 
 def test_texts_of_sets_that_meet_by_chance_are_not_sent(spark, monkeypatch):
+    for name, value in {"SAMPLE_COUNT": 10**6, "LONG_LIST": 100}.items():  # a sample that tells no shingle, as in large tables
+        monkeypatch.setattr(j, name, value)
     rng = random.Random(3)
     rows = []
     for k in range(80):  # frequent words in fives, between words of their own
