@@ -27,7 +27,7 @@ doc_id comes before all others. Rows that repeat a doc_id are documents of their
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -62,6 +62,8 @@ WORD_SAMPLE = 4_000
 WORD_PLACES = 1 << 20
 #: Keys that may be broadcast instead of a shuffle of texts: rows of six numbers at most, so about 32 MB.
 BROADCAST_ROWS = 300_000
+#: Bits that tell where more keys than those hash to, 8 MB.
+KEY_PLACES = 1 << 26
 _NONE = -(1 << 63)
 #: What a text is needed for: a set or a pivot, its members, or a block against itself or another.
 HOST, MEMBER, PIVOTED, FIRST, OTHER = range(5)
@@ -277,27 +279,30 @@ def _entries(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], weights:
 
 
 def _lists(entries: DataFrame) -> DataFrame:
-    """(s, v, n, pos, low, size): lists of several sets, with their smallest member and how many they are."""
+    """(s, v, n, pos, low, size): lists of several sets, with their smallest member and how many they are. Entries are
+    shuffled once: all that is asked of a list is told where it lies."""
     columns, hot = ["s", "v", "n", "pos"], F.col("hot") != 0
     by_shingle = Window.partitionBy("s")
     several = entries.withColumn("low", F.min("v").over(by_shingle)).withColumn("high", F.max("v").over(by_shingle)).where((F.col("low") != F.col("high")) | hot)
-    several = staged(several.drop("high"), "entries")
-    cold = several.where(~hot).drop("hot").distinct().withColumn("size", F.count("*").over(by_shingle))
+    several = staged(several.drop("high").distinct().withColumn("size", F.count("*").over(by_shingle)), "lists")
+    cold = several.where(~hot).drop("hot")
     frequent = several.where(hot).select(F.col("hot").alias("s"), *columns[1:]).distinct()
     counts = frequent.groupBy("s").agg(F.min("v").alias("low"), F.count("*").alias("size"))  # of FREQUENT shingles at most
-    lists = staged(cold.unionByName(frequent.join(F.broadcast(counts), "s").where("size > 1")), "lists")
-    release(several)
+    dealt = staged(frequent.join(F.broadcast(counts), "s").where("size > 1"), "hot-lists")
+    lists = cold.unionByName(dealt)
+    lists._parts = (several, dealt)
     return lists
 
 
 def _pairs(lists: DataFrame, light: int) -> DataFrame:
-    """Distinct pairs of short lists that sizes and positions leave possible."""
-    short = lists.where(F.col("size") <= LONG_LIST)
-    a, b = (short.select("s", *[F.col(c).alias(f"{c}_{side}") for c in ("v", "n", "pos")]) for side in "ab")
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    """Distinct pairs of short lists that sizes and positions leave possible. A list is one row, so it is shuffled once."""
+    members = F.array_sort(F.collect_list(F.struct("v", "n", "pos")))
+    short = lists.where(F.col("size") <= LONG_LIST).groupBy("s").agg(members.alias("m"))
+    pairs = short.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
+    small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     need = F.ceil((small + large) * SHARE / (100 + SHARE))
-    possible = (F.col("v_a") < F.col("v_b")) & (large > light) & (large * SHARE <= small * 100) & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need)
-    return a.join(b, "s").where(possible).select(F.col("v_a").alias("u"), F.col("v_b").alias("v")).distinct()
+    possible = (large > light) & (large * SHARE <= small * 100) & (F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= need)
+    return pairs.where(possible).select(F.col("a.v").alias("u"), F.col("b.v").alias("v")).distinct()
 
 
 def _near_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -428,17 +433,38 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield frame()
 
 
+def _may_be_among(keys: DataFrame, *names: str) -> Callable[..., Column]:
+    """Whether two columns may be a key: of every key, and of few other rows. Tasks are told the places that keys hash to,
+    KEY_PLACES bits, so many other rows pass only beyond some millions of keys, which costs time and loses nothing."""
+    place = F.pmod(F.xxhash64(*(names or ("k", "t"))), F.lit(KEY_PLACES))
+    words = keys.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("p", F.lit(64)).cast("int"))).alias("b")).toPandas()
+    bits = np.zeros(KEY_PLACES // 64, np.int64)
+    bits[words.w.to_numpy(np.int64)] = words.b.to_numpy(np.int64)
+    told = keys.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def taken(p: pd.Series) -> pd.Series:
+        at = p.to_numpy(np.int64)
+        return pd.Series(told.value[at >> 6] >> (at & 63) & 1 == 1)
+
+    return lambda k, t: taken(F.pmod(F.xxhash64(k, t), F.lit(KEY_PLACES)))
+
+
 def _verified(docs: DataFrame, sets: DataFrame, roles: DataFrame) -> DataFrame:
     """(u, v, state, pivoted) of the comparisons that roles ask for, staged. A text is sent once for each of its roles."""
     roles = staged(roles, "roles")
     where = sets.groupBy("v").agg(F.min(F.struct("k", "t")).alias("row"))
     wanted = roles.join(where, "v").select("row.k", "row.t", "g", "part", "role", "v")
+    keyed = _keyed(docs)
     if roles.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    texts = _keyed(docs).join(wanted, ["k", "t"]).select("g", "part", "role", "v", "text")
+    else:  # only texts that are asked for, and few others, are shuffled
+        wanted = staged(wanted, "wanted")
+        keyed = keyed.where(_may_be_among(wanted)("k", "t"))
+    texts = keyed.join(wanted, ["k", "t"]).select("g", "part", "role", "v", "text")
     dealt = texts.repartition(partitions(docs.sparkSession), "g", "part").sortWithinPartitions("g", "part", "role")
     found = staged(dealt.mapInPandas(_verify, "u bigint, v bigint, state int, pivoted boolean"), "verified")
-    release(roles)
+    release(roles, wanted)
     return found
 
 
@@ -447,7 +473,7 @@ def _heavy_links(docs: DataFrame, sets: DataFrame, frequent: tuple[np.ndarray, n
     long = staged(_long(lists), "long")
     pairs = _near_pairs(_pairs(lists, light), sets).select(F.col("u").alias("g"), "v")
     found = _verified(docs, sets, _parted(pairs, MEMBER).unionByName(_parted(long.select("g", "v"), PIVOTED)))
-    release(lists)
+    release(*lists._parts)
     links = found.where(F.col("state") == LINKED).select("u", "v")
     if not long.limit(1).count():
         return links
@@ -474,11 +500,16 @@ def join_components(docs: DataFrame) -> DataFrame:
     return sets.join(named, "v").select(real(F.col("k")).alias("doc_id"), F.col("n").cast("bigint").alias("n_shingles"), real(component).alias("component_id"), "k", "t", "root")
 
 
-def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """docs less the rows of (k, t). Few keys are broadcast, so that texts stay where they are."""
+def _by_keys(docs: DataFrame, keys: DataFrame, kept: bool) -> DataFrame:
+    """docs with _k and _t, of rows whose (k, t) is among the keys, if they are kept, or of all others. Texts of the others
+    stay where they are: few keys are broadcast, and with many only rows that may be among them are shuffled."""
+    keys = staged(keys.select(F.col("k").alias("_k"), F.col("t").alias("_t")), "keys")
+    how = "left_semi" if kept else "left_anti"
     if keys.count() <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-    return docs.join(keys.select(F.col("k").alias("_k"), F.col("t").alias("_t")), ["_k", "_t"], "left_anti")
+        return docs.join(F.broadcast(keys), ["_k", "_t"], how)
+    among = _may_be_among(keys, "_k", "_t")("_k", "_t")
+    found = docs.where(among).join(keys, ["_k", "_t"], how)
+    return found if kept else docs.where(~among).unionByName(found.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
@@ -488,11 +519,11 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     first = found.groupBy("root").agg(F.min(F.struct("k", "t")).alias("first"))
     others = found.join(first, "root").where((F.col("k") != F.col("first.k")) | (F.col("t") != F.col("first.t"))).select("k", "t").distinct()
     keyed = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NONE))).withColumn("_t", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    kept = _without(keyed, others)
+    kept = _by_keys(keyed, others, False)
     again = found.groupBy("k", "t").count().where("count > 1").select("k", "t")
     if again.limit(1).count():  # rows that repeat key and text
-        twice = kept.join(again.select(F.col("k").alias("_k"), F.col("t").alias("_t")), ["_k", "_t"], "left_semi")
-        kept = _without(kept, again).unionByName(twice.dropDuplicates(["_k", "_t"]))
+        twice = _by_keys(kept, again, True).dropDuplicates(["_k", "_t"])
+        kept = _by_keys(kept, again, False).unionByName(twice.select(*[F.col(f"`{c}`") for c in kept.columns]))
     return kept.select(*[F.col(f"`{c}`") for c in names])
 
 

@@ -154,3 +154,17 @@ def test_texts_of_sets_that_meet_by_chance_are_not_sent(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     assert sorted(map(tuple, j.join_components(docs).select("doc_id", "n_shingles", "component_id").collect())) == _slow(rows)
     assert sent[0] == 2  # the pair that is linked
+
+
+def test_texts_that_nothing_asks_for_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(j, "BROADCAST_ROWS", 0)  # as in large tables
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(40))) for k in range(300)]
+    rows += [(300 + k, rows[k][1] + " z") for k in range(5)] + [(400, rows[7][1]), (400, rows[7][1]), (401, "a b"), (401, "a b"), (402, None), (403, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("extra", F.col("doc_id") * 2).repartition(3)
+    assert sorted(map(tuple, j.join_components(docs).select("doc_id", "n_shingles", "component_id").collect()), key=lambda r: (r[0], r[1])) == _slow(rows)
+    asked = docs.where("doc_id < 10").select(F.col("doc_id").alias("k"), F.xxhash64("text").alias("t"))
+    keyed = docs.withColumn("_k", F.col("doc_id")).withColumn("_t", F.xxhash64("text"))
+    assert keyed.where(j._may_be_among(asked)("_k", "_t")).count() <= 12
+    kept = j.keep_one_each(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(300), 401, 402, 403]
+    assert all(r.extra == 2 * r.doc_id for r in kept.collect())
