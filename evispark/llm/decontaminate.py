@@ -4,8 +4,8 @@ Seeds are the SEED-word sequences of the test items. One pass over the corpus fi
 stages, for each document and item, the passage around its hits, with the seeds that it holds. Their document
 frequencies over the whole corpus say which are rare: in RARE_SHARE of all documents at most, or in RARE_DOCUMENTS. A
 passage that holds one rare seed, or several of any kind, or one common seed and as many of the item's words as a match
-needs, so that an item that leaked into a third of all documents is still found, is aligned to its item, word by word; a
-document is contaminated by an item if the best alignment matches LEAST_WORDS words, or the share LEAST_SHARE of a
+needs, so that an item that leaked into a third of all documents is still found, is aligned to its item, word by word,
+unless their longest common subsequence is too short for any alignment to count; a document is contaminated by an item if the best alignment matches LEAST_WORDS words, or the share LEAST_SHARE of a
 shorter item, at an identity of LEAST_IDENTITY or more.
 
 Test items come to the executors in blocks of BLOCK_WORDS words at most, whatever their number; each block is a pass.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -85,10 +86,7 @@ class Items:
 
     def passages(self, text: str | None) -> list[tuple[int, list[int], np.ndarray]]:
         """(item, seeds held, coded passage) of every cluster of hits."""
-        coded = np.array(list(map(self.vocabulary.get, words(text))), object)
-        if not len(coded):
-            return []
-        coded = np.where(coded == None, 0, coded).astype(np.int64)  # noqa: E711
+        coded = np.fromiter(map(self.vocabulary.get, words(text), repeat(0)), np.int64)
         by_item: dict[int, list[tuple[int, int]]] = {}
         for at, seed in zip(*(x.tolist() for x in self.hits(coded))):
             for item, place in self.postings[seed]:
@@ -120,24 +118,50 @@ def least_words(size: int) -> int:
     return min(LEAST_WORDS, max(SEED, int(np.ceil(LEAST_SHARE * size))))
 
 
+def longest_common(item: list[int], passage: list[int]) -> int:
+    """Words of the longest common subsequence, by whole rows of bits: no alignment matches more words."""
+    places: dict[int, int] = {}
+    bit, own = 1, set(item)
+    passage = [w for w in passage if w in own]
+    for w in passage:
+        places[w] = places.get(w, 0) | bit
+        bit <<= 1
+    whole = row = bit - 1
+    for w in item:
+        at = places.get(w)
+        if at is not None:
+            met = row & at
+            row = ((row + met) | (row - met)) & whole
+    return len(passage) - row.bit_count()
+
+
 def worth_aligning(seeds: list[int] | np.ndarray, rare: np.ndarray, item: np.ndarray, passage: np.ndarray) -> bool:
-    """False only where too few words are in both for any alignment to contaminate."""
-    if len(seeds) > 1 or rare[seeds[0]]:
-        return True
-    return min(np.isin(item, passage).sum(), np.isin(passage, item).sum()) >= least_words(len(item))
+    """False only where too few words are in both, in the same order, for any alignment to contaminate. Of passages of one
+    common seed most are told by their words alone."""
+    if len(seeds) == 1 and not rare[seeds[0]] and min(np.isin(item, passage).sum(), np.isin(passage, item).sum()) < least_words(len(item)):
+        return False
+    return longest_common(item.tolist(), passage.tolist()) >= least_words(len(item))
 
 
-def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
-    """Smith-Waterman: score, words matched and columns of the best local alignment."""
+def align(item: np.ndarray, passage: np.ndarray, least: float = 0) -> tuple[int, int, int]:
+    """Smith-Waterman: score, words matched and columns of the best local alignment; below a least score only that."""
     n, m = len(item), len(passage)
-    score = np.zeros((n + 1, m + 1), np.int32)
     steps = np.arange(m + 1, dtype=np.int32)
+    # a score less GAP times its place: then gaps along the row, of any length, are its running maximum
+    raised = np.empty((n + 1, m + 1), np.int32)
+    raised[0], raised[:, 0] = -GAP * steps, 0
+    floor = raised[0, 1:]
+    gain = np.where(item[:, None] == passage, MATCH - GAP, MISMATCH - GAP).astype(np.int32)
+    best, down = np.empty(m, np.int32), np.empty(m, np.int32)
     for i in range(1, n + 1):
-        best = np.maximum(score[i - 1, :-1] + np.where(passage == item[i - 1], MATCH, MISMATCH), score[i - 1, 1:] + GAP)
-        row = np.concatenate([[0], np.maximum(best, 0)])
-        # gaps along the row, of any length, from the running maximum of what a gap would start at
-        score[i] = np.maximum.accumulate(row - GAP * steps) + GAP * steps
-        np.maximum(score[i], 0, out=score[i])
+        np.add(raised[i - 1, :-1], gain[i - 1], out=best)
+        np.add(raised[i - 1, 1:], GAP, out=down)
+        np.maximum(best, down, out=best)
+        np.maximum(best, floor, out=best)
+        np.maximum.accumulate(best, out=raised[i, 1:])
+    score = raised + GAP * steps
+    if score.max() < least:
+        return int(score.max()), 0, 0
     i, j = np.unravel_index(score.argmax(), score.shape)
     top, matched, columns = int(score[i, j]), 0, 0
     while i and j and score[i, j] > 0:
@@ -157,6 +181,11 @@ def contaminates(size: int, matched: int, columns: int) -> bool:
     return matched >= least_words(size) and matched >= LEAST_IDENTITY * columns
 
 
+def least_score(size: int) -> float:
+    """What an alignment that contaminates scores at least: columns that don't match cost 1 each."""
+    return least_words(size) * (MATCH + 1 - 1 / LEAST_IDENTITY) - 1e-6
+
+
 def blocks(items: DataFrame, id_column: str = "item_id") -> Iterator[Items]:
     """Test items, in blocks of bounded size."""
     rows = items.select(F.col(f"`{id_column}`").alias("id"), "text")
@@ -198,7 +227,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for d, item, seeds, passage in zip(batch.doc_id, batch["item"], batch.seeds, batch.passage):
                     own, passage = items.coded[item], np.frombuffer(passage, "<i4")
                     if worth_aligning(seeds, rare, own, passage):
-                        top, matched, columns = align(own, passage)
+                        top, matched, columns = align(own, passage, least_score(len(own)))
                         if contaminates(len(own), matched, columns):
                             rows.append((d, items.ids[item], top / (MATCH * len(own)), matched, columns))
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "matched", "columns"]).astype({"doc_id": "Int64", "item_id": "Int64"})
@@ -226,7 +255,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     for item, seeds, passage in items.passages(text):
                         own = items.coded[item]
                         if worth_aligning(seeds, rare, own, passage):
-                            bad = contaminates(len(own), *align(own, passage)[1:])
+                            bad = contaminates(len(own), *align(own, passage, least_score(len(own)))[1:])
                             if bad:
                                 break
                     clean.append(not bad)

@@ -103,3 +103,19 @@ def test_pairs_are_those_of_aligning_every_document_to_every_item(spark):
                 want.add((doc_id, item_id))
     found = d.find_contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
     assert {(r.doc_id, r.item_id) for r in found.collect()} == want and len(want) > 20
+
+
+def test_passages_that_no_alignment_can_save_are_not_aligned(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        item, passage = rng.integers(1, 9, rng.integers(3, 30)), rng.integers(0, 9, rng.integers(0, 50))
+        table = [0] * (len(passage) + 1)
+        for a in item:
+            before = table
+            table = [0]
+            for k, b in enumerate(passage):
+                table.append(before[k] + 1 if a == b else max(before[k + 1], table[k]))
+        assert d.longest_common(item.tolist(), passage.tolist()) == table[-1] >= d.align(item, passage)[1]
+    item, out_of_order = np.arange(1, 31), np.concatenate([np.arange(26, 31), np.arange(1, 6)])
+    assert not d.worth_aligning([0, 1], np.array([True, True]), item, out_of_order)
+    assert d.worth_aligning([0, 1], np.array([True, True]), item, np.arange(4, 12))
