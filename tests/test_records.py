@@ -308,3 +308,14 @@ def test_forced_removal(spark):
     assert got[0] == ("The the place works and the place", ["Mill Lane"])
     assert got[1] == ("a b", []) and got[2] == (None, [])
     assert got[3][1] == [] or got[3][0].startswith("cost $1\\2")
+
+
+def test_items_are_their_own_targets(spark, monkeypatch):
+    shared = "pressure valve compressor housing inspection engine number turbine seal"
+    rows = [("c", "1", shared + " 4512.5 units"), ("c", "2", "later " + shared + " 4512.5 units"), ("d", "3", shared + " 4512.5 units")]
+    rows += [("c", str(k), " ".join(f"w{k}o{i}" for i in range(9))) for k in range(4, 12)]
+    items = spark.createDataFrame(rows, "case_id string, evidence_id string, text string")
+    targets = items.select("case_id", F.col("evidence_id").alias("target"), F.lit(False).alias("in_brief"), "text")
+    columns = ["case_id", "evidence_id", "target", "number", "token", "shingle", "time", "quote", "likely"]
+    own, given = (sorted(map(tuple, counterfactual.leak_check(items, t, items).select(columns).collect())) for t in (None, targets))
+    assert own == given == [("c", "1", "2", 1, 9, 6, 0, 0, True), ("c", "2", "1", 1, 9, 6, 0, 0, True)]
