@@ -188,6 +188,11 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return staged(_keyed(docs).mapInPandas(name, "k bigint, t bigint, v bigint, n int, held array<bigint>, sketch array<bigint>"), "sets")
 
 
+def _columns(rows: DataFrame) -> list[np.ndarray]:
+    """Columns of numbers, as Arrow: the driver never holds an object for each row."""
+    return [c.to_numpy() for c in rows.toArrow().columns]
+
+
 def _sampled(docs: DataFrame, total: int, rows: int) -> DataFrame:
     return _keyed(docs).where(F.pmod(F.xxhash64("k", "t"), F.lit(max(1, total // rows))) == 0)
 
@@ -205,9 +210,9 @@ def word_weights(docs: DataFrame, total: int) -> np.ndarray:
             yield pd.DataFrame({"place": at[a : a + 100_000], "c": found[at[a : a + 100_000]]})
 
     counts = _sampled(docs, total, WORD_SAMPLE).mapInPandas(count, "place bigint, c bigint").groupBy("place").agg(F.sum("c").alias("c"))
-    rows = counts.where("c > 1").toPandas()
+    place, c = _columns(counts.where("c > 1"))
     weights = np.zeros(WORD_PLACES, np.int16)
-    weights[rows.place.to_numpy(np.int64)] = np.rint(8 * np.log2(rows.c.to_numpy(np.float64))).astype(np.int16)
+    weights[place] = np.rint(8 * np.log2(c.astype(np.float64))).astype(np.int16)
     return weights
 
 
@@ -220,10 +225,9 @@ def frequent_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarr
             yield pd.DataFrame({"s": np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)})
 
     counts = _sampled(docs, total, SAMPLE).mapInPandas(count, "s bigint").groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") >= SAMPLE_COUNT)
-    rows = counts.orderBy(F.desc("c"), "s").limit(FREQUENT).toPandas()
-    names = rows.s.to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(names)
-    return names[order], rows.c.to_numpy(np.int64)[order]
+    names, c = _columns(counts.orderBy(F.desc("c"), "s").limit(FREQUENT))
+    order = np.argsort(names.view(np.uint64))
+    return names.view(np.uint64)[order], c[order]
 
 
 def _light_links(sets: DataFrame, light: int) -> DataFrame:
@@ -437,9 +441,10 @@ def _may_be_among(keys: DataFrame, *names: str) -> Callable[..., Column]:
     """Whether two columns may be a key: of every key, and of few other rows. Tasks are told the places that keys hash to,
     KEY_PLACES bits, so many other rows pass only beyond some millions of keys, which costs time and loses nothing."""
     place = F.pmod(F.xxhash64(*(names or ("k", "t"))), F.lit(KEY_PLACES))
-    words = keys.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("p", F.lit(64)).cast("int"))).alias("b")).toPandas()
+    words = keys.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("p", F.lit(64)).cast("int"))).alias("b"))
     bits = np.zeros(KEY_PLACES // 64, np.int64)
-    bits[words.w.to_numpy(np.int64)] = words.b.to_numpy(np.int64)
+    w, b = _columns(words)
+    bits[w] = b
     told = keys.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")

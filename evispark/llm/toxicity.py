@@ -4,8 +4,9 @@ A text is the set of its lower-cased words and of the first letters of the longe
 terms. A term takes part if it goes with a class in the sample, by a chi-squared test, or if it is one of a pair that is
 toxic together far more often than either term is: an insult and the mention of a group may be harmless one by one. The
 score is the logistic function of a bias, a weight for each term and the inner products of the term vectors of all
-pairs, so that a pair of terms can mean more than both alone. The model is fitted with numpy on the driver, on the hashed terms of SAMPLE labelled rows at
-most, chosen by a hash of doc_id; every document is scored, over its whole text, from the model alone.
+pairs, so that a pair of terms can mean more than both alone. The model is fitted with numpy in one task, on the hashed
+terms of SAMPLE labelled rows at most, chosen by a hash of doc_id, and only the terms that take part come to the driver;
+every document is scored, over its whole text, from the model alone.
 
 Null and empty texts, and texts without a word, have no terms and get the score of the bias. Rows without doc_id count
 as crc32 of the empty text and are never learned from. Without labelled rows the score is 0.5 less a little, and with
@@ -41,7 +42,7 @@ LEAST_PAIR_TEXTS = 8
 #: Pairs are counted in so many texts of each class and among so many terms, those in most toxic texts, at most.
 PAIR_TEXTS = 2048
 PAIR_TERMS = 8192
-#: Terms whose pairs are counted at a time, which bounds the driver's memory.
+#: Terms whose pairs are counted at a time, which bounds the task's memory.
 PAIR_BLOCK = 256
 #: Letters of a longer word that are a term too.
 STEM = 5
@@ -189,11 +190,23 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5,
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch.doc_id, "toxic": batch.toxic, "terms": [terms(t).tobytes() for t in batch.text]})
 
+    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
+        order = sorted(range(len(rows)), key=lambda k: (rows.doc_id[k], rows.terms[k]))
+        machine = fit([np.frombuffer(rows.terms[k], np.int32) for k in order], rows.toxic.to_numpy()[order])
+        known = np.flatnonzero(machine.used)
+        parts = known.astype(np.int32), machine.weight[known], machine.vector[known]
+        return pd.DataFrame([(machine.bias, *[part.tobytes() for part in parts])], columns=["bias", "known", "weight", "vector"])
+
     # at most `sample` rows of two numbers
     joined = documents(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = joined.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInPandas(hashed, "doc_id bigint, toxic int, terms binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.terms))
-    return fit([np.frombuffer(r.terms, np.int32) for r in rows], np.array([r.toxic for r in rows]))
+    rows = joined.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInPandas(hashed, "doc_id bigint, toxic int, terms binary")
+    found = rows.groupBy().applyInPandas(fitted, "bias double, known binary, weight binary, vector binary").collect()
+    if not found:  # no labelled rows
+        return fit([], np.empty(0))
+    machine = Machine(found[0].bias, np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, FACTORS), np.float32), np.zeros(BUCKETS, bool))
+    known, weight, vector = (np.frombuffer(found[0][c], kind) for c, kind in (("known", np.int32), ("weight", np.float32), ("vector", np.float32)))
+    machine.used[known], machine.weight[known], machine.vector[known] = True, weight, vector.reshape(-1, FACTORS)
+    return machine
 
 
 def score_documents(docs: DataFrame, machine: Machine, *keep: str) -> DataFrame:

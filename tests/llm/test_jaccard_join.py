@@ -168,3 +168,16 @@ def test_texts_that_nothing_asks_for_are_not_shuffled(spark, monkeypatch):
     kept = j.keep_one_each(docs)
     assert sorted(r.doc_id for r in kept.collect()) == [*range(300), 401, 402, 403]
     assert all(r.extra == 2 * r.doc_id for r in kept.collect())
+
+
+def test_counts_come_to_the_driver_as_columns(spark, no_docs, monkeypatch):
+    docs = spark.createDataFrame([(k, "one two three four five six " + "abcde"[k % 5]) for k in range(20)], "doc_id bigint, text string")
+    for name in ("collect", "toPandas"):  # an object for each row
+        monkeypatch.setattr(type(docs), name, None)
+    names, counts = j.frequent_shingles(docs, 20)
+    assert sorted(counts.tolist()) == [4] * 5 + [20] * 2 and (np.diff(names.astype(float)) > 0).all()
+    weights = j.word_weights(docs, 20)
+    assert sorted(weights[weights > 0].tolist()) == [16] * 5 + [35] * 6
+    assert not len(j.frequent_shingles(no_docs, 0)[0]) and not j.word_weights(no_docs, 0).any()
+    taken = j._may_be_among(docs.select(F.col("doc_id").alias("k"), F.xxhash64("text").alias("t")).where("k < 7"))
+    assert 7 <= docs.where(taken("doc_id", F.xxhash64("text"))).count() <= 8

@@ -1,3 +1,6 @@
+import os
+import zlib
+
 import numpy as np
 
 from evispark.llm import toxicity
@@ -52,6 +55,25 @@ def test_every_document_is_scored_and_held_out_rows_are_predicted(spark):
     assert out.toxic_predicted.tolist() == [r[2] for r in rows]
 
 
+def _labelled(spark):
+    rows = [(k, f"plain words {'stupid' if k % 3 == 0 else 'kind'} here {k}", int(k % 3 == 0)) for k in range(300)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    return rows, docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int")
+
+
+def test_the_driver_holds_no_rows_to_learn_from(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "fit", lambda rows, labels: toxicity.Machine(float(os.getpid()), *[np.zeros(s, k) for s, k in ((9, np.float32), ((9, 8), np.float32), (9, bool))]))
+    assert toxicity.learn(*_labelled(spark)[1:]).bias not in (0, os.getpid())
+
+
+def test_what_is_learned_is_what_fit_gives(spark):
+    rows, docs, labels = _labelled(spark)
+    known = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 != 0]
+    want, got = toxicity.fit([toxicity.terms(r[1]) for r in known], np.array([r[2] for r in known])), toxicity.learn(docs, labels)
+    assert want.used.any() and want.bias == got.bias
+    assert all((getattr(want, c) == getattr(got, c)).all() for c in ("weight", "vector", "used"))
+
+
 def test_edges(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(1, None), (None, 1), (2, 1), (2, 1)], "doc_id bigint, toxic int")
     machine = toxicity.learn(edge_docs, labels)
