@@ -97,6 +97,14 @@ def _incidence(rows: list[np.ndarray], known: np.ndarray) -> np.ndarray:
     return out
 
 
+def _texts_with(rows: list[np.ndarray]) -> np.ndarray:
+    """By term, how many rows hold it."""
+    out = np.zeros(BUCKETS, np.float64)
+    for k in range(0, len(rows), 1024):
+        out += np.bincount(np.concatenate(rows[k : k + 1024]), minlength=BUCKETS)
+    return out
+
+
 def paired_terms(rows: list[np.ndarray], labels: np.ndarray, with_1: np.ndarray, texts: np.ndarray, seed: int = 7) -> np.ndarray:
     """Terms of pairs that are toxic together far more often than the more toxic of the two is. Where no text but toxic
     ones holds a pair, one more is taken to."""
@@ -135,8 +143,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate:
     machine = Machine(float(np.log(prior / (1 - prior))), np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, FACTORS), np.float32), np.zeros(BUCKETS, bool))
     if not n or positive in (0, n):
         return machine
-    owner = np.repeat(labels, [len(r) for r in rows])
-    with_1, with_0 = (np.bincount(np.concatenate(rows)[owner == y], minlength=BUCKETS).astype(np.float64) for y in (1, 0))
+    with_1, with_0 = (_texts_with([rows[k] for k in np.flatnonzero(labels == y)]) for y in (1, 0))
     texts = with_1 + with_0
     by_chance = texts * positive / n
     chi2 = (with_1 - by_chance) ** 2 * n / np.maximum(texts * positive / n * (n - positive) * (1 - texts / (n + 1)), 1e-9)
