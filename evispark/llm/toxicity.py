@@ -197,17 +197,17 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5,
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch.doc_id, "toxic": batch.toxic, "terms": [terms(t).tobytes() for t in batch.text]})
 
-    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
-        order = sorted(range(len(rows)), key=lambda k: (rows.doc_id[k], rows.terms[k]))
-        machine = fit([np.frombuffer(rows.terms[k], np.int32) for k in order], rows.toxic.to_numpy()[order])
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = sorted((d, t, y) for batch in batches for d, t, y in zip(batch.doc_id.tolist(), batch.terms, batch.toxic.tolist()))
+        machine = fit([np.frombuffer(t, np.int32) for _, t, _ in rows], np.array([y for *_, y in rows]))
         known = np.flatnonzero(machine.used)
         parts = known.astype(np.int32), machine.weight[known], machine.vector[known]
-        return pd.DataFrame([(machine.bias, *[part.tobytes() for part in parts])], columns=["bias", "known", "weight", "vector"])
+        yield pd.DataFrame([(machine.bias, *[part.tobytes() for part in parts])], columns=["bias", "known", "weight", "vector"])
 
     # at most `sample` rows of two numbers
     joined = documents(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = joined.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInPandas(hashed, "doc_id bigint, toxic int, terms binary")
-    found = rows.groupBy().applyInPandas(fitted, "bias double, known binary, weight binary, vector binary").collect()
+    found = rows.repartition(1).mapInPandas(fitted, "bias double, known binary, weight binary, vector binary").collect()
     if not found:  # no labelled rows
         return fit([], np.empty(0))
     machine = Machine(found[0].bias, np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, FACTORS), np.float32), np.zeros(BUCKETS, bool))
