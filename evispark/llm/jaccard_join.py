@@ -12,7 +12,9 @@ chance rarely meet; the sample moves cost alone, never a result. Lists of shingl
 counted by partial sums. Lists of LONG_LIST sets or fewer give pairs, thinned by size and position, then by sketches, and
 verified on the texts. A sketch tells of each bit whether an odd number of a set's shingles falls on it; two sets differ in
 at least as many shingles as their sketches in bits, so no link is lost, and texts of pairs met by chance aren't sent.
-Longer lists are grouped by their smallest member, the pivot. First every member is held against the pivot alone.
+Longer lists, if not of hot shingles, are thinned by sizes and positions too: what a list that is shared by chance leaves
+is pairs like those of short lists. Those that leave many, as clusters do, and hot ones are grouped by their smallest
+member, the pivot. First every member is held against the pivot alone.
 Members that link to it are in one component and need no links among each other; and as Jaccard distance is a metric,
 those beyond twice the linked distance from the pivot can't link to them either. What is left to compare - the others
 among each other, and those within twice the distance with the linked ones - is cut into blocks of BLOCK sets of sizes
@@ -295,6 +297,7 @@ def _lists(entries: DataFrame) -> DataFrame:
     dealt = staged(frequent.join(F.broadcast(counts), "s").where("size > 1"), "hot-lists")
     lists = cold.unionByName(dealt)
     lists._parts = (several, dealt)
+    lists._cold, lists._hot = cold, dealt
     return lists
 
 
@@ -309,6 +312,71 @@ def _pairs(lists: DataFrame, light: int) -> DataFrame:
     return pairs.where(possible).select(F.col("a.v").alias("u"), F.col("b.v").alias("v")).distinct()
 
 
+def _may_link(n: np.ndarray, pos: np.ndarray, low: int, high: int, end: int, light: int) -> np.ndarray:
+    """Of members in ascending order of size, whether those from low to high may link to each of those from low to end, by
+    sizes and positions, as in _pairs."""
+    small, large = n[low:high, None], n[None, low:end]
+    need = -(-SHARE * (small + large) // (100 + SHARE))
+    left = n - pos
+    later = np.arange(low, high)[:, None] < np.arange(low, end)[None, :]
+    return later & (large > light) & (large * SHARE <= small * 100) & (np.minimum(left[low:high, None], left[None, low:end]) >= need)
+
+
+def _crowded(lists: DataFrame, light: int) -> DataFrame:
+    """(u, v, n, many), staged: what sizes and positions leave of the long lists that aren't of hot shingles. A list that
+    sets share by chance leaves few pairs, which are named; one that leaves more than a short list may have for each of its
+    members, like that of a cluster, is named by members, each with the smallest, the pivot; n is the size of v."""
+
+    def left(v: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        ends = np.searchsorted(n, n * 100 // SHARE, "right")
+        most, found, met, count, low = LONG_LIST // 2 * len(v), [], np.zeros(len(v), bool), 0, 0
+        while low < len(v):
+            high = low + max(1, min(256, len(v) - low, (1 << 20) // int(ends[low] - low)))
+            end = int(ends[high - 1])
+            may = _may_link(n, pos, low, high, end, light)
+            met[low:high] |= may.any(axis=1)
+            met[low:end] |= may.any(axis=0)
+            count += int(may.sum())
+            if count <= most:
+                found.append(np.stack(np.nonzero(may)) + low)
+            low = high
+        if count <= LONG_LIST // 2 * int(met.sum()):
+            a, b = np.concatenate(found, axis=1)
+            first = v[a] < v[b]
+            return np.where(first, v[a], v[b]), np.where(first, v[b], v[a]), np.where(first, n[b], n[a]), np.zeros(len(a), bool)
+        v, n = v[met], n[met]
+        others = v != v.min()
+        return np.full(others.sum(), v.min()), v[others], n[others], np.ones(others.sum(), bool)
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, ...]] = []
+        out: list[tuple[np.ndarray, ...]] = []
+
+        def frame() -> pd.DataFrame:
+            rows = [np.concatenate(x) for x in zip(*out)]
+            out.clear()
+            return pd.DataFrame(dict(zip(("u", "v", "n", "many"), rows)))
+
+        for batch in batches:
+            s, v, n, pos = (batch[c].to_numpy(np.int64) for c in ("s", "v", "n", "pos"))
+            edges = [0, *(np.flatnonzero(s[1:] != s[:-1]) + 1).tolist(), len(s)]
+            for low, high in zip(edges, edges[1:]):
+                if held and held[-1][0][-1] != s[low]:
+                    out.append(left(*(np.concatenate(x) for x in list(zip(*held))[1:])))
+                    held = []
+                    if sum(len(x[0]) for x in out) > 100_000 or len(out) > 1_000:
+                        yield frame()
+                held.append((s[low:high], v[low:high], n[low:high], pos[low:high]))
+        if held:
+            out.append(left(*(np.concatenate(x) for x in list(zip(*held))[1:])))
+        if out:
+            yield frame()
+
+    long = lists.where(F.col("size") > LONG_LIST).select("s", "v", "n", "pos")
+    dealt = long.repartition(partitions(lists.sparkSession), "s").sortWithinPartitions("s", "n")
+    return staged(dealt.mapInPandas(split, "u bigint, v bigint, n int, many boolean").distinct(), "crowded")
+
+
 def _near_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose sketches leave a link possible."""
     known = sets.groupBy("v").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -329,7 +397,7 @@ def _parted(members: DataFrame, role: int) -> DataFrame:
 
 
 def _long(lists: DataFrame) -> DataFrame:
-    """(g, v, n): the members of the long lists, by pivot."""
+    """(g, v, n): the members of long lists, by pivot."""
     return lists.where((F.col("size") > LONG_LIST) & (F.col("v") != F.col("low"))).select(F.col("low").alias("g"), "v", "n").distinct()
 
 
@@ -475,10 +543,13 @@ def _verified(docs: DataFrame, sets: DataFrame, roles: DataFrame) -> DataFrame:
 
 def _heavy_links(docs: DataFrame, sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], weights: np.ndarray, light: int) -> DataFrame:
     lists = _lists(_entries(docs, frequent, weights, light))
-    long = staged(_long(lists), "long")
-    pairs = _near_pairs(_pairs(lists, light), sets).select(F.col("u").alias("g"), "v")
+    crowded = _crowded(lists._cold, light)
+    clusters = crowded.where("many").select(F.col("u").alias("g"), "v", "n")
+    long = staged(_long(lists._hot).unionByName(clusters).distinct(), "long")
+    met = _pairs(lists, light).unionByName(crowded.where("not many").select("u", "v")).distinct()
+    pairs = _near_pairs(met, sets).select(F.col("u").alias("g"), "v")
     found = _verified(docs, sets, _parted(pairs, MEMBER).unionByName(_parted(long.select("g", "v"), PIVOTED)))
-    release(*lists._parts)
+    release(*lists._parts, crowded)
     links = found.where(F.col("state") == LINKED).select("u", "v")
     if not long.limit(1).count():
         return links

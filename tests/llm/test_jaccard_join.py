@@ -181,3 +181,46 @@ def test_counts_come_to_the_driver_as_columns(spark, no_docs, monkeypatch):
     assert not len(j.frequent_shingles(no_docs, 0)[0]) and not j.word_weights(no_docs, 0).any()
     taken = j._may_be_among(docs.select(F.col("doc_id").alias("k"), F.xxhash64("text").alias("t")).where("k < 7"))
     assert 7 <= docs.where(taken("doc_id", F.xxhash64("text"))).count() <= 8
+
+
+def test_texts_of_a_long_list_that_sets_share_by_chance_are_not_sent(spark, monkeypatch):
+    for name, value in {"SAMPLE_COUNT": 10**6, "LONG_LIST": 8}.items():
+        monkeypatch.setattr(j, name, value)
+    monkeypatch.setattr(j, "word_weights", lambda *a: np.zeros(j.WORD_PLACES, np.int16))  # the order is that of names
+    shares = (f"a b c d p{i}" for i in range(1000))
+    passage = next(p for p in shares if 0.14 < int(j.shingles(p)[0]) / 2**64 < 0.16)  # late in the prefix of most sets
+    rows = [(k, " ".join([passage, *(f"w{k}x{i}" for i in range(100))])) for k in range(80)]
+    rows.append((80, rows[0][1] + " z"))
+    sent, roles_of = [], j._verified
+    monkeypatch.setattr(j, "_verified", lambda docs, sets, roles: sent.append(roles.count()) or roles_of(docs, sets, roles))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted(map(tuple, j.join_components(docs).select("doc_id", "n_shingles", "component_id").collect())) == _slow(rows)
+    assert sum(sent) < 40  # the pair that is linked, and the few sets that hold it early
+
+
+@pytest.mark.parametrize("n_long", [1, 40])
+def test_pairs_left_of_a_crowded_list_are_all_that_may_link(spark, n_long, monkeypatch):
+    monkeypatch.setattr(j, "LONG_LIST", 20)
+    rng = random.Random(n_long)
+    members = []
+    for s in range(n_long):
+        for v in rng.sample(range(1000), 600 if n_long == 1 else rng.choice([25, 70])):
+            n = rng.choice([20, 100, rng.randrange(1, 2000)])
+            members.append((s, v, n, j.prefix(n) - 1 if rng.random() < 0.9 else rng.randrange(j.prefix(n))))
+    lists = spark.createDataFrame([(*m, 99) for m in members], "s bigint, v bigint, n int, pos int, size long")
+    got = j._crowded(lists, 3).collect()
+    named = {(r.u, r.v) for r in got if not r.many}
+    groups = {}
+    for r in got:
+        if r.many:
+            groups.setdefault(r.u, {r.u}).add(r.v)
+    links = set()
+    for s in range(n_long):
+        here = [m[1:] for m in members if m[0] == s]
+        for a, x in enumerate(here):
+            for y in here[:a]:
+                (v, n, p), (w, m, q) = x, y
+                if v != w and max(n, m) > 3 and 100 * min(n, m) >= 80 * max(n, m) and min(n - p, m - q) >= j.overlap(n, m):
+                    links.add((min(v, w), max(v, w)))
+    assert links and named <= links
+    assert all(pair in named or any(set(pair) <= g for g in groups.values()) for pair in links)
