@@ -319,3 +319,14 @@ def test_items_are_their_own_targets(spark, monkeypatch):
     columns = ["case_id", "evidence_id", "target", "number", "token", "shingle", "time", "quote", "likely"]
     own, given = (sorted(map(tuple, counterfactual.leak_check(items, t, items).select(columns).collect())) for t in (None, targets))
     assert own == given == [("c", "1", "2", 1, 9, 6, 0, 0, True), ("c", "2", "1", 1, 9, 6, 0, 0, True)]
+
+
+def test_common_clock_times_and_bare_numbers_are_restatements(spark):
+    rows = [("c", str(k), f"item {k} at 10:15 and 11:40") for k in range(1, 6)]  # times of more than MOST_ITEMS items
+    rows += [("c", "a", "burst at 38 psi and 007250 and 2.5e3 kg"), ("c", "b", "levels 38 then 7,250,001 seen"), ("c", "d", "38.1 or 1.38 or 138, 2.5e3 later"), ("c", "e", "380 and 72500 and 2.5e31")]
+    items = spark.createDataFrame(rows, "case_id string, evidence_id string, text string")
+    targets = items.select("case_id", F.col("evidence_id").alias("target"), F.lit(False).alias("in_brief"), "text")
+    brief = spark.createDataFrame([("c", "brief", True, "From 10:15 to 11:40.")], "case_id string, target string, in_brief boolean, text string")
+    checked = counterfactual.leak_check(items, targets.unionByName(brief), items).where("likely OR evidence_id = 'a'")
+    got = sorted(tuple(r) for r in checked.select("evidence_id", "target", "number", "time", "likely").collect())
+    assert got == [*[(str(k), "brief", 0, 2, True) for k in range(1, 6)], ("a", "b", 2, 0, True), ("a", "d", 2, 0, True)]
